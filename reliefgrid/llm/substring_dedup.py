@@ -199,8 +199,13 @@ def later_occurrences(size: np.ndarray, words: np.ndarray, seg: np.ndarray, ids:
     ends = np.cumsum(size)
     text_key = np.add.reduceat(words * (2 * (np.arange(len(words)) - np.repeat(ends - size, size)).astype(np.uint64) + np.uint64(1)), ends - size)
     other = np.bitwise_xor.reduceat((words + np.uint64(1)) * (words ^ (np.arange(len(words)) - np.repeat(ends - size, size)).astype(np.uint64)), ends - size)
-    _, pick, to = np.unique(np.stack((text_key, other, size.astype(np.uint64))), axis=1, return_index=True, return_inverse=True)
-    seg, begin, size = to.ravel()[seg], (ends - size)[pick], size[pick]
+    order = np.lexsort((other, text_key, size))
+    new = np.ones(len(order), bool)
+    new[1:] = (other[order[1:]] != other[order[:-1]]) | (text_key[order[1:]] != text_key[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
+    to = np.empty(len(order), np.int64)
+    to[order] = np.cumsum(new) - 1
+    pick = order[new]
+    seg, begin, size = to[seg], (ends - size)[pick], size[pick]
     # places as one number: the document's rank and the word
     names, doc = np.unique(ids, return_inverse=True)
     place = (doc.astype(np.int64) << 32) + start
@@ -224,7 +229,9 @@ def later_occurrences(size: np.ndarray, words: np.ndarray, seg: np.ndarray, ids:
     earliest = np.empty(len(left), np.int64)
     for k in range(0, len(left), 1 << 18):
         lo, hi = index.search(text[left[k : k + (1 << 18), None] + np.arange(WINDOW)])
-        earliest[k : k + (1 << 18)] = np.minimum.reduceat(where, np.stack((lo, hi), 1).ravel())[::2]
+        # intervals of one size of window are equal or disjoint
+        lo, pick, back = np.unique(lo, return_index=True, return_inverse=True)
+        earliest[k : k + (1 << 18)] = np.minimum.reduceat(where, np.stack((lo, hi[pick]), 1).ravel())[::2][back]
     # every occurrence's windows against the first of their kind
     many = n[seg]
     line = np.repeat(np.arange(len(seg)), many)
