@@ -1,32 +1,33 @@
-"""From buckets of possible partners to groups, without all pairs of a bucket. DataFrame functions only.
+"""From buckets of possible partners to groups, without all pairs of a bucket as rows. DataFrame functions only.
 
 `components` is a distributed union-find (alternating large-star and small-star steps). `linked_groups` finds what
-links the members of buckets: small buckets compare all pairs; a large one first compares all its members with one of
-them, then with another; what these links join needs no more comparing, for groups are all that is asked for. What is
-left apart in a bucket is then compared in full, so that no link between different groups is lost.
+links the members of buckets: small buckets compare all pairs; a large one first compares all its members with its most
+central one. What these links join needs no more comparing, for groups are all that is asked for. Members of a bucket
+that are still apart are then compared in full, in blocks: a row holds two blocks, and only links come out of it. So no
+link between different groups is lost, and a large group of variants never becomes rows for all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.llm.common import materialize
 
-SMALL_BUCKET = 8
+SMALL_BUCKET, BLOCK = 8, 48
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for each id that links (a, b: long) name; root is the least id of the group."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
-        sign = tuple(edges.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if sign == before or not sign[0]:
+        # done when no id has two smaller ones and none that is smaller has one itself
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("k")).union(edges.select("v", F.lit(0)))
+        ends = ends.groupBy("x").agg(F.sum("k").alias("k"), F.min("k").alias("least"))
+        if ends.where("k > 1 OR (k = 1 AND least = 0)").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = sign
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -35,41 +36,47 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.union(least).distinct())
 
 
-def linked_groups(sized: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column]) -> DataFrame:
+def linked_groups(sized: DataFrame, features: DataFrame, same: Callable[[Column, Column], Column], may: Callable[[Callable, Callable], Column]) -> DataFrame:
     """(id, root) for each linked id.
 
     sized: bucket, id, n (the bucket's members) and what `may` needs, stored, without buckets of one; rows (bucket, id)
-    are distinct. may(a, b): a condition that no linked pair fails, over the columns of both members.
-    verify((a, b) distinct, a < b): those pairs that link.
+    are distinct. features: (id, f), stored, f being what `same` compares: whether two members link. may(l, r): a
+    condition that no linked pair fails, l and r giving the columns of both members by name.
+
+    The most central member of a bucket is the one whose buckets have the most members: among variants of one text
+    that is the text itself.
     """
-    rest = [c for c in sized.columns if c not in ("bucket", "n")]
-    side = lambda d, s: d.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in [*rest, *(["root"] if "root" in d.columns else [])] if c in d.columns])
-    pair = lambda d: d.where(may("l", "r")).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).where("a < b").distinct()
-
-    def with_one(d: DataFrame, pick: Callable, apart: bool) -> DataFrame:
-        one = d.groupBy("bucket").agg(pick(F.struct("id", *[c for c in [*rest, "root"] if c != "id" and c in d.columns])).alias("x")).select("bucket", "x.*")
-        both = side(d, "l").join(side(one, "r"), "bucket")
-        return both.where("l_root <> r_root") if apart else both
-
-    few, many = sized.where(F.col("n") <= SMALL_BUCKET), sized.where(F.col("n") > SMALL_BUCKET)
-    pairs = side(few, "l").join(side(few, "r"), "bucket").where("l_id < r_id")
-    links = materialize(verify(pair(pairs.unionByName(with_one(many, F.min, False)))))
+    named = [c for c in sized.columns if c not in ("bucket", "n")]
+    weight = sized.groupBy("id").agg(F.sum("n").alias("weight"))
+    many, few = sized.where(F.col("n") > SMALL_BUCKET), sized.where(F.col("n") <= SMALL_BUCKET)
+    side = lambda d, s: d.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in named])
+    centre = many.join(weight, "id").groupBy("bucket").agg(F.max_by(F.struct(*named), F.struct("weight", "id")).alias("x")).select("bucket", "x.*")
+    near = side(few, "l").join(side(few, "r"), "bucket").where("l_id < r_id").unionByName(side(many, "l").join(side(centre, "r"), "bucket"))
+    near = near.where(may(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).where("a < b").distinct()
+    near = near.join(features.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(features.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
+    links = materialize(near.where(same(F.col("x"), F.col("y"))).select("a", "b"))
     groups = components(links)
-    for last in (False, True):
-        named = many.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        left = materialize(named.join(open_, "bucket"))
-        if left.isEmpty():
-            break
-        both = side(left, "l").join(side(left, "r"), "bucket").where("l_id < r_id AND l_root <> r_root") if last else with_one(left, F.max, True)
-        new = materialize(verify(pair(both)))
-        if not new.isEmpty():
-            links = links.union(new)
-            groups = components(links)
-    return groups
+
+    apart = many.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("id").alias("m")).where("lo <> hi").select("bucket", "m")
+    apart = materialize(apart.join(open_, "bucket"))
+    if apart.isEmpty():
+        return groups
+    mine = apart.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    held = apart.join(mine, "id").join(features, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("m") / BLOCK) + 1))
+    blocks = held.groupBy("bucket", "block").agg(F.collect_list(F.struct(*named, "root", "buckets", "f")).alias("of"))
+    two = blocks.select("bucket", F.col("block").alias("l_block"), F.col("of").alias("ls")).join(blocks.select("bucket", F.col("block").alias("r_block"), F.col("of").alias("rs")), "bucket").where("l_block <= r_block")
+
+    def linked(l: Column, r: Column) -> Column:
+        once = (F.col("l_block") < F.col("r_block")) | (l["id"] < r["id"])
+        first = F.element_at(F.array_intersect(l["buckets"], r["buckets"]), 1) == F.col("bucket")  # a pair is compared in one of its buckets
+        return once & (l["root"] != r["root"]) & may(lambda c: l[c], lambda c: r[c]) & first & same(l["f"], r["f"])
+
+    found = F.flatten(F.transform("ls", lambda l: F.transform(F.filter("rs", lambda r: linked(l, r)), lambda r: F.struct(l["id"].alias("a"), r["id"].alias("b")))))
+    new = materialize(two.select(F.explode(found).alias("x")).select("x.a", "x.b"))
+    return groups if new.isEmpty() else components(links.union(new))
 
 
 def sized_buckets(members: DataFrame) -> DataFrame:
     """members (bucket, id, ...) with n, their number in the bucket, without buckets of one."""
-    counts = members.groupBy("bucket").agg(F.count("id").alias("n")).where("n > 1")
-    return members.join(counts, "bucket")
+    return members.withColumn("n", F.count("id").over(Window.partitionBy("bucket"))).where("n > 1")
