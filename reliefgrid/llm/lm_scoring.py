@@ -4,13 +4,14 @@ S(w | v) = c(v w) / c(v) if the bigram occurs at least MIN_COUNT times, else BAC
 c(w) / N. c(v) counts v as the first word of a bigram. A document's score is the sum of log S over its words, divided by
 their number.
 
-1. Words' counts are added up over all documents. Words with at least 1 / HEAVY of all occurrences, at most HEAVY of
-   them, are broadcast with their counts.
-2. Bigrams are dealt to buckets by the hash of their first word, those of a heavy first word by both words. Each
+1. Words' counts, and their counts as first words of bigrams, are added up over all documents. Words with at least
+   1 / HEAVY of all occurrences, at most HEAVY of them, are broadcast with their counts.
+2. Bigrams are dealt to buckets by the hash of their second word, those of a heavy second word by both words. Each
    document sends a bigram once, with how often it holds it, and a bucket's part of a batch is one row of packed arrays.
-   A bucket has all occurrences of its bigrams and of its light first words: it counts them and scores in place.
-3. Where a bigram is too rare, the count of its second word is asked for: heavy ones are at hand, the others are joined
-   to the table of counts by hash. The parts are summed by document.
+   A bucket has all occurrences of its bigrams and of its light second words: it counts them and scores in place what
+   backs off, and of the rest what has a heavy first word.
+3. For a bigram that occurs often enough and has a light first word, that word's count is joined by hash. The parts are
+   summed by document.
 
 Words are told apart by 64-bit hashes. Nulls: a null text has no words; such rows have score null. A null doc_id stands
 for the smallest long. Rows that repeat a doc_id are scored together, as one row. An empty table gives an empty table.
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.common import chunks, column, mix, signed, text_bytes, word_hashes, word_spans
+from reliefgrid.llm.common import WORD, chunks, column, materialize, mix, signed, text_bytes, word_hashes, word_spans
 
 MIN_COUNT, BACKOFF, HEAVY = 2, 0.4, 1 << 15
-BUCKET_WORDS = 1 << 21
+BUCKET_WORDS = 1 << 20
+#: Stands before a text's first word.
+START = np.int64(-(1 << 63))
 #: Distinct words that a task counts before it hands them on.
 TASK_WORDS = 1 << 20
 
@@ -41,22 +44,18 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return signed(word_hashes(data, starts, ends)), row
 
 
-def _add(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and sums of their numbers."""
-    keys, back = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate((a[1], b[1])), len(keys)).astype(np.int64)
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, n: occurrences, added up within the task."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """word, n (occurrences), n_first (those that another word follows), added up within the task."""
+    none = (np.zeros(0, np.int64),) * 3
     held = none
-    out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["word", "n"])
+    out = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["word", "n", "n_first"])
     for batch in chunks(batches):
-        w, _ = _words(batch)
-        keys, n = np.unique(w, return_counts=True)
-        held = _add(held, (keys, n))
-        if len(held[0]) > TASK_WORDS:
+        w, row = _words(batch)
+        followed = np.zeros(len(w), np.int64)
+        followed[:-1] = row[1:] == row[:-1]
+        keys, back = np.unique(np.concatenate((held[0], w)), return_inverse=True)
+        held = (keys, *[np.bincount(back, np.concatenate(x), len(keys)).astype(np.int64) for x in ((held[1], np.ones(len(w), np.int64)), (held[2], followed))])
+        if len(keys) > TASK_WORDS:
             yield out(held)
             held = none
     yield out(held)
@@ -84,38 +83,37 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packed bigrams by bucket, -1 holding each document's first word and number of words."""
-    names = ["bucket", "first", "second", "docs", "sizes", "times"]
+    """Packed bigrams by bucket, a text's first word as one whose own first word is START; negative buckets hold each
+    document's number of words. Within a bucket by second word, so that its hash is stored once with a count."""
+    names = ["bucket", "first", "second", "docs", "ids", "times"]
     for batch in chunks(batches):
         words, row = _words(batch)
         ids = column(batch, "doc_id")
-        count = np.bincount(row, minlength=len(ids))
-        first = np.zeros(len(ids), np.int64)
-        new = np.flatnonzero(np.diff(row, prepend=-1) > 0)
-        first[row[new]] = words[new]
-        inner = np.flatnonzero(row[1:] == row[:-1])
-        v, w, r = words[inner], words[inner + 1], row[inner]
-        both = mix(mix(v.view(np.uint64)) ^ w.view(np.uint64))
+        v = np.full(len(words), START)
+        if len(words):
+            inner = np.flatnonzero(row[1:] == row[:-1])
+            v[inner + 1] = words[inner]
+        both = mix(mix(v.view(np.uint64)) ^ words.view(np.uint64))
         # a document sends a bigram once
-        order = np.lexsort((both, r))
+        order = np.lexsort((both, row))
         one = np.ones(len(order), bool)
-        one[1:] = (both[order[1:]] != both[order[:-1]]) | (r[order[1:]] != r[order[:-1]])
+        one[1:] = (both[order[1:]] != both[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
         at = np.flatnonzero(one)
         times, pick = np.diff(np.append(at, len(order))), order[at]
-        v, w, r = v[pick], w[pick], r[pick]
-        light = _find(heavy, v) < 0
-        bucket = (np.where(light, mix(v.view(np.uint64)), both[pick]) >> np.uint64(20)).astype(np.int64) % buckets
-        by = np.argsort(bucket, kind="stable")  # by document within a bucket
+        v, w, r = v[pick], words[pick], row[pick]
+        light = _find(heavy, w) < 0
+        bucket = (np.where(light, mix(w.view(np.uint64)), both[pick]) >> np.uint64(20)).astype(np.int64) % buckets
+        by = np.lexsort((w, bucket))
         cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cut))
         cols: list[list] = [[], [], [], [], []]
+        add = lambda *x: [c.append(y) for c, y in zip(cols, x, strict=True)]
         for b in used:
             mine = by[cut[b] : cut[b + 1]]
-            docs, size = np.unique(r[mine], return_counts=True)
-            for c, x in zip(cols, (_pack(v[mine]), _pack(w[mine]), ids[docs].tobytes(), size.astype(np.int32).tobytes(), np.minimum(times[mine], (1 << 31) - 1).astype(np.int32).tobytes()), strict=True):
-                c.append(x)
-        for c, x in zip(cols, (_pack(first), b"", ids.tobytes(), count.astype(np.int32).tobytes(), b""), strict=True):
-            c.append(x)
+            second, many = np.unique(w[mine], return_counts=True)
+            docs, of = np.unique(r[mine], return_inverse=True)
+            add(_pack(v[mine]), np.array([len(second)]).tobytes() + second.tobytes() + many.astype(np.int32).tobytes(), of.astype(np.int32).tobytes() if len(docs) > 1 << 16 else of.astype(np.uint16).tobytes(), ids[docs].tobytes(), np.minimum(times[mine], (1 << 31) - 1).astype(np.int32).tobytes())
+        add(b"", b"", b"", ids.tobytes(), np.bincount(row, minlength=len(ids)).astype(np.int32).tobytes())
         home = -1 - int(ids[0] % buckets)
         yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), home], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names)
 
@@ -124,81 +122,62 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("word", pa.int64()), ("times", pa.i
 
 
 def _score(table: pa.Table, total: int, heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray) -> pa.Table:
-    """doc_id, word and times to ask for (null: nothing), part (log S as far as known), n_words."""
-    if table.column("bucket")[0].as_py() < 0:
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("sizes").to_pylist()]).astype(np.int64)
-        first = np.concatenate([_unpack(x, len(y) // 4) for x, y in zip(table.column("first").to_pylist(), table.column("sizes").to_pylist(), strict=True)])
-        known = _find(heavy, first)
-        part = np.where((n > 0) & (known >= 0), np.log(np.append(heavy_n, 1)[known] / max(total, 1)), 0.0)
-        ask = (n > 0) & (known < 0)
-        return pa.table([pa.array(ids), pa.array(first, mask=~ask), pa.array(ask.astype(np.int64)), pa.array(part - ask * math.log(max(total, 1))), pa.array(n)], schema=SCORED)
+    """doc_id, word whose count as a first word is to be taken off `times` times (null: none), part, n_words."""
     times = [np.frombuffer(x, np.int32) for x in table.column("times").to_pylist()]
-    v, w = (np.concatenate([_unpack(x, len(t)) for x, t in zip(table.column(c).to_pylist(), times, strict=True)]) for c in ("first", "second"))
-    ids = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(s, np.int32)) for d, s in zip(table.column("docs").to_pylist(), table.column("sizes").to_pylist(), strict=True)])
-    times = np.concatenate(times).astype(np.int64)
-    order = np.lexsort((w, v))
+    names = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
+    if table.column("bucket")[0].as_py() < 0:
+        ids, n = np.concatenate(names), np.concatenate(times).astype(np.int64)
+        return pa.table([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids))), pa.array(n)], schema=SCORED)
+    v = np.concatenate([_unpack(x, len(t)) for x, t in zip(table.column("first").to_pylist(), times, strict=True)])
+    w, ids = [], []
+    for raw, docs, own, t in zip(table.column("second").to_pylist(), table.column("docs").to_pylist(), names, times, strict=True):
+        k = int(np.frombuffer(raw, np.int64, 1)[0])
+        w.append(np.repeat(np.frombuffer(raw, np.int64, k, 8), np.frombuffer(raw, np.int32, k, 8 + 8 * k)))
+        ids.append(own[np.frombuffer(docs, np.uint16 if len(docs) == 2 * len(t) else np.int32)])
+    w, ids, times = np.concatenate(w), np.concatenate(ids), np.concatenate(times).astype(np.int64)
+    order = np.lexsort((v, w))
     v, w, ids, times = v[order], w[order], ids[order], times[order]
-    new_v = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    new_w = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
     new_b = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
     spread = lambda at: np.repeat(np.add.reduceat(times, at), np.diff(np.append(at, len(v))))
-    c_bigram, c_first = spread(new_b), spread(new_v)
-    known = _find(heavy, v)
-    c_first = np.where(known >= 0, np.append(heavy_first, 1)[known], c_first)
-    seen = c_bigram >= MIN_COUNT
-    second = _find(heavy, w)
-    at_hand = np.log(np.append(heavy_n, 1)[second])
-    back = math.log(BACKOFF) - math.log(max(total, 1)) + np.where(second >= 0, at_hand, 0.0)
-    part = times * np.where(seen, np.log(c_bigram) - np.log(c_first), back)
-    ask = ~seen & (second < 0)
+    known = _find(heavy, w)
+    c_second = np.where(known >= 0, np.append(heavy_n, 1)[known], spread(new_w))
+    c_bigram = spread(new_b)
+    seen = (c_bigram >= MIN_COUNT) & (v != START)
+    first = np.where(seen, _find(heavy, v), -1)
+    back = np.log(c_second) - math.log(max(total, 1)) + np.where(v != START, math.log(BACKOFF), 0.0)
+    part = times * np.where(seen, np.log(c_bigram) - np.log(np.append(heavy_first, 1)[first]), back)
+    ask = seen & (first < 0)
     # what is known is summed by document; what isn't goes by (document, word)
     docs, back_to = np.unique(ids, return_inverse=True)
-    known_part = np.bincount(back_to, part, len(docs))
-    word, n = w[ask], times[ask]
-    k = len(docs)
-    return pa.table([pa.array(np.concatenate((docs, ids[ask]))), pa.array(np.concatenate((np.zeros(k, np.int64), word)), mask=np.arange(k + len(word)) < k), pa.array(np.concatenate((np.zeros(k, np.int64), n))), pa.array(np.concatenate((known_part, np.zeros(len(word))))), pa.nulls(k + len(word), pa.int64())], schema=SCORED)
+    k, asked = len(docs), int(ask.sum())
+    none = np.zeros(k, np.int64)
+    return pa.table([pa.array(np.concatenate((docs, ids[ask]))), pa.array(np.concatenate((none, v[ask])), mask=np.arange(k + asked) < k), pa.array(np.concatenate((none, times[ask]))), pa.array(np.concatenate((np.bincount(back_to, part, k), np.zeros(asked)))), pa.nulls(k + asked, pa.int64())], schema=SCORED)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, score (mean log S of a word, rounded to 6 places; null without words)."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = d.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    # only words that start two bigrams or more are ever asked for
+    counts = d.mapInArrow(_counts, "word long, n long, n_first long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
+    total = d.select(F.regexp_count("text", F.lit(WORD)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    counts = materialize(counts.where("n > 1"))
     top = counts.where(F.col("n") * HEAVY >= max(total, 1)).limit(HEAVY).toArrow()
-    heavy, heavy_n = top.column("word").to_numpy(), top.column("n").to_numpy()
+    heavy, heavy_n, heavy_first = (top.column(c).to_numpy() for c in ("word", "n", "n_first"))
     order = np.argsort(heavy)
-    heavy, heavy_n = heavy[order], heavy_n[order]
-    lasts = spark.sparkContext.broadcast(heavy)
-    ends = d.mapInArrow(lambda b: _last_words(b, lasts.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    heavy_first = heavy_n.astype(np.int64).copy()
-    if ends.num_rows:
-        heavy_first[_find(heavy, ends.column("word").to_numpy())] -= ends.column("n").to_numpy()
-    held = spark.sparkContext.broadcast((heavy, heavy_n, np.maximum(heavy_first, 1)))
+    held = spark.sparkContext.broadcast((heavy[order], heavy_n[order], np.maximum(heavy_first[order], 1)))
     buckets = max(1, math.ceil(total / BUCKET_WORDS))
-    dealt = d.mapInArrow(lambda b: _deal(b, buckets, held.value[0]), "bucket int, first binary, second binary, docs binary, sizes binary, times binary")
+    dealt = d.mapInArrow(lambda b: _deal(b, buckets, held.value[0]), "bucket int, first binary, second binary, docs binary, ids binary, times binary")
     scored = dealt.groupBy("bucket").applyInArrow(lambda t: _score(t, total, *held.value), "doc_id long, word long, times long, part double, n_words long")
     # rows that ask for nothing get a key of their own in the join, so that they don't meet in one task
     scored = scored.withColumn("key", F.coalesce("word", F.xxhash64("doc_id", F.lit("none"))))
-    c = counts.select(F.col("word").alias("key"), F.col("n").alias("c"))
-    found = scored.join(c, "key", "left").withColumn("got", F.col("part") + F.when(F.col("word").isNotNull(), F.col("times") * F.log("c")).otherwise(0.0))
+    found = scored.join(counts.select(F.col("word").alias("key"), F.col("n_first").alias("c")), "key", "left")
+    found = found.withColumn("got", F.col("part") - F.when(F.col("word").isNotNull(), F.col("times") * F.log("c")).otherwise(0.0))
     out = found.groupBy("doc_id").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.sum("got").alias("s"))
     return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
 
 
-def _last_words(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """How often each heavy word ends a text."""
-    n = np.zeros(len(heavy) + 1, np.int64)
-    for batch in chunks(batches):
-        words, row = _words(batch)
-        if len(row):
-            last = words[np.append(row[1:] != row[:-1], True)]
-            k = _find(heavy, last)
-            n += np.bincount(np.where(k < 0, len(heavy), k), minlength=len(heavy) + 1)
-    at = np.flatnonzero(n[:-1])
-    yield pa.RecordBatch.from_arrays([pa.array(heavy[at]), pa.array(n[at])], ["word", "n"])
-
-
 SQL = r"""
 WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS w FROM documents),
 each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words),
