@@ -34,7 +34,7 @@ from reliefgrid.llm.common import chunks, column, gram_hashes, signed, text_byte
 
 WINDOW, SEED = 20, 8
 #: Bytes of text for which one shard is made.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 14 << 20
 
 
 class WaveletMatrix:
@@ -227,11 +227,11 @@ def later_occurrences(size: np.ndarray, words: np.ndarray, seg: np.ndarray, ids:
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     left = np.repeat(at, n) + offset
     earliest = np.empty(len(left), np.int64)
-    for k in range(0, len(left), 1 << 18):
-        lo, hi = index.search(text[left[k : k + (1 << 18), None] + np.arange(WINDOW)])
+    for k in range(0, len(left), 1 << 16):
+        lo, hi = index.search(text[left[k : k + (1 << 16), None] + np.arange(WINDOW)])
         # intervals of one size of window are equal or disjoint
         lo, pick, back = np.unique(lo, return_index=True, return_inverse=True)
-        earliest[k : k + (1 << 18)] = np.minimum.reduceat(where, np.stack((lo, hi[pick]), 1).ravel())[::2][back]
+        earliest[k : k + (1 << 16)] = np.minimum.reduceat(where, np.stack((lo, hi[pick]), 1).ravel())[::2][back]
     # every occurrence's windows against the first of their kind
     many = n[seg]
     line = np.repeat(np.arange(len(seg)), many)
