@@ -36,23 +36,33 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.union(least).distinct())
 
 
-def linked_groups(sized: DataFrame, features: DataFrame, same: Callable[[Column, Column], Column], may: Callable[[Callable, Callable], Column]) -> DataFrame:
+def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame], same: Callable[[Column, Column], Column], may: Callable[[Callable, Callable], Column], enough: Callable[[Callable, Callable, Column], Column] | None = None, small: int = SMALL_BUCKET) -> DataFrame:
     """(id, root) for each linked id.
 
     sized: bucket, id, n (the bucket's members) and what `may` needs, stored, without buckets of one; rows (bucket, id)
-    are distinct. features: (id, f), stored, f being what `same` compares: whether two members link. may(l, r): a
-    condition that no linked pair fails, l and r giving the columns of both members by name.
+    are distinct. features(ids): (id, f) for these ids, f being what `same` compares: whether two members link.
+    may(l, r): a condition that no linked pair fails, l and r giving the columns of both members by name. enough(l, r, n):
+    the same, given that the pair shares n buckets or fewer.
 
     The most central member of a bucket is the one whose buckets have the most members: among variants of one text
     that is the text itself.
     """
     named = [c for c in sized.columns if c not in ("bucket", "n")]
-    weight = sized.groupBy("id").agg(F.sum("n").alias("weight"))
-    many, few = sized.where(F.col("n") > SMALL_BUCKET), sized.where(F.col("n") <= SMALL_BUCKET)
-    side = lambda d, s: d.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in named])
-    centre = many.join(weight, "id").groupBy("bucket").agg(F.max_by(F.struct(*named), F.struct("weight", "id")).alias("x")).select("bucket", "x.*")
-    near = side(few, "l").join(side(few, "r"), "bucket").where("l_id < r_id").unionByName(side(many, "l").join(side(centre, "r"), "bucket"))
-    near = near.where(may(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).where("a < b").distinct()
+    weight = sized.groupBy("id").agg(F.sum("n").alias("weight"), F.count_if(F.col("n") > small).alias("large"))
+    sized = sized.join(weight, "id")
+    many, few = sized.where(F.col("n") > small), sized.where(F.col("n") <= small)
+    side = lambda d, s, *more: d.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in [*named, *more]])
+    l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
+    centre = many.groupBy("bucket").agg(F.max_by(F.struct(*named), F.struct("weight", "id")).alias("x")).select("bucket", "x.*")
+    near = side(few, "l", "large").join(side(few, "r", "large"), "bucket").where("l_id < r_id").where(may(l, r))
+    if enough is not None:
+        # what all small buckets say of a pair, and at most so many large ones
+        own = [c for c in near.columns if c != "bucket" and not c.endswith("place")]
+        near = near.groupBy(*own).agg(F.count("bucket").alias("shared_")).where(enough(l, r, F.col("shared_") + F.least("l_large", "r_large")))
+    star = side(many, "l").join(side(centre, "r"), "bucket").where(may(l, r))
+    pair = lambda d: d.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
+    near = materialize(pair(near).union(pair(star)).where("a < b").distinct())
+    features = materialize(features(near.select(F.col("a").alias("id")).union(near.select("b")).union(many.select("id")).distinct()))
     near = near.join(features.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(features.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
     links = materialize(near.where(same(F.col("x"), F.col("y"))).select("a", "b"))
     groups = components(links)

@@ -289,7 +289,7 @@ def brute_links(rows, n, num, den):
 @pytest.mark.parametrize("small", [8, 1])
 @pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
 def test_ngram_join(docs, rows, n, num, den, small, monkeypatch):
-    monkeypatch.setattr(links, "SMALL_BUCKET", small)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     got = {k: (r.n_shingles, r.component_id) for k, r in by_id(ngram_join.link_documents(docs, n, num, den)).items()}
     assert got == brute_links(rows, n, num, den)
 
