@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.llm.common import chunks
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 END = "</w>"
 #: The characters that Unicode calls white space, and the contractions and classes of the word pattern.
 BLANK = "\t-\r \x85\xa0  -     　"

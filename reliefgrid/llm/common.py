@@ -22,7 +22,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256)
 LOWER[65:91] += 32
 #: Text bytes that one numpy pass takes; a longer single text is a pass of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -57,8 +57,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches' rows in slices of about CHUNK_BYTES of text."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about most_bytes bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -66,7 +66,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0
-            to = max(int(np.searchsorted(size, done + CHUNK_BYTES, "right")), at + 1)
+            to = max(int(np.searchsorted(size, done + most_bytes, "right")), at + 1)
             yield batch.slice(at, to - at)
             at = to
 

@@ -37,7 +37,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts, and the text that each belongs to."""
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
+    row = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 1 for t in low])
     letter = _letters()[code]
     held = letter.copy()
     held[1:] |= letter[:-1]

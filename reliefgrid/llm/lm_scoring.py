@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.common import WORD, chunks, column, materialize, mix, signed, text_bytes, word_hashes, word_spans
+from reliefgrid.llm.common import CHUNK_BYTES, WORD, chunks, column, materialize, mix, signed, text_bytes, word_hashes, word_spans
 
 MIN_COUNT, BACKOFF, HEAVY = 2, 0.4, 1 << 15
 BUCKET_WORDS = 1 << 20
@@ -86,7 +86,7 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray) ->
     """Packed bigrams by bucket, a text's first word as one whose own first word is START; negative buckets hold each
     document's number of words. Within a bucket by second word, so that its hash is stored once with a count."""
     names = ["bucket", "first", "second", "docs", "ids", "times"]
-    for batch in chunks(batches):
+    for batch in chunks(batches, most_bytes=2 * CHUNK_BYTES):
         words, row = _words(batch)
         ids = column(batch, "doc_id")
         v = np.full(len(words), START)
