@@ -5,12 +5,12 @@ c(w) / N. c(v) counts v as the first word of a bigram. A document's score is the
 their number.
 
 1. Words' counts, and their counts as first words of bigrams, are added up over all documents. Words with at least
-   1 / HEAVY of all occurrences, at most HEAVY of them, are broadcast with their counts.
-2. Bigrams are dealt to buckets by the hash of their second word, those of a heavy second word by both words. Each
-   document sends a bigram once, with how often it holds it, and a bucket's part of a batch is one row of packed arrays.
-   A bucket has all occurrences of its bigrams and of its light second words: it counts them and scores in place what
-   backs off, and of the rest what has a heavy first word.
-3. For a bigram that occurs often enough and has a light first word, that word's count is joined by hash. The parts are
+   1 / KNOWN of all occurrences, at most KNOWN of them, are broadcast with their counts.
+2. Bigrams are dealt to buckets by the hash of their second word, those of a heavy second word (1 / HEAVY of all) by both
+   words. Each document sends a bigram once, with how often it holds it, and a bucket's part of a task is one row of
+   packed arrays. A bucket has all occurrences of its bigrams and of its light second words: it counts them and scores
+   in place what backs off, and of the rest what has a known first word.
+3. For a bigram that occurs often enough and has another first word, that word's count is joined by hash. The parts are
    summed by document.
 
 Words are told apart by 64-bit hashes. Nulls: a null text has no words; such rows have score null. A null doc_id stands
@@ -30,12 +30,16 @@ from pyspark.sql import functions as F
 
 from reliefgrid.llm.common import CHUNK_BYTES, WORD, chunks, column, materialize, mix, signed, text_bytes, word_hashes, word_spans
 
-MIN_COUNT, BACKOFF, HEAVY = 2, 0.4, 1 << 15
+MIN_COUNT, BACKOFF = 2, 0.4
+#: Words with at least 1 / HEAVY of all occurrences are dealt by bigram; those with 1 / KNOWN are broadcast with counts (24 bytes each).
+HEAVY, KNOWN = 1 << 15, 1 << 20
 BUCKET_WORDS = 1 << 20
 #: Stands before a text's first word.
 START = np.int64(-(1 << 63))
 #: Distinct words that a task counts before it hands them on.
 TASK_WORDS = 1 << 20
+#: Bigrams that a task gathers before it packs them, at 28 bytes each.
+TASK_BIGRAMS = 1 << 22
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -69,84 +73,121 @@ def _find(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == words, at, -1)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Words as a table of distinct ones and indices into it."""
-    keys, back = np.unique(x, return_inverse=True)
-    kind = np.uint16 if len(keys) <= 1 << 16 else np.uint32
-    return np.array([len(keys)], np.int64).tobytes() + keys.tobytes() + back.astype(kind).tobytes()
+def _ints(x: np.ndarray) -> bytes:
+    """Non-negative integers in the least width that holds them, after one byte that names it."""
+    width = next(k for k in range(4) if k == 3 or not len(x) or int(x.max()) < 1 << (8 << k))
+    return bytes([width]) + x.astype(f"u{1 << width}").tobytes()
 
 
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    k = int(np.frombuffer(raw, np.int64, 1)[0])
-    keys = np.frombuffer(raw, np.int64, k, 8)
-    return keys[np.frombuffer(raw, np.uint16 if k <= 1 << 16 else np.uint32, n, 8 + 8 * k)]
+def _from_ints(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{1 << raw[0]}", offset=1).astype(np.int64)
+
+
+def _code(x: np.ndarray, heavy: np.ndarray) -> tuple[bytes, bytes]:
+    """Words as the distinct light ones, and indices into the heavy words followed by these."""
+    at = _find(heavy, x)
+    own, back = np.unique(x[at < 0], return_inverse=True)
+    at[at < 0] = len(heavy) + back
+    return own.tobytes(), _ints(at)
+
+
+def _decode(own: bytes, codes: bytes, heavy: np.ndarray) -> np.ndarray:
+    return np.concatenate((heavy, np.frombuffer(own, np.int64)))[_from_ints(codes)]
+
+
+NAMES = ["bucket", "own_first", "first", "own_second", "second", "runs", "ids", "docs", "times"]
+DEALT = "bucket int, " + ", ".join(f"{c} binary" for c in NAMES[1:])
+
+
+def _row(v: np.ndarray, w: np.ndarray, docs: np.ndarray, times: np.ndarray, heavy: np.ndarray) -> list[bytes]:
+    """Bigrams of one bucket by second word and document: each second word once with its run, ids by differences."""
+    order = np.lexsort((docs, w))
+    v, w, docs, times = v[order], w[order], docs[order], times[order]
+    at = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+    ids, of = np.unique(docs, return_inverse=True)
+    return [*_code(v, heavy), *_code(w[at], heavy), _ints(np.diff(np.append(at, len(w)))), ids[:1].tobytes() + _ints(np.diff(ids.view(np.uint64))), _ints(of), _ints(times)]
+
+
+def _ids(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.append(np.frombuffer(raw, np.int64, 1), _from_ints(raw[8:])))
+
+
+def _bigrams(batch: pa.RecordBatch, buckets: int, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Offsets by bucket; first and second word, id and times of each document's distinct bigrams; ids, numbers of words."""
+    words, row = _words(batch)
+    ids = column(batch, "doc_id")
+    v = np.full(len(words), START)
+    if len(words):
+        inner = np.flatnonzero(row[1:] == row[:-1])
+        v[inner + 1] = words[inner]
+    both = mix(mix(v.view(np.uint64)) ^ words.view(np.uint64))
+    order = np.lexsort((both, row))
+    one = np.ones(len(order), bool)
+    one[1:] = (both[order[1:]] != both[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    at = np.flatnonzero(one)
+    times, pick = np.diff(np.append(at, len(order))), order[at]
+    light = _find(heavy, words[pick]) < 0
+    bucket = (np.where(light, mix(words[pick].view(np.uint64)), both[pick]) >> np.uint64(20)).astype(np.int64) % buckets
+    by = np.argsort(bucket, kind="stable")
+    pick = pick[by]
+    return np.searchsorted(bucket[by], np.arange(buckets + 1)), v[pick], words[pick], ids[row[pick]], times[by].astype(np.int32), ids, np.bincount(row, minlength=len(ids))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed bigrams by bucket, a text's first word as one whose own first word is START; negative buckets hold each
-    document's number of words. Within a bucket by second word, so that its hash is stored once with a count."""
-    names = ["bucket", "first", "second", "docs", "ids", "times"]
-    for batch in chunks(batches, most_bytes=2 * CHUNK_BYTES):
-        words, row = _words(batch)
-        ids = column(batch, "doc_id")
-        v = np.full(len(words), START)
-        if len(words):
-            inner = np.flatnonzero(row[1:] == row[:-1])
-            v[inner + 1] = words[inner]
-        both = mix(mix(v.view(np.uint64)) ^ words.view(np.uint64))
-        # a document sends a bigram once
-        order = np.lexsort((both, row))
-        one = np.ones(len(order), bool)
-        one[1:] = (both[order[1:]] != both[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-        at = np.flatnonzero(one)
-        times, pick = np.diff(np.append(at, len(order))), order[at]
-        v, w, r = v[pick], words[pick], row[pick]
-        light = _find(heavy, w) < 0
-        bucket = (np.where(light, mix(w.view(np.uint64)), both[pick]) >> np.uint64(20)).astype(np.int64) % buckets
-        by = np.lexsort((w, bucket))
-        cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        used = np.flatnonzero(np.diff(cut))
-        cols: list[list] = [[], [], [], [], []]
-        add = lambda *x: [c.append(y) for c, y in zip(cols, x, strict=True)]
-        for b in used:
-            mine = by[cut[b] : cut[b + 1]]
-            second, many = np.unique(w[mine], return_counts=True)
-            docs, of = np.unique(r[mine], return_inverse=True)
-            add(_pack(v[mine]), np.array([len(second)]).tobytes() + second.tobytes() + many.astype(np.int32).tobytes(), of.astype(np.int32).tobytes() if len(docs) > 1 << 16 else of.astype(np.uint16).tobytes(), ids[docs].tobytes(), np.minimum(times[mine], (1 << 31) - 1).astype(np.int32).tobytes())
-        add(b"", b"", b"", ids.tobytes(), np.bincount(row, minlength=len(ids)).astype(np.int32).tobytes())
-        home = -1 - int(ids[0] % buckets)
-        yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), home], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names)
+    document's number of words. A task gathers about TASK_BIGRAMS before it packs, as larger rows pack closer."""
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for b in np.flatnonzero(sum(np.diff(h[0]) for h in held)):
+            rows.append([int(b), *_row(*(np.concatenate([h[k][h[0][b] : h[0][b + 1]] for h in held]) for k in range(1, 5)), heavy)])
+            size += sum(map(len, rows[-1][1:]))
+            if size > CHUNK_BYTES:
+                yield out(rows)
+                rows, size = [], 0
+        ids, n = (np.concatenate([h[k] for h in held]) for k in (5, 6))
+        yield out([*rows, [-1 - int(ids[0] % buckets), b"", b"", b"", b"", b"", ids.tobytes(), b"", _ints(n)]])
+
+    def out(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], NAMES)
+
+    held, many = [], 0
+    for batch in chunks(batches):
+        held.append(_bigrams(batch, buckets, heavy))
+        many += len(held[-1][1])
+        if many > TASK_BIGRAMS:
+            yield from packed(held)
+            held, many = [], 0
+    if held:
+        yield from packed(held)
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("word", pa.int64()), ("times", pa.int64()), ("part", pa.float64()), ("n_words", pa.int64())])
 
 
-def _score(table: pa.Table, total: int, heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray) -> pa.Table:
+def _score(table: pa.Table, total: int, heavy: np.ndarray, known: np.ndarray, known_n: np.ndarray, known_first: np.ndarray) -> pa.Table:
     """doc_id, word whose count as a first word is to be taken off `times` times (null: none), part, n_words."""
-    times = [np.frombuffer(x, np.int32) for x in table.column("times").to_pylist()]
-    names = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
-    if table.column("bucket")[0].as_py() < 0:
-        ids, n = np.concatenate(names), np.concatenate(times).astype(np.int64)
-        return pa.table([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids))), pa.array(n)], schema=SCORED)
-    v = np.concatenate([_unpack(x, len(t)) for x, t in zip(table.column("first").to_pylist(), times, strict=True)])
-    w, ids = [], []
-    for raw, docs, own, t in zip(table.column("second").to_pylist(), table.column("docs").to_pylist(), names, times, strict=True):
-        k = int(np.frombuffer(raw, np.int64, 1)[0])
-        w.append(np.repeat(np.frombuffer(raw, np.int64, k, 8), np.frombuffer(raw, np.int32, k, 8 + 8 * k)))
-        ids.append(own[np.frombuffer(docs, np.uint16 if len(docs) == 2 * len(t) else np.int32)])
-    w, ids, times = np.concatenate(w), np.concatenate(ids), np.concatenate(times).astype(np.int64)
+    rows = table.to_pylist()
+    times = np.concatenate([_from_ints(r["times"]) for r in rows])
+    if rows[0]["bucket"] < 0:
+        ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+        return pa.table([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids))), pa.array(times)], schema=SCORED)
+    v = np.concatenate([_decode(r["own_first"], r["first"], heavy) for r in rows])
+    w = np.concatenate([np.repeat(_decode(r["own_second"], r["second"], heavy), _from_ints(r["runs"])) for r in rows])
+    ids = np.concatenate([_ids(r["ids"])[_from_ints(r["docs"])] for r in rows])
+    del rows
     order = np.lexsort((v, w))
     v, w, ids, times = v[order], w[order], ids[order], times[order]
     new_w = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
     new_b = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
-    spread = lambda at: np.repeat(np.add.reduceat(times, at), np.diff(np.append(at, len(v))))
-    known = _find(heavy, w)
-    c_second = np.where(known >= 0, np.append(heavy_n, 1)[known], spread(new_w))
-    c_bigram = spread(new_b)
+    spread = lambda x, at: np.repeat(x, np.diff(np.append(at, len(v))))
+    at = _find(known, w[new_w])
+    c_second = spread(np.where(at >= 0, np.append(known_n, 1)[at], np.add.reduceat(times, new_w)), new_w)
+    c_bigram = spread(np.add.reduceat(times, new_b), new_b)
+    first = spread(_find(known, v[new_b]), new_b)
     seen = (c_bigram >= MIN_COUNT) & (v != START)
-    first = np.where(seen, _find(heavy, v), -1)
     back = np.log(c_second) - math.log(max(total, 1)) + np.where(v != START, math.log(BACKOFF), 0.0)
-    part = times * np.where(seen, np.log(c_bigram) - np.log(np.append(heavy_first, 1)[first]), back)
+    part = times * np.where(seen, np.log(c_bigram) - np.where(first >= 0, np.log(np.append(known_first, 1)[first]), 0.0), back)
     ask = seen & (first < 0)
     # what is known is summed by document; what isn't goes by (document, word)
     docs, back_to = np.unique(ids, return_inverse=True)
@@ -163,14 +204,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = d.mapInArrow(_counts, "word long, n long, n_first long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
     total = d.select(F.regexp_count("text", F.lit(WORD)).alias("n")).agg(F.sum("n")).first()[0] or 0
     counts = materialize(counts.where("n > 1"))
-    top = counts.where(F.col("n") * HEAVY >= max(total, 1)).limit(HEAVY).toArrow()
-    heavy, heavy_n, heavy_first = (top.column(c).to_numpy() for c in ("word", "n", "n_first"))
-    order = np.argsort(heavy)
-    held = spark.sparkContext.broadcast((heavy[order], heavy_n[order], np.maximum(heavy_first[order], 1)))
+    top = counts.where(F.col("n") * KNOWN >= max(total, 1)).limit(KNOWN).toArrow()
+    known, known_n, known_first = (top.column(c).to_numpy() for c in ("word", "n", "n_first"))
+    order = np.argsort(known)
+    known, known_n, known_first = known[order], known_n[order], np.maximum(known_first[order], 1)
+    heavy = known[known_n * HEAVY >= max(total, 1)]
+    held = spark.sparkContext.broadcast((heavy, known, known_n, known_first))
     buckets = max(1, math.ceil(total / BUCKET_WORDS))
-    dealt = d.mapInArrow(lambda b: _deal(b, buckets, held.value[0]), "bucket int, first binary, second binary, docs binary, ids binary, times binary")
+    dealt = d.mapInArrow(lambda b: _deal(b, buckets, held.value[0]), DEALT)
     scored = dealt.groupBy("bucket").applyInArrow(lambda t: _score(t, total, *held.value), "doc_id long, word long, times long, part double, n_words long")
-    # rows that ask for nothing get a key of their own in the join, so that they don't meet in one task
+    # a task's buckets are added up before they are sent; what asks for nothing gets keys of its own in the join
+    scored = scored.groupBy("doc_id", "word").agg(*[F.sum(c).alias(c) for c in ("times", "part", "n_words")])
     scored = scored.withColumn("key", F.coalesce("word", F.xxhash64("doc_id", F.lit("none"))))
     found = scored.join(counts.select(F.col("word").alias("key"), F.col("n_first").alias("c")), "key", "left")
     found = found.withColumn("got", F.col("part") - F.when(F.col("word").isNotNull(), F.col("times") * F.log("c")).otherwise(0.0))

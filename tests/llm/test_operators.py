@@ -90,6 +90,8 @@ def test_lm_scores_with_light_words(docs, monkeypatch):
     """The same with next to no broadcast words and with many buckets."""
     full = by_id(lm_scoring.score_documents(docs))
     monkeypatch.setattr(lm_scoring, "HEAVY", 3)
+    monkeypatch.setattr(lm_scoring, "KNOWN", 30)
+    monkeypatch.setattr(lm_scoring, "TASK_BIGRAMS", 700)
     monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 500)
     light = by_id(lm_scoring.score_documents(docs))
     assert {k: (v.n_words, v.score) for k, v in full.items()} == {k: (v.n_words, v.score) for k, v in light.items()}
