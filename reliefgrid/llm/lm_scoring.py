@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,12 @@ def _row(v: np.ndarray, w: np.ndarray, docs: np.ndarray, times: np.ndarray, heav
     v, w, docs, times = v[order], w[order], docs[order], times[order]
     at = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
     ids, of = np.unique(docs, return_inverse=True)
-    return [*_code(v, heavy), *_code(w[at], heavy), _ints(np.diff(np.append(at, len(w)))), ids[:1].tobytes() + _ints(np.diff(ids.view(np.uint64))), _ints(of), _ints(times)]
+    return [*_code(v, heavy), *_code(w[at], heavy), _ints(np.diff(np.append(at, len(w)))), _pack_ids(ids), _ints(of), _ints(times)]
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids by their differences."""
+    return ids[:1].tobytes() + _ints(np.diff(ids.view(np.uint64)))
 
 
 def _ids(raw: bytes) -> np.ndarray:
@@ -162,16 +168,30 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray) ->
         yield from packed(held)
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("word", pa.int64()), ("times", pa.int64()), ("part", pa.float64()), ("n_words", pa.int64())])
+SCORED = "part int, ids binary, sums binary, numbers binary, doc_id long, word long, times long"
+
+
+def _parts(ids: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(20)).astype(np.int64) % parts
+
+
+def _sums(ids: np.ndarray, sums: np.ndarray, numbers: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of SCORED that hold what is known of documents, packed by the part that a document's id falls in."""
+    part = _parts(ids, parts)
+    order = np.lexsort((ids, part))
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    pack = lambda at: _ints(numbers[at]) if len(numbers) else b""
+    return [(int(part[at[0]]), _pack_ids(ids[at]), sums[at].tobytes(), pack(at)) for at in np.split(order, cuts) if len(at)]
 
 
-def _score(table: pa.Table, total: int, heavy: np.ndarray, known: np.ndarray, known_n: np.ndarray, known_first: np.ndarray) -> pa.Table:
-    """doc_id, word whose count as a first word is to be taken off `times` times (null: none), part, n_words."""
+def _score(table: pa.Table, total: int, heavy: np.ndarray, known: np.ndarray, known_n: np.ndarray, known_first: np.ndarray, parts: int) -> pa.Table:
+    """SCORED: sums of documents, packed; and single rows doc_id, word whose count as a first word is to be taken off `times` times."""
     rows = table.to_pylist()
     times = np.concatenate([_from_ints(r["times"]) for r in rows])
     if rows[0]["bucket"] < 0:
         ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-        return pa.table([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids))), pa.array(times)], schema=SCORED)
+        ids, back_to = np.unique(ids, return_inverse=True)
+        return _scored(_sums(ids, np.zeros(len(ids)), np.bincount(back_to, times, len(ids)).astype(np.int64), parts))
     v = np.concatenate([_decode(r["own_first"], r["first"], heavy) for r in rows])
     w = np.concatenate([np.repeat(_decode(r["own_second"], r["second"], heavy), _from_ints(r["runs"])) for r in rows])
     ids = np.concatenate([_ids(r["ids"])[_from_ints(r["docs"])] for r in rows])
@@ -191,9 +211,33 @@ def _score(table: pa.Table, total: int, heavy: np.ndarray, known: np.ndarray, kn
     ask = seen & (first < 0)
     # what is known is summed by document; what isn't goes by (document, word)
     docs, back_to = np.unique(ids, return_inverse=True)
-    k, asked = len(docs), int(ask.sum())
-    none = np.zeros(k, np.int64)
-    return pa.table([pa.array(np.concatenate((docs, ids[ask]))), pa.array(np.concatenate((none, v[ask])), mask=np.arange(k + asked) < k), pa.array(np.concatenate((none, times[ask]))), pa.array(np.concatenate((np.bincount(back_to, part, k), np.zeros(asked)))), pa.nulls(k + asked, pa.int64())], schema=SCORED)
+    return _scored(_sums(docs, np.bincount(back_to, part, len(docs)), np.zeros(0, np.int64), parts), _parts(ids[ask], parts), ids[ask], v[ask], times[ask])
+
+
+def _scored(packed: list[tuple], *asked: np.ndarray) -> pa.Table:
+    """SCORED of packed rows, followed by the single rows asked."""
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    k, m = len(packed), len(asked[0]) if asked else 0
+    part, *rest = zip(*packed, strict=True)
+    cols = [pa.array(np.append(part, asked[0]) if asked else part, kinds[0])]
+    cols += [pa.array([*x, *[None] * m], t) for x, t in zip(rest, kinds[1:4], strict=True)]
+    cols += [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) if asked else pa.nulls(k, pa.int64()) for x in (asked[1:] or (0, 0, 0))]
+    return pa.table(cols, names=["part", "ids", "sums", "numbers", "doc_id", "word", "times"])
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """doc_id, n_words, s (sum of log S) of the documents of one part."""
+    table = table.combine_chunks()
+    one = table.filter(pc.is_valid(table.column("doc_id")))
+    ids, s, n = [one.column("doc_id").to_numpy()], [one.column("got").to_numpy()], [np.zeros(one.num_rows)]
+    held = table.filter(pc.is_valid(table.column("ids")))
+    for raw, sums, numbers in zip(*(held.column(c).to_pylist() for c in ("ids", "sums", "numbers")), strict=True):
+        ids.append(_ids(raw))
+        s.append(np.frombuffer(sums))
+        n.append(_from_ints(numbers) if numbers else np.zeros(len(ids[-1])))
+    docs, at = np.unique(np.concatenate(ids), return_inverse=True)
+    n, s = (np.bincount(at, np.concatenate(x), len(docs)) for x in (n, s))
+    return pa.table([pa.array(docs), pa.array(n.astype(np.int64)), pa.array(s)], names=["doc_id", "n_words", "s"])
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -212,13 +256,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast((heavy, known, known_n, known_first))
     buckets = max(1, math.ceil(total / BUCKET_WORDS))
     dealt = d.mapInArrow(lambda b: _deal(b, buckets, held.value[0]), DEALT)
-    scored = dealt.groupBy("bucket").applyInArrow(lambda t: _score(t, total, *held.value), "doc_id long, word long, times long, part double, n_words long")
-    # a task's buckets are added up before they are sent; what asks for nothing gets keys of its own in the join
-    scored = scored.groupBy("doc_id", "word").agg(*[F.sum(c).alias(c) for c in ("times", "part", "n_words")])
-    scored = scored.withColumn("key", F.coalesce("word", F.xxhash64("doc_id", F.lit("none"))))
+    scored = dealt.groupBy("bucket").applyInArrow(lambda t: _score(t, total, *held.value, buckets), SCORED)
+    # packed sums get keys of their own in the join, so that they don't meet in one task
+    scored = scored.withColumn("key", F.coalesce("word", F.xxhash64("part", "ids")))
     found = scored.join(counts.select(F.col("word").alias("key"), F.col("n_first").alias("c")), "key", "left")
-    found = found.withColumn("got", F.col("part") - F.when(F.col("word").isNotNull(), F.col("times") * F.log("c")).otherwise(0.0))
-    out = found.groupBy("doc_id").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.sum("got").alias("s"))
+    found = found.select("part", "ids", "sums", "numbers", "doc_id", (-F.col("times") * F.log("c")).alias("got"))
+    out = found.groupBy("part").applyInArrow(_add, "doc_id long, n_words long, s double")
     return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
 
 
