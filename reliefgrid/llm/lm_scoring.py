@@ -35,6 +35,8 @@ MIN_COUNT, BACKOFF = 2, 0.4
 #: Words with at least 1 / HEAVY of all occurrences are dealt by bigram; those with 1 / KNOWN are broadcast with counts (24 bytes each).
 HEAVY, KNOWN = 1 << 15, 1 << 20
 BUCKET_WORDS = 1 << 20
+#: Buckets that a group holds packed and scores one by one, so that a document's sum is sent once for all of them.
+TOGETHER = 3
 #: Stands before a text's first word.
 START = np.int64(-(1 << 63))
 #: Distinct words that a task counts before it hands them on.
@@ -184,18 +186,12 @@ def _sums(ids: np.ndarray, sums: np.ndarray, numbers: np.ndarray, parts: int) ->
     return [(int(part[at[0]]), _pack_ids(ids[at]), sums[at].tobytes(), pack(at)) for at in np.split(order, cuts) if len(at)]
 
 
-def _score(table: pa.Table, total: int, heavy: np.ndarray, known: np.ndarray, known_n: np.ndarray, known_first: np.ndarray, parts: int) -> pa.Table:
-    """SCORED: sums of documents, packed; and single rows doc_id, word whose count as a first word is to be taken off `times` times."""
-    rows = table.to_pylist()
+def _score_bucket(rows: list[dict], total: int, heavy: np.ndarray, known: np.ndarray, known_n: np.ndarray, known_first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """ids and their sums; id, word and times for each count of a first word that is to be taken off."""
     times = np.concatenate([_from_ints(r["times"]) for r in rows])
-    if rows[0]["bucket"] < 0:
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-        ids, back_to = np.unique(ids, return_inverse=True)
-        return _scored(_sums(ids, np.zeros(len(ids)), np.bincount(back_to, times, len(ids)).astype(np.int64), parts))
     v = np.concatenate([_decode(r["own_first"], r["first"], heavy) for r in rows])
     w = np.concatenate([np.repeat(_decode(r["own_second"], r["second"], heavy), _from_ints(r["runs"])) for r in rows])
     ids = np.concatenate([_ids(r["ids"])[_from_ints(r["docs"])] for r in rows])
-    del rows
     order = np.lexsort((v, w))
     v, w, ids, times = v[order], w[order], ids[order], times[order]
     new_w = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
@@ -211,7 +207,24 @@ def _score(table: pa.Table, total: int, heavy: np.ndarray, known: np.ndarray, kn
     ask = seen & (first < 0)
     # what is known is summed by document; what isn't goes by (document, word)
     docs, back_to = np.unique(ids, return_inverse=True)
-    return _scored(_sums(docs, np.bincount(back_to, part, len(docs)), np.zeros(0, np.int64), parts), _parts(ids[ask], parts), ids[ask], v[ask], times[ask])
+    return docs, np.bincount(back_to, part, len(docs)), ids[ask], v[ask], times[ask]
+
+
+def _score(table: pa.Table, parts: int, *counts) -> pa.Table:
+    """SCORED of TOGETHER buckets, one after another: sums of documents over all of them, packed; and single rows doc_id,
+    word whose count as a first word is to be taken off `times` times."""
+    by: dict[int, list[dict]] = {}
+    for r in table.to_pylist():
+        by.setdefault(r["bucket"], []).append(r)
+    if min(by) < 0:
+        rows = [r for own in by.values() for r in own]
+        ids, at = np.unique(np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_from_ints(r["times"]) for r in rows]), len(ids)).astype(np.int64)
+        return _scored(_sums(ids, np.zeros(len(ids)), n, parts))
+    found = [_score_bucket(by.pop(b), *counts) for b in sorted(by)]
+    docs, sums, ids, words, times = (np.concatenate(x) for x in zip(*found, strict=True))
+    docs, at = np.unique(docs, return_inverse=True)
+    return _scored(_sums(docs, np.bincount(at, sums, len(docs)), np.zeros(0, np.int64), parts), _parts(ids, parts), ids, words, times)
 
 
 def _scored(packed: list[tuple], *asked: np.ndarray) -> pa.Table:
@@ -226,10 +239,11 @@ def _scored(packed: list[tuple], *asked: np.ndarray) -> pa.Table:
 
 
 def _add(table: pa.Table) -> pa.Table:
-    """doc_id, n_words, s (sum of log S) of the documents of one part."""
+    """doc_id, word, times, n_words, s: a row for each document of one part with its sum of what is known (word is null),
+    and a row for each document and word that it asks for."""
     table = table.combine_chunks()
-    one = table.filter(pc.is_valid(table.column("doc_id")))
-    ids, s, n = [one.column("doc_id").to_numpy()], [one.column("got").to_numpy()], [np.zeros(one.num_rows)]
+    one = table.filter(pc.is_valid(table.column("word"))).group_by(["doc_id", "word"]).aggregate([("times", "sum")])
+    ids, s, n = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
     held = table.filter(pc.is_valid(table.column("ids")))
     for raw, sums, numbers in zip(*(held.column(c).to_pylist() for c in ("ids", "sums", "numbers")), strict=True):
         ids.append(_ids(raw))
@@ -237,7 +251,11 @@ def _add(table: pa.Table) -> pa.Table:
         n.append(_from_ints(numbers) if numbers else np.zeros(len(ids[-1])))
     docs, at = np.unique(np.concatenate(ids), return_inverse=True)
     n, s = (np.bincount(at, np.concatenate(x), len(docs)) for x in (n, s))
-    return pa.table([pa.array(docs), pa.array(n.astype(np.int64)), pa.array(s)], names=["doc_id", "n_words", "s"])
+    k, none = one.num_rows, pa.nulls(len(docs), pa.int64())
+    return pa.concat_tables([pa.table([pa.array(docs), none, none, pa.array(n.astype(np.int64)), pa.array(s)], names=ADDED), pa.table([one.column("doc_id"), one.column("word"), one.column("times_sum"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())], names=ADDED)])
+
+
+ADDED = ["doc_id", "word", "times", "n_words", "s"]
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -256,12 +274,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast((heavy, known, known_n, known_first))
     buckets = max(1, math.ceil(total / BUCKET_WORDS))
     dealt = d.mapInArrow(lambda b: _deal(b, buckets, held.value[0]), DEALT)
-    scored = dealt.groupBy("bucket").applyInArrow(lambda t: _score(t, total, *held.value, buckets), SCORED)
-    # packed sums get keys of their own in the join, so that they don't meet in one task
-    scored = scored.withColumn("key", F.coalesce("word", F.xxhash64("part", "ids")))
-    found = scored.join(counts.select(F.col("word").alias("key"), F.col("n_first").alias("c")), "key", "left")
-    found = found.select("part", "ids", "sums", "numbers", "doc_id", (-F.col("times") * F.log("c")).alias("got"))
-    out = found.groupBy("part").applyInArrow(_add, "doc_id long, n_words long, s double")
+    scored = dealt.groupBy(F.floor(F.col("bucket") / TOGETHER)).applyInArrow(lambda t: _score(t, buckets, total, *held.value), SCORED)
+    added = scored.groupBy("part").applyInArrow(_add, "doc_id long, word long, times long, n_words long, s double")
+    # a document's own row gets a key of its own in the join, so that these rows don't meet in one task
+    added = added.withColumn("key", F.coalesce("word", F.xxhash64("doc_id", F.lit("none"))))
+    found = added.join(counts.select(F.col("word").alias("key"), F.col("n_first").alias("c")), "key", "left")
+    s = F.coalesce(F.col("s"), -F.col("times") * F.log("c"))
+    out = found.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(s).alias("s"))
     return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
 
 
