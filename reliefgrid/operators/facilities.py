@@ -43,7 +43,7 @@ def nearest_end(fraction: Column, a: Column, b: Column, length: Column) -> tuple
 
 
 def site_inventory(announced: DataFrame, staging: DataFrame, columns: list[str]) -> DataFrame:
-    """Both lists with site ids as text, their kind, and site_index in the order of the ids' text (so 10 comes before 2)."""
+    """Both lists with site ids as text and their kind; ties between sites go by that text (so 10 comes before 2)."""
     one = lambda d, kind, prefix: d.select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("site_id"), F.lit(kind).alias("kind"), *columns)
     return one(announced, "announced", "WATER::").unionByName(one(staging, "staging", "STAGING::"))
 

@@ -97,18 +97,23 @@ def _cut(ring: Column, axis: str, bound: Column, above: bool) -> Column:
 def clipped_area(ring: Column, box: Column) -> Column:
     """The area of the part of a ring that lies in a box (x0, y0, x1, y1): cut along the four sides in turn.
 
-    Give it columns, not long expressions: each cut names its input several times.
+    Each cut is bound by a one-element transform, so that the expression doesn't double with each side.
     """
-    for axis, side, above in (("x", "x0", True), ("x", "x1", False), ("y", "y0", True), ("y", "y1", False)):
-        ring = F.element_at(F.transform(F.array(ring), lambda r, a=axis, s=side, u=above: _cut(r, a, box[s], u)), 1)
-    return F.element_at(F.transform(F.array(ring), ring_area), 1)
+    one = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  # names c once
+
+    def side(axis: str, bound: str, above: bool):
+        return lambda r: _cut(r, axis, box[bound], above)
+
+    for axis, bound, above in (("x", "x0", True), ("x", "x1", False), ("y", "y0", True), ("y", "y1", False)):
+        ring = one(ring, side(axis, bound, above))
+    return one(ring, ring_area)
 
 
 def link_cells(cells: DataFrame, areas: DataFrame, width: float) -> DataFrame:
     """Each cell (cid, x0, y0, x1, y1) with its area (gid, ring) and link_status.
 
     The one area that holds the cell's middle is `point_unique`; with none or several, the area with the largest overlap
-    (ties: least gid) is `maximum_overlap`; else `unmatched`. All cells stay.
+    (to a millionth; ties: least gid) is `maximum_overlap`; else `unmatched`. All cells stay.
     """
     corner = lambda f, c: F.floor(f(F.transform("ring", lambda v: v[c])) / width)
     spread = lambda d, x0, y0, x1, y1: d.withColumn("gx", F.explode(F.sequence(x0, x1))).withColumn("gy", F.explode(F.sequence(y0, y1)))
@@ -116,7 +121,7 @@ def link_cells(cells: DataFrame, areas: DataFrame, width: float) -> DataFrame:
     c = spread(cells.select("cid", "x0", "y0", "x1", "y1"), *[F.floor(F.col(k) / width) for k in ("x0", "y0", "x1", "y1")])
     met = c.join(a, ["gx", "gy"]).groupBy("cid", "gid").agg(*[F.first(k).alias(k) for k in ("x0", "y0", "x1", "y1", "ring")])
     met = met.withColumn("box", F.struct("x0", "y0", "x1", "y1")).withColumn("hit", in_ring((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("ring")))
-    met = met.withColumn("overlap", clipped_area(F.col("ring"), F.col("box")))
+    met = met.withColumn("overlap", F.round(clipped_area(F.col("ring"), F.col("box")), 6))
     hits = met.groupBy("cid").agg(F.count_if("hit").alias("hits"))
     best = top_by(met.join(hits, "cid").where("(hits = 1 AND hit) OR (hits <> 1 AND overlap > 0)"), ["cid"], [F.desc("overlap"), F.asc("gid")])
     d = cells.select("cid").join(best.select("cid", "gid", F.when(F.col("hits") == 1, "point_unique").otherwise("maximum_overlap").alias("link_status")), "cid", "left")

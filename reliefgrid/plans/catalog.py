@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from reliefgrid.functions import nulls, stats, text
 from reliefgrid.operators import geo, keys, linkage, network, scenarios, tanker
+from reliefgrid.plans import facility_queries
 from reliefgrid.sources.storage import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(facility_queries.QUERIES)
+ORACLES: dict[str, str] = dict(facility_queries.ORACLES)
 FLAGSHIP = "weighted_coverage_thresholds"
 
 
