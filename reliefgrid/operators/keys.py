@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reliefgrid.sources.storage import checkpoint
+
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """df, or an error if two of its rows agree in all keys."""
@@ -27,6 +29,15 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column | str], k: int = 1
     return out if rank else out.drop("rank_")
 
 
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the rows' numbers 1, 2, ... in order, which has to be unique: a range sort, and offsets from its partitions' counts."""
+    at = F.monotonically_increasing_id()
+    held = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(at, 33).alias("part_"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at_")))
+    count = held.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = count.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))  # one row a partition
+    return held.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("at_") + 1).drop("part_", "at_", "before_")
+
+
 def latest_snapshot(df: DataFrame, keys: list[str], time: str, tie: list[str]) -> DataFrame:
     """Of the globally latest time, the last row of each key that isn't null."""
     at = df.agg(F.max(time).alias("latest_"))

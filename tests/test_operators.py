@@ -55,6 +55,31 @@ def test_distance_matrix_equals_dijkstra(spark):
     assert {(a, b): d for a, b, d in one(network.nearest_distance(g, seeds, by=["source"]))} == want
 
 
+def test_numbers_over_ranges(spark):
+    d = spark.createDataFrame([(k * 7919 % 1000, k % 3) for k in range(1000)], "a long, b long").repartition(5)
+    got = one(keys.number_rows(d, ["a", "b"], "no"))
+    assert sorted(got) == [(a, b, k + 1) for k, (a, b) in enumerate(sorted((k * 7919 % 1000, k % 3) for k in range(1000)))]
+    assert keys.number_rows(d.where("a < 0"), ["a", "b"], "no").count() == 0
+
+
+def test_whole_network_equals_dijkstra(spark):
+    sf = "/root/testdata/sf0.001"
+    near, heap, want = {}, [(0.0, r.s_suppkey + 100000000) for r in storage.table(spark, sf, "supplier").collect()], {}
+    lines = storage.table(spark, sf, "lineitem").collect()
+    closed = {(r.l_orderkey, r.l_linenumber) for r in lines if r.l_returnflag == "R"}
+    for r in [r for r in lines if (r.l_orderkey, r.l_linenumber) not in closed]:
+        a, b = r.l_partkey, r.l_suppkey + 100000000
+        near.setdefault(a, []).append((b, r.l_quantity))
+        near.setdefault(b, []).append((a, r.l_quantity))
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n not in want:
+            want[n] = d
+            for m, w in near.get(n, []):
+                heapq.heappush(heap, (d + w, m))
+    assert dict(one(catalog.QUERIES["nearest_source_distance_all"](spark, sf))) == want
+
+
 def test_access_over_an_edge(spark):
     units = spark.createDataFrame([(1, 1, 0.25, 5.0, True), (2, 1, 0.25, 5.0, False)], "unit int, edge_id int, fraction double, snap double, accepted boolean")
     edges = spark.createDataFrame([(1, "a", "b", 100.0)], "edge_id int, a string, b string, length double")
