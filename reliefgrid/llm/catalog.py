@@ -58,7 +58,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(_documents(spark, sf_dir))
+    return line_dedup.line_decisions(_documents(spark, sf_dir), dense=True)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

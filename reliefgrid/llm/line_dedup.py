@@ -1,7 +1,9 @@
 """Line dedup: fuzzy lines by MinHash. DataFrame functions only.
 
-A line's shingles are the runs of SHINGLE characters that start at its words (shorter at the line's end). Of the 64-bit
-hashes of the shingles, each of BANDS * ROWS random masks picks the one nearest to it (least after exclusive or), which
+A line's shingles are the runs of SHINGLE characters that start at its characters, and the line itself if it is shorter,
+with `dense`, as op9 and the pipeline ask. Without it only those that start at words are taken (shorter at the line's end),
+which leaves characters out: lines that differ in the rest of a long word count as alike.
+The 64-bit hashes of the shingles are hashed anew BANDS * ROWS / 2 times; of each half of these, the least is picked, which
 for two lines is the same with the probability of their Jaccard similarity. Lines that agree in all ROWS picks of a band
 share a bucket; pairs from buckets are verified by their exact Jaccard similarity, links are joined by a distributed
 union-find, and of each component the line that comes first (doc_id, line number) stays. At a similarity of 0.8 a pair
@@ -15,8 +17,6 @@ document. An empty table gives an empty table. Other columns are only passed on.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +26,6 @@ from reliefgrid.llm.links import linked_groups, sized_buckets
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 3, 0.8
 
 
-def masks() -> list[int]:
-    r = random.Random(20240229)
-    return [r.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-
-
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -39,8 +34,11 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\f\v"))
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+def shingles(line: Column, dense: bool) -> Column:
+    if not dense:
+        return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(runs)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -49,11 +47,13 @@ def lines(docs: DataFrame) -> DataFrame:
     return d.withColumn("line", bare(F.col("line"))).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_groups(docs: DataFrame, similarity: float = SIMILARITY, dense: bool = False) -> DataFrame:
     """(id, root) for each line hash that is linked with another."""
     distinct = lines(docs).groupBy("id").agg(F.first("line").alias("line"))
-    picks = distinct.select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    picks = picks.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks())])
+    picks = distinct.select("id", F.explode(shingles(F.col("line"), dense)).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    again = [F.xxhash64(F.lit(k), "h") for k in range(BANDS * ROWS // 2)]
+    halves = [x for h in again for x in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
+    picks = picks.groupBy("id").agg(*[F.min(h.cast("long")).alias(f"m{k}") for k, h in enumerate(halves)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     found = sized_buckets(picks.select("id", F.explode(bands).alias("bucket")))
     # texts are fetched in the same plan, so that the lines are shuffled once
@@ -61,7 +61,7 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sized = stored.select("id", F.explode("in").alias("x")).select("x.bucket", "id", "x.n")
 
     def features(ids: DataFrame) -> DataFrame:
-        return stored.join(ids, "id").select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("f"))
+        return stored.join(ids, "id").select("id", F.array_distinct(F.transform(shingles(F.col("line"), dense), lambda s: F.xxhash64(s))).alias("f"))
 
     def same(x: Column, y: Column) -> Column:
         common = F.size(F.array_intersect(x, y))
@@ -70,26 +70,26 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return linked_groups(sized, features, same, lambda l, r: F.lit(True))
 
 
-def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, dense: bool = False) -> DataFrame:
     """doc_id, kept (sorted line numbers): the lines that stay, of documents that keep any."""
     first = lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    groups = line_groups(docs, similarity)
+    groups = line_groups(docs, similarity, dense)
     first = first.join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at"))
     return first.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.line_no")).alias("kept"))
 
 
-def line_decisions(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, dense: bool = False) -> DataFrame:
     """doc_id, n_lines (blank ones not counted), n_removed, kept_lines for each row."""
     n = F.size(F.filter(split_lines(F.col("text")), lambda x: bare(x) != ""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
-    k = kept_lines(docs, similarity).select(F.col("doc_id").alias("id_"), "kept")
+    k = kept_lines(docs, similarity, dense).select(F.col("doc_id").alias("id_"), "kept")
     d = d.join(k, d.doc_id.eqNullSafe(k.id_), "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     return d.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"), F.col("kept").alias("kept_lines"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, dense: bool = False) -> DataFrame:
     """docs, same columns and rows, with the lines that aren't kept taken out of the text (and n_chars set anew)."""
-    k = kept_lines(docs, similarity).select(F.col("doc_id").alias("id_"), "kept")
+    k = kept_lines(docs, similarity, dense).select(F.col("doc_id").alias("id_"), "kept")
     d = docs.join(k, docs.doc_id.eqNullSafe(k.id_), "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     stays = F.filter(split_lines(F.col("text")), lambda x, i: (bare(x) == "") | F.array_contains("kept", i))
     d = d.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(stays, "\n")))
