@@ -1,8 +1,8 @@
 """A training corpus in five stages, each written as Parquet and read again as the next one's documents.
 
-language_id: documents whose language can't be told go. line_dedup: of lines that are alike across the corpus one stays.
+language_id: documents without a letter go, whose language can't be told. line_dedup: of lines that are alike across the corpus one stays.
 ngram_join: of documents that five-word shingles link (similarity 0.8) one stays. mixing: sources by weight, repeated or
-cut to their targets. bpe: token ids.
+cut to their targets. bpe: token ids (`ids`), from which the texts can be had again as the vocabulary allows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("ngram_join", dedup_documents), ("mixing", mix), ("bpe", encode)]

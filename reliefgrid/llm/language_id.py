@@ -119,12 +119,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, same columns, without those whose language is `und` or whose text is null."""
+    """docs, same columns, without those whose language is `und` or whose text is null: texts without a letter, whatever
+    the labels are. A model without languages tells none; then the texts' features decide, so that letters stay all the same."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            lang, _ = held.value.predict(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([x != "und" for x in lang]))
+            texts = batch.column("text").to_pylist()
+            if held.value.languages:
+                told = [x != "und" for x in held.value.predict(texts)[0]]
+            else:
+                told = np.bincount(features(texts)[1], minlength=len(texts)) > 0
+            yield batch.filter(pa.array(told))
 
     return docs.mapInArrow(keep, docs.schema)
