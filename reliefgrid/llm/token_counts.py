@@ -3,8 +3,8 @@
 An Aho-Corasick automaton enumerates all vocabulary pieces in a word; the pass carries, for each end, the best score,
 the number of pieces of that best path and whether its last piece is unknown. No back-pointers, no pieces. Ties as the
 tokenizers library's unigram model breaks them: of paths of equal score that end at one place, the one whose last piece
-starts first stays. A character without a piece of its own costs the least score minus 10; neighbouring unknown
-characters are one piece.
+starts first stays. A character without a piece of its own costs the least score minus 10; it counts as the bytes of its
+UTF-8 form if the file has a piece for each byte (byte fallback), else neighbouring unknown characters are one piece.
 
 Words are runs of anything but blanks, each marked with U+2581 in front and cut on its own. Nulls: a null text has no
 words and no pieces. Repeated rows count each on their own. An empty table gives an empty table. Columns other than
@@ -37,8 +37,17 @@ def piece_scores(path: str) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
 
 
+def has_bytes(path: str) -> bool:
+    """Whether the file has pieces for all 256 bytes."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(m.is_byte(i) for i in range(m.get_piece_size())) == 256
+
+
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = False):
+        self.byte_fallback = byte_fallback
         self.find = ahocorasick.Automaton()
         for p, s in pieces:
             self.find.add_word(p, (len(p), s))
@@ -63,7 +72,7 @@ class Counter:
                     top, pieces[end + 1] = got, pieces[start] + 1
             if c not in self.single and (top is None or self.unknown + best[end] > top):
                 top, unknown[end + 1] = self.unknown + best[end], True
-                pieces[end + 1] = pieces[end] + (not unknown[end])
+                pieces[end + 1] = pieces[end] + (len(c.encode()) if self.byte_fallback else not unknown[end])
             best[end + 1] = top
         return pieces[n]
 
@@ -87,7 +96,7 @@ class Counter:
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Counter:
-    return Counter(piece_scores(path))
+    return Counter(piece_scores(path), has_bytes(path))
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
