@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reliefgrid.operators.keys import number_rows
 
 #: The words of the contracts: runs of anything but these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +51,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keys(docs: DataFrame) -> DataFrame | None:
+    """docs with `row_`, a number for each row by (doc_id, text), if several rows share a doc_id or have none; else None."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    return number_rows(docs, ["doc_id", "text"], "row_")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64 bits."""
     h = h ^ (h >> np.uint64(33))

@@ -13,9 +13,8 @@
 
 Words are told apart by 64-bit hashes, of which 40 bits go to the shard; a window matches if its WINDOW words do.
 
-Nulls: a null text has no words. A null doc_id stands for the smallest long, and so comes first. Windows at the same
-place of rows with one doc_id aren't earlier than each other, and what is taken out of a doc_id is taken out of all its
-rows. A text of fewer than WINDOW words is kept. An empty table gives an empty table. Other columns are not read.
+Nulls: a null text has no words. A null doc_id stands for the smallest long, and so comes first. Rows that share a doc_id
+are rows of their own, in order of their texts, each with the spans of its own text. A text of fewer than WINDOW words is kept. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.common import chunks, column, gram_hashes, signed, text_bytes, word_hashes, word_spans
+from reliefgrid.llm.common import chunks, column, gram_hashes, row_keys, signed, text_bytes, word_hashes, word_spans
 
 WINDOW, SEED = 20, 8
 #: Bytes of text for which one shard is made.
@@ -300,6 +299,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
             out = [batch.column("doc_id"), pa.array(count), pa.array(removed), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(out[: 4 + texts], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + texts])
 
+    keyed = row_keys(docs)
+    if keyed is not None:  # spans are the rows', not the ids'
+        of = keyed.select(F.col("row_").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_"))
+        out = remove_repeats(keyed.select(F.col("row_").alias("doc_id"), "text"), texts).join(of, "doc_id")
+        return out.select(F.col("id_").alias("doc_id"), *out.columns[1:-1])
+
     held = _by_id(docs).join(repeated_spans(docs), "doc_id", "left").select("doc_id", "text", "spans")
     return held.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
 
