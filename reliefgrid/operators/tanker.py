@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.operators.keys import top_by
+from reliefgrid.sources.storage import checkpoint
 
 
 def feasible_trips(work_hours, base_minutes: Column, leg_minutes: Column, service: float, most: int) -> Column:
@@ -58,22 +59,39 @@ def pack_units(units: DataFrame, keys: list[str], order: list[str], demand: str,
 
 
 def allocate(arcs: DataFrame, capacity: DataFrame, site: str, unit: str, demand: str, distance: str) -> DataFrame:
-    """One site for each unit, within each site's capacity: units go to their nearest site, and each site takes whole
-    units by distance while they fit. Columns: unit, site, demand, and accepted with the physical bound's certificate:
-    the gap between what is delivered and min(demand that has an arc, all capacity) is at most 0.2 %."""
-    near = arcs.groupBy(unit).agg(F.min(F.struct(distance, site, demand)).alias("x")).select(unit, "x.*").join(capacity, site)
-    listed = near.groupBy(site, "capacity").agg(F.array_sort(F.collect_list(F.struct(distance, unit, demand))).alias("us"))
-    start = F.struct(F.col("capacity").cast("double").alias("left"), F.array().cast(f"array<struct<{unit}:bigint,{demand}:double>>").alias("got"))
-
-    def take(s, u):
-        fits = u[demand] <= s["left"] + 1e-9
-        more = F.concat(s["got"], F.array(F.struct(u[unit].cast("bigint").alias(unit), u[demand].cast("double").alias(demand))))
-        return F.struct(F.when(fits, s["left"] - u[demand]).otherwise(s["left"]).alias("left"), F.when(fits, more).otherwise(s["got"]).alias("got"))
-
-    got = listed.select(site, F.explode(F.aggregate("us", start, take)["got"]).alias("g")).select(site, f"g.{unit}", f"g.{demand}")
-    bound = near.agg(F.sum(demand).alias("reachable")).join(F.broadcast(capacity.agg(F.sum("capacity").alias("room"))))
-    done = got.agg(F.sum(demand).alias("delivered")).join(F.broadcast(bound)).select(((F.least("reachable", "room") - F.col("delivered")) <= F.least("reachable", "room") * 0.002).alias("accepted"))
-    return got.join(F.broadcast(done))
+    """One site for each unit, within each site's capacity, in rounds: an unserved unit bids for its nearest arc with room,
+    and each site takes its bids by distance as far as their running sum fits. It ends when no unserved unit has an arc
+    with room. Columns: site, unit, demand, status, and accepted with the physical bound's certificate: the gap between what
+    is delivered and min(demand that has an arc, all capacity) is at most 0.2 %. Unserved units have no site (and their
+    largest demand).
+
+    Bids are range-split by site and distance, so that a site that many units bid for is dealt over as many tasks.
+    """
+    amount = F.col(demand).cast("double").alias(demand)
+    a = checkpoint(arcs.select(site, unit, amount, distance))
+    served, n = checkpoint(a.select(site, unit, demand).where("false")), 0
+    while True:
+        used = served.groupBy(site).agg(F.sum(demand).alias("used_"))
+        room = capacity.join(used, site, "left").select(site, (F.col("capacity").cast("double") - F.coalesce("used_", F.lit(0.0))).alias("room_"))
+        fits = a.join(served.select(unit), unit, "left_anti").join(room, site).where(F.col(demand) <= F.col("room_") + 1e-9)
+        bids = fits.groupBy(unit).agg(F.min(F.struct(distance, site, demand, "room_")).alias("x")).select(unit, "x.*")
+        order = [site, distance, unit]
+        bids = checkpoint(bids.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+        sums = bids.groupBy(site, "part_").agg(F.sum(demand).alias("sum_"))
+        before = sums.select(site, "part_", (F.sum("sum_").over(Window.partitionBy(site).orderBy("part_")) - F.col("sum_")).alias("before_"))
+        upto = F.sum(demand).over(Window.partitionBy(site, "part_").orderBy(distance, unit).rowsBetween(Window.unboundedPreceding, 0))
+        taken = bids.withColumn("upto_", upto).join(before, [site, "part_"]).where(F.col("before_") + F.col("upto_") <= F.col("room_") + 1e-9)
+        served = checkpoint(served.union(taken.select(site, unit, demand)))
+        if (now := served.count()) == n:
+            break
+        n = now
+    units = a.groupBy(unit).agg(F.max(demand).alias(demand))
+    left = units.join(served.select(unit), unit, "left_anti").select(F.lit(None).cast(a.schema[site].dataType).alias(site), unit, demand, F.lit("unserved").alias("status"))
+    got = served.withColumn("status", F.lit("served")).union(left)
+    reachable = a.join(capacity, site, "left_semi").groupBy(unit).agg(F.max(demand).alias(demand)).agg(F.sum(demand).alias("reachable"))
+    bound = reachable.join(F.broadcast(capacity.agg(F.sum("capacity").alias("room"))))
+    done = served.agg(F.coalesce(F.sum(demand), F.lit(0.0)).alias("delivered")).join(F.broadcast(bound))
+    return got.join(F.broadcast(done.select(((F.least("reachable", "room") - F.col("delivered")) <= F.least("reachable", "room") * 0.002).alias("accepted"))))
 
 
 def violations(solution: DataFrame, capacity: DataFrame, site: str, unit: str, demand: str) -> DataFrame:

@@ -146,6 +146,15 @@ def test_allocation_is_sound(spark):
     assert one(keys.signature(got, got.columns)) == one(keys.signature(again, again.columns))
 
 
+def test_allocation_goes_on_to_sites_with_room(spark):
+    arcs = [(1, "A", 5.0, 1.0), (2, "A", 5.0, 2.0), (3, "A", 4.0, 3.0), (3, "B", 4.0, 9.0), (4, "A", 5.0, 4.0), (4, "B", 5.0, 5.0), (4, "C", 5.0, 8.0), (5, "A", 2.0, 5.0), (6, "D", 1.0, 1.0)]
+    cap = spark.createDataFrame([("A", 12.0), ("B", 4.0), ("C", 5.0)], "site string, capacity double")
+    d = spark.createDataFrame(arcs, "unit long, site string, demand double, distance double")
+    got = tanker.allocate(d, cap, "site", "unit", "demand", "distance")
+    assert {(r.unit, r.site, r.status) for r in got.collect()} == {(1, "A", "served"), (2, "A", "served"), (3, "B", "served"), (4, "C", "served"), (5, "A", "served"), (6, None, "unserved")}
+    assert tanker.violations(got, cap, "site", "unit", "demand").count() == 0 and got.first().accepted
+
+
 def test_stream_of_snapshots(spark, tmp_path):
     spark.createDataFrame([("u", "2024-01-01 01:00:00", 1), ("u", "2024-01-01 05:00:00", 2), ("v", "2024-01-01 02:00:00", 3)], "k string, t string, v int").selectExpr("k", "cast(t as timestamp) t", "v").write.parquet(f"{tmp_path}/in")
     feed = spark.readStream.schema("k string, t timestamp, v int").parquet(f"{tmp_path}/in")
