@@ -62,7 +62,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), byte_fallback=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ An Aho-Corasick automaton enumerates all vocabulary pieces in a word; the pass c
 the number of pieces of that best path and whether its last piece is unknown. No back-pointers, no pieces. Ties as the
 tokenizers library's unigram model breaks them: of paths of equal score that end at one place, the one whose last piece
 starts first stays. A character without a piece of its own costs the least score minus 10; it counts as the bytes of its
-UTF-8 form if the file has a piece for each byte (byte fallback), else neighbouring unknown characters are one piece.
+UTF-8 form if the file has a piece for each byte and `byte_fallback` is set, as op10 does, else neighbouring unknown characters are one piece.
 
 Words are runs of anything but blanks, each marked with U+2581 in front and cut on its own. Nulls: a null text has no
 words and no pieces. Repeated rows count each on their own. An empty table gives an empty table. Columns other than
@@ -95,15 +95,15 @@ class Counter:
 
 
 @functools.lru_cache(maxsize=2)
-def load(path: str) -> Counter:
-    return Counter(piece_scores(path), has_bytes(path))
+def load(path: str, byte_fallback: bool) -> Counter:
+    return Counter(piece_scores(path), byte_fallback and has_bytes(path))
 
 
-def count_tokens(docs: DataFrame, path: str) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, byte_fallback: bool = False) -> DataFrame:
     """doc_id, n_words, n_tokens for each row; path names a sentencepiece file that lies at the same place everywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, words = load(path), re.compile(WORD)
+        counter, words = load(path, byte_fallback), re.compile(WORD)
         for batch in chunks(batches):
             got = [words.findall(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, got), pa.int64()), pa.array(map(counter.count_words, got), pa.int64())], ["doc_id", "n_words", "n_tokens"])
