@@ -26,7 +26,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _documents(spark, sf_dir)
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     found = language_id.identify(d, language_id.train(d.where(~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
@@ -58,7 +58,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(_documents(spark, sf_dir), dense=True)
+    return line_dedup.line_decisions(_documents(spark, sf_dir))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

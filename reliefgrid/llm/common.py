@@ -52,10 +52,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def row_keys(docs: DataFrame) -> DataFrame | None:
-    """docs with `row_`, a number for each row by (doc_id, text), if several rows share a doc_id or have none; else None."""
+    """`row_`, a number for each row by (doc_id, text), and `doc`, the row itself as a struct, if several rows share a doc_id
+    or have none; else None."""
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return None
-    return number_rows(docs, ["doc_id", "text"], "row_")
+    return number_rows(docs.select(F.struct(*docs.columns).alias("doc")), ["doc.doc_id", "doc.text"], "row_")
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -5,8 +5,9 @@ Texts are lower-cased, runs of anything but letters become one blank, and runs o
 of log-probabilities (languages x features, at most MAX_LANGUAGES rows) is broadcast, and scoring adds up, for the
 features that a text has, the matrix's entries.
 
-Nulls: a null text, and one without letters, is `und` with score 0; rows with a null label don't train. Ties go to the
-language whose name sorts first. Without a single labelled text every text is `und`. An empty table gives an empty
+Nulls: a null text, and one without letters, is `und` with score 0; rows with a null label don't train. A null doc_id
+stays null, and rows that repeat a doc_id are each a document. Texts of any length are read whole, about CHUNK_BYTES of
+them at a time. Ties go to the language whose name sorts first. Without a single labelled text every text is `und`. An empty table gives an empty
 table. Columns other than the id, the text and (in training) the label are not read.
 """
 
@@ -60,15 +61,16 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in chunks(batches):
-        names, label = np.unique(np.array(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+        coded = batch.column("lang").dictionary_encode()
+        names, label = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         f, row = features(batch.column("text").to_pylist())
-        counts = np.bincount((label[row] << BITS) + f, minlength=len(names) << BITS).reshape(len(names), -1)
+        counts = np.bincount((label[row].astype(np.int64) << BITS) + f, minlength=len(names) << BITS).reshape(len(names), -1)
         docs = np.bincount(label, minlength=len(names))
         for k, name in enumerate(names):
             total[name] = total.get(name, 0) + np.append(counts[k], docs[k])
     for name, c in total.items():
         at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "feature", "n"])
 
 
 class Model:
@@ -93,16 +95,17 @@ class Model:
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model of (text, lang); rows with nulls are left out. At most MAX_LANGUAGES * 2**BITS sums come to the driver."""
+    """A model of (text, lang); rows with nulls are left out. The driver gets one row a language, of 2**BITS sums at most."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, feature int, n long")
     sums = rows.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    got = sums.limit(MAX_LANGUAGES * (2**BITS + 1) + 1).toArrow()
-    name, feature, n = (got.column(c).to_pylist() for c in ("lang", "feature", "n"))
-    languages = sorted(set(name))
+    packed = sums.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("x")).select("lang", "x.feature", "x.n").orderBy("lang").limit(MAX_LANGUAGES + 1)
+    got = packed.toArrow()
+    languages = got.column("lang").to_pylist()
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     m = np.zeros((len(languages), 2**BITS + 1))
-    m[np.searchsorted(languages, name) if name else [], feature] = n
+    for k, (feature, n) in enumerate(zip(got.column("feature"), got.column("n"), strict=True)):
+        m[k, feature.values.to_numpy()] = n.values.to_numpy()
     return Model(languages, m[:, :-1], m[:, -1])
 
 
@@ -118,18 +121,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
-def reject_unknown(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, same columns, without those whose language is `und` or whose text is null: texts without a letter, whatever
-    the labels are. A model without languages tells none; then the texts' features decide, so that letters stay all the same."""
+def relabel(docs: DataFrame, model: Model, sure: float = 0.5) -> DataFrame:
+    """docs, same columns, with the predicted language as `lang`, without those that the model can't place: texts that are
+    null or have no letter (`und`), and those whose score is less than `sure`. A model without languages places none, and
+    then all texts with letters stay as they are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("lang")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             texts = batch.column("text").to_pylist()
             if held.value.languages:
-                told = [x != "und" for x in held.value.predict(texts)[0]]
+                lang, score = held.value.predict(texts)
+                yield batch.set_column(at, batch.schema.field(at), pa.array(lang, pa.string())).filter(pa.array([x != "und" and p >= sure for x, p in zip(lang, score.tolist(), strict=True)], pa.bool_()))
             else:
-                told = np.bincount(features(texts)[1], minlength=len(texts)) > 0
-            yield batch.filter(pa.array(told))
+                yield batch.filter(pa.array(np.bincount(features(texts)[1], minlength=len(texts)) > 0))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(place, docs.schema)

@@ -1,18 +1,17 @@
 """Line dedup: fuzzy lines by MinHash. DataFrame functions only.
 
-A line's shingles are the runs of SHINGLE characters that start at its characters, and the line itself if it is shorter,
-with `dense`, as op9 and the pipeline ask. Without it only those that start at words are taken (shorter at the line's end),
-which leaves characters out: lines that differ in the rest of a long word count as alike.
-The 64-bit hashes of the shingles are hashed anew BANDS * ROWS / 2 times; of each half of these, the least is picked, which
-for two lines is the same with the probability of their Jaccard similarity. Lines that agree in all ROWS picks of a band
-share a bucket; pairs from buckets are verified by their exact Jaccard similarity, links are joined by a distributed
-union-find, and of each component the line that comes first (doc_id, line number) stays. At a similarity of 0.8 a pair
-of lines shares a bucket with a probability of 1 - (1 - 0.8**3)**8 = 0.997.
+A line's shingles are the runs of SHINGLE characters that start at each of its characters, and the line itself if it is
+shorter. The 64-bit hashes of the shingles are hashed anew BANDS * ROWS / 2 times; of each half of these, the least is
+picked, which for two lines is the same with the probability of their Jaccard similarity. Lines that agree in all ROWS
+picks of a band share a bucket; pairs from buckets are verified by the exact Jaccard similarity of all their shingles,
+links are joined by a distributed union-find, and of each component the line that comes first (doc_id, line number)
+stays. At a similarity of 0.8 a pair of lines shares a bucket with a probability of 1 - (1 - 0.8**3)**8 = 0.997.
 
 Equal lines are one line to all of this: they are brought together by their hash before anything else, so that a line
 that stands in a third of all documents costs one row a task. Lines are compared without blanks around them; blank lines
-stay. Nulls: a null text has no lines and stays null; a null doc_id sorts first. Rows that repeat a doc_id count as one
-document. An empty table gives an empty table. Other columns are only passed on.
+stay. Nulls: a null text has no lines and stays null; a null doc_id sorts first. Rows that repeat a doc_id are documents of
+their own, in order of their texts. Ties: equal lines of one document stay once, the first of them. A line of any length
+is taken whole. An empty table gives an empty table. Other columns are only passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.common import materialize
+from reliefgrid.llm.common import materialize, row_keys
 from reliefgrid.llm.links import linked_groups, sized_buckets
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 3, 0.8
@@ -34,11 +33,19 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\f\v"))
 
 
-def shingles(line: Column, dense: bool) -> Column:
-    if not dense:
-        return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
-    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(runs)
+def _starts(code: Column) -> Column:
+    """Where the shingles of a line start; code is the line in UTF-32, four bytes a character."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(code) / 4).cast("int") - SHINGLE))
+
+
+def _shingle_hash(code: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(code, start * 4 + 1, F.lit(SHINGLE * 4)))
+
+
+def shingle_set(line: Column) -> Column:
+    """The hashes of a line's shingles, each once."""
+    each = F.transform(F.array(F.encode(line, "UTF-32")), lambda code: F.transform(_starts(code), lambda i: _shingle_hash(code, i)))
+    return F.array_distinct(F.element_at(each, 1))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -47,52 +54,61 @@ def lines(docs: DataFrame) -> DataFrame:
     return d.withColumn("line", bare(F.col("line"))).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY, dense: bool = False) -> DataFrame:
-    """(id, root) for each line hash that is linked with another."""
-    distinct = lines(docs).groupBy("id").agg(F.first("line").alias("line"))
-    picks = distinct.select("id", F.explode(shingles(F.col("line"), dense)).alias("s")).select("id", F.xxhash64("s").alias("h"))
+def band_buckets(docs: DataFrame) -> DataFrame:
+    """(bucket, id) for each band of each line hash. Texts aren't shuffled: a task's picks are, and their least is taken."""
+    code = lines(docs).select("id", F.encode("line", "UTF-32").alias("code"))
+    each = code.select("id", "code", F.explode(_starts(F.col("code"))).alias("i")).select("id", _shingle_hash(F.col("code"), F.col("i")).alias("h"))
     again = [F.xxhash64(F.lit(k), "h") for k in range(BANDS * ROWS // 2)]
     halves = [x for h in again for x in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
-    picks = picks.groupBy("id").agg(*[F.min(h.cast("long")).alias(f"m{k}") for k, h in enumerate(halves)])
+    picks = each.groupBy("id").agg(*[F.min(h).alias(f"m{k}") for k, h in enumerate(halves)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    found = sized_buckets(picks.select("id", F.explode(bands).alias("bucket")))
-    # texts are fetched in the same plan, so that the lines are shuffled once
-    stored = materialize(found.groupBy("id").agg(F.collect_list(F.struct("bucket", "n")).alias("in")).join(distinct, "id"))
-    sized = stored.select("id", F.explode("in").alias("x")).select("x.bucket", "id", "x.n")
+    return materialize(picks.select("id", bands.alias("bands"))).select("id", F.explode("bands").alias("bucket"))
+
+
+def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root) for each line hash that is linked with another."""
+    sized = materialize(sized_buckets(band_buckets(docs)).select("bucket", "id", "n"))
 
     def features(ids: DataFrame) -> DataFrame:
-        return stored.join(ids, "id").select("id", F.array_distinct(F.transform(shingles(F.col("line"), dense), lambda s: F.xxhash64(s))).alias("f"))
+        return lines(docs).select("id", F.col("line").alias("f")).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     def same(x: Column, y: Column) -> Column:
         common = F.size(F.array_intersect(x, y))
         return (F.least(F.size(x), F.size(y)) >= similarity * F.greatest(F.size(x), F.size(y))) & (common >= similarity * (F.size(x) + F.size(y) - common))
 
-    return linked_groups(sized, features, same, lambda l, r: F.lit(True))
+    return linked_groups(sized, features, same, lambda l, r: F.lit(True), unpack=shingle_set)
 
 
-def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, dense: bool = False) -> DataFrame:
-    """doc_id, kept (sorted line numbers): the lines that stay, of documents that keep any."""
+def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, kept (sorted line numbers): the lines that stay, of documents that keep any. docs: doc_id (unique), text."""
     first = lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    groups = line_groups(docs, similarity, dense)
+    groups = line_groups(docs, similarity)
     first = first.join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at"))
     return first.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.line_no")).alias("kept"))
 
 
-def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, dense: bool = False) -> DataFrame:
+def _with_kept(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc (docs' columns as one struct), kept (sorted line numbers) for each row of docs."""
+    d = row_keys(docs)
+    if d is None:
+        d = docs.select(F.col("doc_id").alias("row_"), F.struct(*docs.columns).alias("doc"))
+    k = kept_lines(d.select(F.col("row_").alias("doc_id"), F.col("doc.text").alias("text")), similarity)
+    d = d.join(k, d.row_.eqNullSafe(k.doc_id), "left")
+    return d.select("doc", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+
+
+def line_decisions(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (blank ones not counted), n_removed, kept_lines for each row."""
-    n = F.size(F.filter(split_lines(F.col("text")), lambda x: bare(x) != ""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
-    k = kept_lines(docs, similarity, dense).select(F.col("doc_id").alias("id_"), "kept")
-    d = d.join(k, d.doc_id.eqNullSafe(k.id_), "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+    text = F.col("doc.text")
+    n = F.when(text.isNull(), 0).otherwise(F.size(F.filter(split_lines(text), lambda x: bare(x) != "")))
+    d = _with_kept(docs.select("doc_id", "text"), similarity).select(F.col("doc.doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_lines"), "kept")
     return d.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"), F.col("kept").alias("kept_lines"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, dense: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs, same columns and rows, with the lines that aren't kept taken out of the text (and n_chars set anew)."""
-    k = kept_lines(docs, similarity, dense).select(F.col("doc_id").alias("id_"), "kept")
-    d = docs.join(k, docs.doc_id.eqNullSafe(k.id_), "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
-    stays = F.filter(split_lines(F.col("text")), lambda x, i: (bare(x) == "") | F.array_contains("kept", i))
-    d = d.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(stays, "\n")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast("long"))
-    return d.select(*docs.columns)
+    text = F.col("doc.text")
+    stays = F.filter(split_lines(text), lambda x, i: (bare(x) == "") | F.array_contains("kept", i))
+    d = _with_kept(docs, similarity).withColumn("new_text", F.when(text.isNotNull(), F.array_join(stays, "\n")))
+    put = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    return d.select(*[(put[c] if c in put else F.col("doc").getField(c)).alias(c) for c in docs.columns])

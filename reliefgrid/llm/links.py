@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.llm.common import materialize
 
 SMALL_BUCKET, BLOCK = 8, 48
+#: Blocks of one bucket that a task compares with all others of the bucket.
+TOGETHER = 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,11 +38,12 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.union(least).distinct())
 
 
-def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame], same: Callable[[Column, Column], Column], may: Callable[[Callable, Callable], Column], enough: Callable[[Callable, Callable, Column], Column] | None = None, small: int = SMALL_BUCKET) -> DataFrame:
+def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame], same: Callable[[Column, Column], Column], may: Callable[[Callable, Callable], Column], enough: Callable[[Callable, Callable, Column], Column] | None = None, small: int = SMALL_BUCKET, unpack: Callable[[Column], Column] = lambda f: f) -> DataFrame:
     """(id, root) for each linked id.
 
     sized: bucket, id, n (the bucket's members) and what `may` needs, stored, without buckets of one; rows (bucket, id)
-    are distinct. features(ids): (id, f) for these ids, f being what `same` compares: whether two members link.
+    are distinct. features(ids): (id, f) for these ids; unpack(f) is what `same` compares: whether two members link. f is
+    what is stored and shuffled.
     may(l, r): a condition that no linked pair fails, l and r giving the columns of both members by name. enough(l, r, n):
     the same, given that the pair shares n buckets or fewer.
 
@@ -64,6 +67,7 @@ def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame],
     near = materialize(pair(near).union(pair(star)).where("a < b").distinct())
     features = materialize(features(near.select(F.col("a").alias("id")).union(near.select("b")).union(many.select("id")).distinct()))
     near = near.join(features.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(features.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
+    near = near.select("a", "b", unpack(F.col("x")).alias("x"), unpack(F.col("y")).alias("y"))
     links = materialize(near.where(same(F.col("x"), F.col("y"))).select("a", "b"))
     groups = components(links)
 
@@ -73,9 +77,13 @@ def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame],
     if apart.isEmpty():
         return groups
     mine = apart.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
-    held = apart.join(mine, "id").join(features, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("m") / BLOCK) + 1))
-    blocks = held.groupBy("bucket", "block").agg(F.collect_list(F.struct(*named, "root", "buckets", "f")).alias("of"))
-    two = blocks.select("bucket", F.col("block").alias("l_block"), F.col("of").alias("ls")).join(blocks.select("bucket", F.col("block").alias("r_block"), F.col("of").alias("rs")), "bucket").where("l_block <= r_block")
+    held = apart.join(mine, "id").join(features, "id").withColumn("f", unpack(F.col("f"))).withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("m") / BLOCK) + 1))
+    blocks = held.groupBy("bucket", "block").agg(F.max("m").alias("m"), F.collect_list(F.struct(*named, "root", "buckets", "f")).alias("of"))
+    # a bucket's pairs of blocks are dealt by the left block; the right one goes to each deal
+    deals = F.floor(F.col("m") / (BLOCK * TOGETHER))
+    left = blocks.select("bucket", F.col("block").alias("l_block"), F.col("of").alias("ls"), F.pmod("block", deals + 1).alias("deal"))
+    right = blocks.select("bucket", F.col("block").alias("r_block"), F.col("of").alias("rs"), F.explode(F.sequence(F.lit(0).cast("long"), deals)).alias("deal"))
+    two = left.join(right, ["bucket", "deal"]).where("l_block <= r_block")
 
     def linked(l: Column, r: Column) -> Column:
         once = (F.col("l_block") < F.col("r_block")) | (l["id"] < r["id"])
@@ -88,5 +96,7 @@ def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame],
 
 
 def sized_buckets(members: DataFrame) -> DataFrame:
-    """members (bucket, id, ...) with n, their number in the bucket, without buckets of one."""
-    return members.withColumn("n", F.count("id").over(Window.partitionBy("bucket"))).where("n > 1")
+    """members (bucket, id, ...) with n, their number in the bucket, without buckets of one. Counts are added up by task
+    first and joined back, so that a large bucket is no window of one task. members is read twice: it should be stored."""
+    n = members.groupBy("bucket").agg(F.count("id").alias("n")).where("n > 1")
+    return members.join(n, "bucket")

@@ -299,10 +299,10 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
             out = [batch.column("doc_id"), pa.array(count), pa.array(removed), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(out[: 4 + texts], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + texts])
 
-    keyed = row_keys(docs)
+    keyed = row_keys(docs.select("doc_id", "text"))
     if keyed is not None:  # spans are the rows', not the ids'
-        of = keyed.select(F.col("row_").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_"))
-        out = remove_repeats(keyed.select(F.col("row_").alias("doc_id"), "text"), texts).join(of, "doc_id")
+        of = keyed.select(F.col("row_").alias("doc_id"), F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_"))
+        out = remove_repeats(keyed.select(F.col("row_").alias("doc_id"), F.col("doc.text").alias("text")), texts).join(of, "doc_id")
         return out.select(F.col("id_").alias("doc_id"), *out.columns[1:-1])
 
     held = _by_id(docs).join(repeated_spans(docs), "doc_id", "left").select("doc_id", "text", "spans")

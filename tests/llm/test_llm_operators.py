@@ -116,7 +116,43 @@ def test_language_id_edges(spark, docs, rows, empty):
     assert language_id.identify(empty, model).count() == 0
     none = by_id(language_id.identify(docs, language_id.train(empty)))
     assert {r.lang_pred for r in none.values()} == {"und"}
-    assert language_id.reject_unknown(docs, model).count() == sum(any(c.isalpha() for c in r[1] or "") for r in rows)
+    placed = by_id(language_id.relabel(docs, model))
+    for i, *_ in rows:
+        assert (i in placed) == (got[i].lang_pred != "und" and got[i].score >= 0.5)
+        assert i not in placed or placed[i].lang == got[i].lang_pred
+
+
+def plain_features(text):
+    """The n-grams of a text, one by one, as strings."""
+    out, kept = [], ""
+    for c in (text or "").lower() + "\n":
+        kept += c if c.isalpha() else " " if kept and kept[-1] != " " else ""
+    kept = kept if any(c.isalpha() for c in kept) else ""
+    for n in (1, 2, 3):
+        out += [kept[k : k + n] for k in range(len(kept) - n + 1)]
+    return out
+
+
+def test_predictions_by_plain_counts(spark):
+    """Naive Bayes over the n-grams themselves, without hashing, picks the same language for nearly every text."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    labelled = [r for r in rows if r[1] is not None and r[2] is not None]
+    counts, docs = defaultdict(Counter), Counter()
+    for _, t, lang in labelled:
+        counts[lang].update(plain_features(t))
+        docs[lang] += 1
+    total, every = {x: sum(c.values()) for x, c in counts.items()}, sum(docs[x] + 1 for x in counts)
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(counts)
+    same, asked = 0, [r for r in rows if plain_features(r[1])]
+    got, score = model.predict([r[1] for r in asked])
+    for (_, t, _), g, s in zip(asked, got, score):
+        f = plain_features(t)
+        sums = {x: math.log((docs[x] + 1) / every) + sum(math.log((counts[x][g] + 0.5) / (total[x] + 0.5 * 2**language_id.BITS)) for g in f) for x in counts}
+        best = max(sorted(sums), key=sums.get)
+        same += best == g
+        assert s >= 1 / len(counts) - 1e-9
+    assert same >= 0.98 * len(asked)
 
 
 def test_language_id_brute(docs, rows):
@@ -354,7 +390,7 @@ def test_mixed_documents(docs, rows, empty):
 
 
 def brute_lines(rows):
-    shingle = lambda line: {line[m.start() : m.start() + line_dedup.SHINGLE] for m in re.finditer(r"(?<!\S)\S", line, re.A)}
+    shingle = lambda line: {line[k : k + 8] for k in range(max(1, len(line) - 7))}
     at = []
     for i, t, *_ in sorted(rows):
         at += [(i, k, x.strip(" \n\t")) for k, x in enumerate((t or "").split("\n")) if x.strip(" \n\t")]
