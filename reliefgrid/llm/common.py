@@ -51,10 +51,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_keys(docs: DataFrame) -> DataFrame | None:
+def row_keys(docs: DataFrame, below: int | None = None) -> DataFrame | None:
     """`row_`, a number for each row by (doc_id, text), and `doc`, the row itself as a struct, if several rows share a doc_id
-    or have none; else None."""
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    or have none, or, with below, if an id isn't in 0..below - 1; else None."""
+    n = docs.groupBy("doc_id").count()
+    bad = F.col("count") > 1
+    if below is not None:
+        bad = bad | F.col("doc_id").isNull() | (F.col("doc_id") < 0) | (F.col("doc_id") >= below)
+    if n.where(bad).isEmpty():
         return None
     return number_rows(docs.select(F.struct(*docs.columns).alias("doc")), ["doc.doc_id", "doc.text"], "row_")
 

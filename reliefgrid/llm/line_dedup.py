@@ -1,11 +1,12 @@
 """Line dedup: fuzzy lines by MinHash. DataFrame functions only.
 
 A line's shingles are the runs of SHINGLE characters that start at each of its characters, and the line itself if it is
-shorter. The 64-bit hashes of the shingles are hashed anew BANDS * ROWS / 2 times; of each half of these, the least is
-picked, which for two lines is the same with the probability of their Jaccard similarity. Lines that agree in all ROWS
-picks of a band share a bucket; pairs from buckets are verified by the exact Jaccard similarity of all their shingles,
-links are joined by a distributed union-find, and of each component the line that comes first (doc_id, line number)
-stays. At a similarity of 0.8 a pair of lines shares a bucket with a probability of 1 - (1 - 0.8**3)**8 = 0.997.
+shorter. Its signature has BANDS * ROWS picks by one permutation: a shingle's 64-bit hash names one of as many bins and a
+value, and a bin's least value is its pick; an empty bin takes the pick of the first bin that isn't empty in an order of its
+own. Two lines agree in a pick with the probability of their Jaccard similarity. Lines that agree in all ROWS picks of a
+band share a bucket; pairs from buckets that agree in AGREE picks or more are verified by the exact Jaccard similarity of all their shingles, links are
+joined by a distributed union-find, and of each component the line that comes first (doc_id, line number) stays. At a
+similarity of 0.8 a pair of lines shares a bucket with a probability of 1 - (1 - 0.8**3)**6 = 0.987, and fails AGREE with one of 0.002.
 
 Equal lines are one line to all of this: they are brought together by their hash before anything else, so that a line
 that stands in a third of all documents costs one row a task. Lines are compared without blanks around them; blank lines
@@ -16,13 +17,21 @@ is taken whole. An empty table gives an empty table. Other columns are only pass
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.llm.common import materialize, row_keys
 from reliefgrid.llm.links import linked_groups, sized_buckets
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 3, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
+#: Picks of BANDS * ROWS, by their last byte, in which a pair agrees that is verified.
+AGREE = 9
+#: A line's place is its document's number, below 2**36, followed by LINE bits of line number.
+LINE = 27
+#: Lines to fetch that are broadcast, at about 24 bytes each; more are joined by a shuffle.
+FETCH = 1 << 20
 
 
 def split_lines(text: Column) -> Column:
@@ -42,6 +51,12 @@ def _shingle_hash(code: Column, start: Column) -> Column:
     return F.xxhash64(F.substring(code, start * 4 + 1, F.lit(SHINGLE * 4)))
 
 
+def _hashes(lines: DataFrame, *names: str) -> DataFrame:
+    """names, i, h: the hash of each shingle of each line, with its place i."""
+    code = lines.select(*names, F.encode("line", "UTF-32").alias("code"))
+    return code.select(*names, "code", F.explode(_starts(F.col("code"))).alias("i")).select(*names, "i", _shingle_hash(F.col("code"), F.col("i")).alias("h"))
+
+
 def shingle_set(line: Column) -> Column:
     """The hashes of a line's shingles, each once."""
     each = F.transform(F.array(F.encode(line, "UTF-32")), lambda code: F.transform(_starts(code), lambda i: _shingle_hash(code, i)))
@@ -49,59 +64,81 @@ def shingle_set(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, id: the lines that aren't blank, without blanks around, and their hashes."""
-    d = docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
-    return d.withColumn("line", bare(F.col("line"))).where("line <> ''").withColumn("id", F.xxhash64("line"))
-
-
-def band_buckets(docs: DataFrame) -> DataFrame:
-    """(bucket, id) for each band of each line hash. Texts aren't shuffled: a task's picks are, and their least is taken."""
-    code = lines(docs).select("id", F.encode("line", "UTF-32").alias("code"))
-    each = code.select("id", "code", F.explode(_starts(F.col("code"))).alias("i")).select("id", _shingle_hash(F.col("code"), F.col("i")).alias("h"))
-    again = [F.xxhash64(F.lit(k), "h") for k in range(BANDS * ROWS // 2)]
-    halves = [x for h in again for x in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
-    picks = each.groupBy("id").agg(*[F.min(h).alias(f"m{k}") for k, h in enumerate(halves)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return materialize(picks.select("id", bands.alias("bands"))).select("id", F.explode("bands").alias("bucket"))
-
-
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) for each line hash that is linked with another."""
-    sized = materialize(sized_buckets(band_buckets(docs)).select("bucket", "id", "n"))
+    """line, id, at: the lines that aren't blank, without blanks around, their hashes and places. docs: row_, text."""
+    d = docs.select("row_", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
+    d = d.select(bare(F.col("line")).alias("line"), F.shiftleft("row_", LINE).bitwiseOR(F.col("line_no").cast("long")).alias("at")).where("line <> ''")
+    return d.withColumn("id", F.xxhash64("line"))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """id, at (the first place), bands (a bucket for each band), picks (their last bytes, numbered) of each distinct line. Texts aren't shuffled: each task's
+    picks are, and of these the least is taken."""
+    n = BANDS * ROWS
+    each = _hashes(lines(docs), "id", "at").withColumn("bin", F.shiftrightunsigned("h", 33) % n).withColumn("v", F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))
+    picks = each.groupBy("id").agg(F.expr("min(at) FILTER (WHERE i = 0)").alias("at"), *[F.expr(f"min(v) FILTER (WHERE bin = {k})").alias(f"m{k}") for k in range(n)])
+    # another order of the bins for each: steps that have no factor in common with their number
+    steps = [s for s in range(1, n) if math.gcd(s, n) == 1]
+    full = [F.coalesce(*[F.col(f"m{(k + s * steps[k % len(steps)]) % n}") for s in range(n)]) for k in range(n)]
+    picks = picks.select("id", "at", *[x.alias(f"p{k}") for k, x in enumerate(full)])
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"p{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    return picks.select("id", "at", F.array(*bands).alias("bands"), F.array(*[(F.col(f"p{k}").bitwiseAND(F.lit(255)) + k * 256).cast("int") for k in range(n)]).alias("picks"))
+
+
+def _fetch(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, line of the lines asked for (id, at): only the documents that hold any are split."""
+    by_row = asked.select("id", F.shiftright("at", LINE).alias("row_"), F.col("at").bitwiseAND(F.lit((1 << LINE) - 1)).cast("int").alias("line_no"))
+    by_row = by_row.groupBy("row_").agg(F.collect_list(F.struct("id", "line_no")).alias("asked"))
+    if asked.count() <= FETCH:
+        by_row = F.broadcast(by_row)
+    d = docs.join(by_row, "row_").select(split_lines(F.col("text")).alias("all"), "asked")
+    got = F.transform("asked", lambda x: F.struct(x["id"].alias("id"), F.get("all", x["line_no"]).alias("line")))
+    return d.select(F.inline(got)).select("id", bare(F.col("line")).alias("line"))
+
+
+def line_groups(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root) for each line hash that is linked with another. signed: signatures, stored."""
+    sized = materialize(sized_buckets(signed.select("id", "picks", F.explode("bands").alias("bucket"))).select("bucket", "id", "picks", "n"))
 
     def features(ids: DataFrame) -> DataFrame:
-        return lines(docs).select("id", F.col("line").alias("f")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return _fetch(docs, materialize(signed.join(ids, "id", "left_semi").select("id", "at"))).withColumnRenamed("line", "f")
+
+    num, den = round(similarity * 1000), 1000
 
     def same(x: Column, y: Column) -> Column:
-        common = F.size(F.array_intersect(x, y))
-        return (F.least(F.size(x), F.size(y)) >= similarity * F.greatest(F.size(x), F.size(y))) & (common >= similarity * (F.size(x) + F.size(y) - common))
+        sizes = F.least(F.size(x), F.size(y)) * den >= F.greatest(F.size(x), F.size(y)) * num
+        return sizes & (F.size(F.array_intersect(x, y)) * (den + num) >= (F.size(x) + F.size(y)) * num)
 
-    return linked_groups(sized, features, same, lambda l, r: F.lit(True), unpack=shingle_set)
+    def may(l, r) -> Column:
+        return F.size(F.array_intersect(l("picks"), r("picks"))) >= AGREE
+
+    return linked_groups(sized, features, same, may, unpack=shingle_set)
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, kept (sorted line numbers): the lines that stay, of documents that keep any. docs: doc_id (unique), text."""
-    first = lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    groups = line_groups(docs, similarity)
-    first = first.join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at"))
-    return first.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.line_no")).alias("kept"))
+    """row_, kept (sorted line numbers): the lines that stay, of documents that keep any. docs: row_ (0..2**36), text."""
+    signed = materialize(signatures(docs))
+    groups = line_groups(docs, signed, similarity)
+    first = signed.select("id", "at").join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at"))
+    line_no = F.col("at").bitwiseAND(F.lit((1 << LINE) - 1)).cast("int")
+    return first.groupBy(F.shiftright("at", LINE).alias("row_")).agg(F.array_sort(F.collect_list(line_no)).alias("kept"))
 
 
 def _with_kept(docs: DataFrame, similarity: float) -> DataFrame:
     """doc (docs' columns as one struct), kept (sorted line numbers) for each row of docs."""
-    d = row_keys(docs)
+    d = row_keys(docs, 1 << (63 - LINE))
     if d is None:
-        d = docs.select(F.col("doc_id").alias("row_"), F.struct(*docs.columns).alias("doc"))
-    k = kept_lines(d.select(F.col("row_").alias("doc_id"), F.col("doc.text").alias("text")), similarity)
-    d = d.join(k, d.row_.eqNullSafe(k.doc_id), "left")
+        d = docs.select(F.col("doc_id").cast("long").alias("row_"), F.struct(*docs.columns).alias("doc"))
+    d = d.join(kept_lines(d.select("row_", F.col("doc.text").alias("text")), similarity), "row_", "left")
     return d.select("doc", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 
 
 def line_decisions(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (blank ones not counted), n_removed, kept_lines for each row."""
-    text = F.col("doc.text")
-    n = F.when(text.isNull(), 0).otherwise(F.size(F.filter(split_lines(text), lambda x: bare(x) != "")))
-    d = _with_kept(docs.select("doc_id", "text"), similarity).select(F.col("doc.doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_lines"), "kept")
+    n = F.coalesce(F.size(F.filter(split_lines(F.col("text")), lambda x: bare(x) != "")), F.lit(0))
+    counted = lambda d: d.select("row_", "doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
+    keyed = row_keys(docs.select("doc_id", "text"), 1 << (63 - LINE))
+    own = docs.select(F.col("doc_id").cast("long").alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), "text") if keyed is None else keyed.select("row_", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
+    d = counted(own).join(kept_lines(own.select("row_", "text"), similarity), "row_", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     return d.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"), F.col("kept").alias("kept_lines"))
 
 

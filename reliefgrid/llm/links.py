@@ -2,7 +2,7 @@
 
 `components` is a distributed union-find (alternating large-star and small-star steps). `linked_groups` finds what
 links the members of buckets: small buckets compare all pairs; a large one first compares all its members with its most
-central one. What these links join needs no more comparing, for groups are all that is asked for. Members of a bucket
+central one and a few others. What these links join needs no more comparing, for groups are all that is asked for. Members of a bucket
 that are still apart are then compared in full, in blocks: a row holds two blocks, and only links come out of it. So no
 link between different groups is lost, and a large group of variants never becomes rows for all its pairs.
 """
@@ -16,9 +16,17 @@ from pyspark.sql import functions as F
 
 from reliefgrid.llm.common import materialize
 
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f names it: the optimiser can't copy it into f."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 SMALL_BUCKET, BLOCK = 8, 48
 #: Blocks of one bucket that a task compares with all others of the bucket.
 TOGETHER = 16
+#: Members of a large bucket that all others are compared with first: the most central one and some chosen by hash.
+CENTRES = 4
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -51,12 +59,14 @@ def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame],
     that is the text itself.
     """
     named = [c for c in sized.columns if c not in ("bucket", "n")]
-    weight = sized.groupBy("id").agg(F.sum("n").alias("weight"), F.count_if(F.col("n") > small).alias("large"))
+    weight = sized.select("id", "n").groupBy("id").agg(F.sum("n").alias("weight"), F.count_if(F.col("n") > small).alias("large"))
     sized = sized.join(weight, "id")
     many, few = sized.where(F.col("n") > small), sized.where(F.col("n") <= small)
     side = lambda d, s, *more: d.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in [*named, *more]])
     l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
-    centre = many.groupBy("bucket").agg(F.max_by(F.struct(*named), F.struct("weight", "id")).alias("x")).select("bucket", "x.*")
+    one = F.struct(*named)
+    centre = many.groupBy("bucket").agg(F.array_distinct(F.array(F.max_by(one, F.struct("weight", "id")), *[F.max_by(one, F.xxhash64(F.lit(k), "id")) for k in range(CENTRES - 1)])).alias("x"))
+    centre = centre.select("bucket", F.explode("x").alias("x")).select("bucket", "x.*")
     near = side(few, "l", "large").join(side(few, "r", "large"), "bucket").where("l_id < r_id").where(may(l, r))
     if enough is not None:
         # what all small buckets say of a pair, and at most so many large ones
@@ -67,30 +77,33 @@ def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame],
     near = materialize(pair(near).union(pair(star)).where("a < b").distinct())
     features = materialize(features(near.select(F.col("a").alias("id")).union(near.select("b")).union(many.select("id")).distinct()))
     near = near.join(features.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(features.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
-    near = near.select("a", "b", unpack(F.col("x")).alias("x"), unpack(F.col("y")).alias("y"))
-    links = materialize(near.where(same(F.col("x"), F.col("y"))).select("a", "b"))
+    sets = F.struct(unpack(F.col("x")).alias("x"), unpack(F.col("y")).alias("y"))
+    links = materialize(near.where(once(sets, lambda s: same(s["x"], s["y"]))).select("a", "b"))
     groups = components(links)
 
     apart = many.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("id").alias("m")).where("lo <> hi").select("bucket", "m")
+    open_ = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("id").alias("m"), F.mode("root").alias("top")).where("lo <> hi").select("bucket", "m", "top")
     apart = materialize(apart.join(open_, "bucket"))
     if apart.isEmpty():
         return groups
     mine = apart.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
-    held = apart.join(mine, "id").join(features, "id").withColumn("f", unpack(F.col("f"))).withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("m") / BLOCK) + 1))
-    blocks = held.groupBy("bucket", "block").agg(F.max("m").alias("m"), F.collect_list(F.struct(*named, "root", "buckets", "f")).alias("of"))
+    held = apart.join(mine, "id").join(features, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("m") / BLOCK) + 1))
+    # a pair of two groups has a member outside the bucket's largest one: these go left, all members right
+    packed = lambda d: d.groupBy("bucket", "block").agg(F.max("m").alias("m"), F.max("top").alias("top"), F.collect_list(F.struct(*named, "root", "buckets", "f")).alias("of"))
     # a bucket's pairs of blocks are dealt by the left block; the right one goes to each deal
     deals = F.floor(F.col("m") / (BLOCK * TOGETHER))
-    left = blocks.select("bucket", F.col("block").alias("l_block"), F.col("of").alias("ls"), F.pmod("block", deals + 1).alias("deal"))
-    right = blocks.select("bucket", F.col("block").alias("r_block"), F.col("of").alias("rs"), F.explode(F.sequence(F.lit(0).cast("long"), deals)).alias("deal"))
-    two = left.join(right, ["bucket", "deal"]).where("l_block <= r_block")
+    left = packed(held.where("root <> top")).select("bucket", "top", F.col("of").alias("ls"), F.pmod("block", deals + 1).alias("deal"))
+    right = packed(held).select("bucket", F.col("of").alias("rs"), F.explode(F.sequence(F.lit(0).cast("long"), deals)).alias("deal"))
+    each = lambda c: F.transform(c, lambda m: F.struct(*[m[k].alias(k) for k in (*named, "root", "buckets", "f")], unpack(m["f"]).alias("u")))
+    two = left.join(right, ["bucket", "deal"])
 
     def linked(l: Column, r: Column) -> Column:
-        once = (F.col("l_block") < F.col("r_block")) | (l["id"] < r["id"])
+        apart = (r["root"] == F.col("top")) | (l["id"] < r["id"])
         first = F.element_at(F.array_intersect(l["buckets"], r["buckets"]), 1) == F.col("bucket")  # a pair is compared in one of its buckets
-        return once & (l["root"] != r["root"]) & may(lambda c: l[c], lambda c: r[c]) & first & same(l["f"], r["f"])
+        return apart & (l["root"] != r["root"]) & may(lambda c: l[c], lambda c: r[c]) & first & same(l["u"], r["u"])
 
-    found = F.flatten(F.transform("ls", lambda l: F.transform(F.filter("rs", lambda r: linked(l, r)), lambda r: F.struct(l["id"].alias("a"), r["id"].alias("b")))))
+    both = F.struct(each("ls").alias("ls"), each("rs").alias("rs"))
+    found = once(both, lambda s: F.flatten(F.transform(s["ls"], lambda l: F.transform(F.filter(s["rs"], lambda r: linked(l, r)), lambda r: F.struct(l["id"].alias("a"), r["id"].alias("b"))))))
     new = materialize(two.select(F.explode(found).alias("x")).select("x.a", "x.b"))
     return groups if new.isEmpty() else components(links.union(new))
 
