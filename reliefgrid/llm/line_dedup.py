@@ -6,7 +6,7 @@ value, and a bin's least value is its pick; an empty bin takes the pick of the f
 own. Two lines agree in a pick with the probability of their Jaccard similarity. Lines that agree in all ROWS picks of a
 band share a bucket; pairs from buckets that agree in AGREE picks or more are verified by the exact Jaccard similarity of all their shingles, links are
 joined by a distributed union-find, and of each component the line that comes first (doc_id, line number) stays. At a
-similarity of 0.8 a pair of lines shares a bucket with a probability of 1 - (1 - 0.8**3)**6 = 0.987, and fails AGREE with one of 0.002.
+similarity of 0.8 a pair of lines shares a bucket with a probability of 1 - (1 - 0.8**3)**6 = 0.987, and fails AGREE with one of 0.016.
 
 Equal lines are one line to all of this: they are brought together by their hash before anything else, so that a line
 that stands in a third of all documents costs one row a task. Lines are compared without blanks around them; blank lines
@@ -27,7 +27,7 @@ from reliefgrid.llm.links import linked_groups, sized_buckets
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
 #: Picks of BANDS * ROWS, by their last byte, in which a pair agrees that is verified.
-AGREE = 9
+AGREE = 11
 #: A line's place is its document's number, below 2**36, followed by LINE bits of line number.
 LINE = 27
 #: Lines to fetch that are broadcast, at about 24 bytes each; more are joined by a shuffle.

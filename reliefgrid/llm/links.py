@@ -23,8 +23,10 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 SMALL_BUCKET, BLOCK = 8, 48
-#: Blocks of one bucket that a task compares with all others of the bucket.
-TOGETHER = 16
+#: Blocks of one bucket that a task compares with all those outside the bucket's largest group.
+TOGETHER = 4
+#: Members of buckets whose members are compared with a block of the largest group before they are compared with all.
+HUGE = 128
 #: Members of a large bucket that all others are compared with first: the most central one and some chosen by hash.
 CENTRES = 4
 
@@ -81,21 +83,34 @@ def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame],
     links = materialize(near.where(once(sets, lambda s: same(s["x"], s["y"]))).select("a", "b"))
     groups = components(links)
 
+    for whole in (False, True):
+        new = _between_groups(many, groups, features, named, same, may, unpack, whole)
+        if new is not None and not new.isEmpty():
+            links = links.union(new)
+            groups = components(links)
+    return groups
+
+
+def _between_groups(many: DataFrame, groups: DataFrame, features: DataFrame, named: list[str], same: Callable, may: Callable, unpack: Callable, whole: bool) -> DataFrame | None:
+    """Links of members of one bucket that are in different groups so far: all of them if whole, else those of the members of
+    HUGE buckets with about BLOCK members of the bucket's largest group, which leaves less to compare. None if no bucket is open."""
     apart = many.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("id").alias("m"), F.mode("root").alias("top")).where("lo <> hi").select("bucket", "m", "top")
+    open_ = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("id").alias("m"), F.mode("root").alias("top"))
+    open_ = open_.where("lo <> hi" if whole else f"lo <> hi AND m >= {HUGE}").select("bucket", "m", "top")
     apart = materialize(apart.join(open_, "bucket"))
     if apart.isEmpty():
-        return groups
+        return None
     mine = apart.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
     held = apart.join(mine, "id").join(features, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("m") / BLOCK) + 1))
     # a pair of two groups has a member outside the bucket's largest one: these go left, all members right
     packed = lambda d: d.groupBy("bucket", "block").agg(F.max("m").alias("m"), F.max("top").alias("top"), F.collect_list(F.struct(*named, "root", "buckets", "f")).alias("of"))
-    # a bucket's pairs of blocks are dealt by the left block; the right one goes to each deal
-    deals = F.floor(F.col("m") / (BLOCK * TOGETHER))
-    left = packed(held.where("root <> top")).select("bucket", "top", F.col("of").alias("ls"), F.pmod("block", deals + 1).alias("deal"))
-    right = packed(held).select("bucket", F.col("of").alias("rs"), F.explode(F.sequence(F.lit(0).cast("long"), deals)).alias("deal"))
+    # a bucket's pairs of blocks are dealt by the right block; the left ones, of which there are fewer, go to each deal. The
+    # deals keep the session's number of partitions: there is more to compare than to read
+    deals, parts = F.floor(F.col("m") / (BLOCK * TOGETHER)), int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = packed(held.where("root <> top")).select("bucket", "top", F.col("of").alias("ls"), F.explode(F.sequence(F.lit(0).cast("long"), deals)).alias("deal"))
+    right = packed(held if whole else held.where("block = 0 AND root = top")).select("bucket", F.col("of").alias("rs"), F.pmod("block", deals + 1).alias("deal"))
+    two = left.repartition(parts, "bucket", "deal").join(right.repartition(parts, "bucket", "deal"), ["bucket", "deal"])
     each = lambda c: F.transform(c, lambda m: F.struct(*[m[k].alias(k) for k in (*named, "root", "buckets", "f")], unpack(m["f"]).alias("u")))
-    two = left.join(right, ["bucket", "deal"])
 
     def linked(l: Column, r: Column) -> Column:
         apart = (r["root"] == F.col("top")) | (l["id"] < r["id"])
@@ -104,8 +119,7 @@ def linked_groups(sized: DataFrame, features: Callable[[DataFrame], DataFrame],
 
     both = F.struct(each("ls").alias("ls"), each("rs").alias("rs"))
     found = once(both, lambda s: F.flatten(F.transform(s["ls"], lambda l: F.transform(F.filter(s["rs"], lambda r: linked(l, r)), lambda r: F.struct(l["id"].alias("a"), r["id"].alias("b"))))))
-    new = materialize(two.select(F.explode(found).alias("x")).select("x.a", "x.b"))
-    return groups if new.isEmpty() else components(links.union(new))
+    return materialize(two.select(F.explode(found).alias("x")).select("x.a", "x.b"))
 
 
 def sized_buckets(members: DataFrame) -> DataFrame:
