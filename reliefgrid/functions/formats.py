@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reliefgrid.functions.nulls import _col
+from reliefgrid.functions.nulls import _col, bound
 
 # Fixed values of the GRS80 ellipsoid and of the Japanese plane coordinate systems.
 GRS80_A, GRS80_F, PLANE_SCALE = 6378137.0, 1 / 298.257222101, 0.9999
@@ -52,10 +52,13 @@ def geometry_type(c) -> Column:
 def _hex_double(h: Column) -> Column:
     """The double that 16 hexadecimal digits, highest first, encode."""
     part = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("double")
-    head = F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
-    sign, power = F.when(head >= 2048, -1.0).otherwise(1.0), F.pmod(head, F.lit(2048))
     share = (part(4, 5) * 2.0**32 + part(9, 8)) / 2.0**52
-    return sign * F.when(power == 0, share * F.pow(F.lit(2.0), F.lit(-1022.0))).otherwise((1 + share) * F.pow(F.lit(2.0), (power - 1023).cast("double")))
+
+    def value(head: Column) -> Column:
+        sign, power = F.when(head >= 2048, -1.0).otherwise(1.0), F.pmod(head, F.lit(2048))
+        return sign * F.when(power == 0, share * F.pow(F.lit(2.0), F.lit(-1022.0))).otherwise((1 + share) * F.pow(F.lit(2.0), (power - 1023).cast("double")))
+
+    return bound(F.conv(F.substring(h, 1, 3), 16, 10).cast("int"), value)
 
 
 def point_from_wkb(c) -> tuple[Column, Column]:
@@ -65,7 +68,28 @@ def point_from_wkb(c) -> tuple[Column, Column]:
     byte = lambda at: F.substring(h, 2 * at + 1, 2)
     word = lambda at, n: F.when(little, F.concat(*[byte(at + n - 1 - k) for k in range(n)])).otherwise(F.substring(h, 2 * at + 1, 2 * n))
     is_point = (F.length(h) >= 42) & (F.substring(word(1, 4), 7, 2) == "01")
-    return tuple(F.when(is_point, _hex_double(word(at, 8))) for at in (5, 13))
+    return tuple(F.when(is_point, bound(word(at, 8), _hex_double)) for at in (5, 13))
+
+
+def _double_hex(x: Column) -> Column:
+    """The 16 hexadecimal digits, highest first, that encode a finite double."""
+    v, two = F.abs(x), lambda k: F.pow(F.lit(2.0), k.cast("double"))
+    near = lambda g: F.greatest(F.when(two(g) > v, g - 1).when(two(g + 1) <= v, g + 1).otherwise(g), F.lit(-1022))
+
+    def digits(s: Column) -> Column:
+        whole = F.when(v == 0, F.lit(0)).otherwise((v / two(s) * 2.0**52).cast("long"))  # exact: 53 bits at most
+        head = F.when(whole >= 1 << 52, s + 1023).otherwise(F.lit(0)) + F.when(x < 0, 2048).otherwise(0)
+        return F.concat(F.lpad(F.hex(head), 3, "0"), F.lpad(F.hex(whole.bitwiseAND(F.lit((1 << 52) - 1))), 13, "0"))
+
+    return bound(bound(F.coalesce(F.floor(F.log2(v)), F.lit(-1022)), near), digits)
+
+
+def point_wkb(x, y) -> Column:
+    """A point in well-known binary, low byte first; null unless both coordinates are finite."""
+    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    turned = lambda h: F.concat(*[F.substring(h, 15 - 2 * k, 2) for k in range(8)])
+    x, y = _col(x).cast("double"), _col(y).cast("double")
+    return F.when(fine(x) & fine(y), F.unhex(F.concat(F.lit("0101000000"), bound(_double_hex(x), turned), bound(_double_hex(y), turned))))
 
 
 def graticule(low, high, step: float) -> Column:
@@ -98,3 +122,13 @@ def plane_xy(lon, lat, lon0: float, lat0: float) -> tuple[Column, Column]:
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     return east * scale, (north - start) * scale
+
+
+def plane_ring(ring, lon0: float, lat0: float) -> Column:
+    """A ring of degrees (x: longitude, y: latitude) in metres of a plane system."""
+
+    def corner(p: Column) -> Column:
+        x, y = plane_xy(p["x"], p["y"], lon0, lat0)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(_col(ring), corner)

@@ -12,6 +12,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value, fn) -> Column:
+    """fn(value), with value worked out once, however often fn names it."""
+    return F.element_at(F.transform(F.array(_col(value)), fn), 1)
+
+
 def guarded(fn, *cols) -> Column:
     """fn of all columns, null if any of them is."""
     cols = [_col(c) for c in cols]

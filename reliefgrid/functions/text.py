@@ -15,7 +15,10 @@ from reliefgrid.functions.nulls import _col
 
 # What the names of facilities are brought to, in this order.
 FACILITY_RULES = (("コミセン", "コミュニティセンター"), ("小学校体育館", "小学校"), ("中学校体育館", "中学校"))
-DASHES = "[~〜～-]"
+# Fixed input formats of reports: opening hours, report times, status times of the water section.
+TIME_RANGE = r"(\d{1,2}):(\d{2})\s*[~〜～-]\s*(\d{1,2}):(\d{2})"
+REPORT_TIME = r"(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日\s*(\d{1,2}):(\d{2})"
+WATER_TIME = r"■水道\((\d{1,2})/(\d{1,2})\s+(\d{1,2}):(\d{2})\s*時点\)"
 
 
 @pandas_udf(StringType())
@@ -31,14 +34,28 @@ def facility_name(c, halls: bool = True) -> Column:
     return c
 
 
+def facility_name_short(c) -> Column:
+    """NFKC, no blanks, dots and brackets, and the first rule only; null stays null."""
+    c = F.regexp_replace(nfkc(_col(c)), r"[\s　・･()（）]", "")
+    return F.replace(c, F.lit(FACILITY_RULES[0][0]), F.lit(FACILITY_RULES[0][1]))
+
+
+def without_prefix(c, prefix: str) -> Column:
+    """A facility's full name without the name of its town in front, if it stands there."""
+    c = facility_name(c)
+    return F.when(c.startswith(prefix), F.substring(c, F.lit(len(prefix) + 1), F.length(c))).otherwise(c)
+
+
 def route_name(c) -> Column:
-    return F.nullif(F.regexp_replace(nfkc(_col(c)), r"[\s　]+", ""), F.lit(""))
+    """NFKC, no blanks, dots and brackets; a blank name is null."""
+    c = _col(c)
+    return F.when(F.trim(F.regexp_replace(c, r"[\s　]+", "")) != "", F.regexp_replace(nfkc(c), r"[\s　・･()（）]", ""))
 
 
 def time_range(c) -> tuple[Column, Column]:
-    """Opening and closing time, HH:MM, of a text such as 8:30~17:00; null if there is none."""
-    c = F.translate(_col(c), "：", ":")
-    part = lambda k: F.nullif(F.regexp_extract(c, rf"(\d{{1,2}}):(\d{{2}})\s*{DASHES}\s*(\d{{1,2}}):(\d{{2}})", k), F.lit(""))
+    """Opening and closing time, HH:MM, of a text such as 8:30~17:00, full-width ones too; null if there is none."""
+    c = nfkc(_col(c))
+    part = lambda k: F.nullif(F.regexp_extract(c, TIME_RANGE, k), F.lit(""))
     return tuple(F.concat(F.lpad(part(k), 2, "0"), F.lit(":"), part(k + 1)) for k in (1, 3))
 
 
@@ -50,14 +67,31 @@ def minutes_between(opening, closing) -> Column:
 
 
 def household_count(c) -> Column:
-    """The count in a text: a dot before three digits at the end, like a comma, divides thousands."""
-    bare = F.replace(F.regexp_replace(_col(c), r"[^0-9.,]", ""), F.lit(","), F.lit(""))
-    return F.when(bare.rlike(r"^\d{1,3}\.\d{3}$"), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare).try_cast("bigint")
+    """The count in a text, as a double: a dot before three digits at the end, like a comma, divides thousands."""
+    bare = F.regexp_replace(nfkc(_col(c)), r"[^0-9.,]", "")
+    return F.when(bare.rlike(r"^\d{1,3}\.\d{3}$"), F.replace(bare, F.lit("."), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit(""))).try_cast("double")
+
+
+def _time_parts(c: Column, pattern: str, n: int) -> list[Column]:
+    return [F.nullif(F.regexp_extract(c, pattern, k), F.lit("")).cast("int") for k in range(1, n + 1)]
 
 
 def japanese_timestamp(c) -> Column:
-    part = lambda k: F.nullif(F.regexp_extract(_col(c), r"(\d{4})年(\d{1,2})月(\d{1,2})日\s*(\d{1,2}):(\d{2})", k), F.lit("")).cast("int")
-    return F.to_utc_timestamp(F.make_timestamp(*[part(k) for k in range(1, 6)], F.lit(0)), "Asia/Tokyo")
+    """A report's time in Japan, brought to UTC; blanks and full-width digits don't matter."""
+    return F.to_utc_timestamp(F.make_timestamp(*_time_parts(nfkc(_col(c)), REPORT_TIME, 5), F.lit(0)), "Asia/Tokyo")
+
+
+def water_status_time(c, reported) -> Column:
+    """When the water section of a report was written (month/day hour:minute, of the report's year, in Japan), in UTC; if it
+    doesn't say, the report's time."""
+    month, day, hour, minute = _time_parts(_col(c), WATER_TIME, 4)
+    year = F.year(F.from_utc_timestamp(_col(reported), "Asia/Tokyo"))
+    return F.coalesce(F.to_utc_timestamp(F.make_timestamp(year, month, day, hour, minute, F.lit(0)), "Asia/Tokyo"), _col(reported))
+
+
+def iso_local(c, zone: str) -> Column:
+    """A timestamp with offset as local time of the zone; null if it isn't one."""
+    return F.from_utc_timestamp(_col(c).try_cast("timestamp"), zone)
 
 
 def collapse(c) -> Column:

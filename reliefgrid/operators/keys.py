@@ -65,6 +65,7 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def signature(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row: the number of rows and an order-free digest of their canonical JSON."""
-    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("digest"))
+    """One row: the number of rows and an order-free digest, the sum of 60 bits of the SHA-256 of each row's canonical JSON; rows
+    that repeat count as often as they stand there."""
+    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))

@@ -1,8 +1,9 @@
 """Road graphs and shortest distances, as joins and aggregations.
 
 A graph is edges (a, b, w) with a <= b, parallel edges brought to the least w. Distances are relaxed along a frontier: a
-round joins only the nodes whose distance fell to the edges, so that the work is that of the improvements, not of the
-graph times the rounds. Rounds end lineage by a checkpoint in the shared folder. Unreachable nodes have no row.
+round joins only the nodes whose distance fell to the edges. Edges and distances are dealt by node once and stay so: a round
+shuffles its steps alone, and reads and writes the reached nodes where they are. Rounds end lineage by a checkpoint in the
+shared folder. Unreachable nodes have no row.
 """
 
 from __future__ import annotations
@@ -26,19 +27,21 @@ def nearest_distance(graph: DataFrame, seeds: DataFrame, weight: str = "w", cuto
 
     With `by`, each of its values is a search of its own: the source x node matrix, as rows within the cutoff.
     """
-    both = checkpoint(graph.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col(weight).alias("w")).union(graph.select("b", "a", weight)))
+    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = graph.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col(weight).alias("w")).union(graph.select("b", "a", weight))
+    both = checkpoint(both.repartition(parts, "node"))
     key = [*by, "node"]
     dist = seeds.groupBy(*key).agg(F.min("offset").cast("double").alias("dist"))
     if cutoff is not None:
         dist = dist.where(F.col("dist") <= cutoff)
-    dist = checkpoint(dist.withColumn("new", F.lit(True)))
+    dist = checkpoint(dist.withColumn("new", F.lit(True)).repartition(parts, "node"))
     while True:
         step = dist.where("new").join(both, "node").select(*by, F.col("to").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
         if cutoff is not None:
             step = step.where(F.col("dist") <= cutoff)
-        both_d = dist.select(*key, "dist", F.lit(False).alias("fresh")).unionByName(step.withColumn("fresh", F.lit(True)))
-        best = both_d.groupBy(*key).agg(F.min("dist").alias("dist"), F.min(F.when(~F.col("fresh"), F.col("dist"))).alias("old"))
-        dist = checkpoint(best.select(*key, "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("new")))
+        step = step.groupBy(*key).agg(F.min("dist").alias("got")).repartition(parts, "node")
+        fell = F.col("got").isNotNull() & (F.col("dist").isNull() | (F.col("got") < F.col("dist")))
+        dist = checkpoint(dist.drop("new").join(step, key, "full_outer").select(*key, F.least("dist", "got").alias("dist"), fell.alias("new")))
         if dist.where("new").isEmpty():
             return dist.select(*key, "dist")
 

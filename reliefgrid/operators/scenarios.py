@@ -20,10 +20,13 @@ def parameters(rows: DataFrame, name: str) -> DataFrame:
     return got
 
 
+# Fixed output values: the statuses of `outage_status`, and the three cases of `demand_scenarios`.
+
+
 def outage_status(observed: Column, ratio: Column, households: Column, known: Column) -> Column:
     """The later rule wins: capped, positive, zero, assumed zero, unmatched."""
     return (
-        F.when(~known, "unmatched_geography").when(observed.isNull(), "assumed_zero")
+        F.when(~known, "unmatched_geography").when(observed.isNull(), "assumed_zero_no_official_outage_listing")
         .when(observed > households, "reported_positive_ratio_capped").when(observed > 0, "reported_positive").otherwise("reported_zero")
     )
 
@@ -44,11 +47,12 @@ def demand_scenarios(units: DataFrame, outages: DataFrame, group: str, unit: str
     sized = d.where(F.col("households") > 0).withColumn("size_", F.col("people") / F.col("households"))
     p90 = weighted_quantile(sized.where(F.col(group).isNotNull()), [group], "size_", "households", 0.9, "p90")
     d = d.join(p90, group, "left").withColumn("h", guarded(lambda a, b: a * b, "out", "share"))
-    cases = [("lower", null_min("people", "h")), ("central", guarded(lambda a, b: a * b, "people", "ratio")), ("upper", null_min("people", F.col("h") * F.col("p90")))]
+    cases = [("lower_one_person_per_household", null_min("people", "h")), ("proportional_central", guarded(lambda a, b: a * b, "people", "ratio")), ("upper_p90_household_size", null_min("people", F.col("h") * F.col("p90")))]
     grid = F.array(*[F.struct(F.lit(c).alias("population_case"), p.alias("affected"), F.lit(n).alias("demand_case"), (p * q).alias("demand")) for c, p in cases for n, q in DEMAND_LEVELS])
     return d.select(unit, group, "status", F.explode(grid).alias("x")).select(unit, group, "status", "x.*")
 
 
 def roll_up(scenarios: DataFrame, group: str) -> DataFrame:
-    """Sums by group, status and case; a null group stays, sums of nothing are 0, demand of nothing null."""
-    return scenarios.groupBy(group, "population_case", "demand_case").agg(F.count(F.lit(1)).alias("units"), F.coalesce(F.sum("affected"), F.lit(0.0)).alias("affected"), F.sum("demand").alias("demand"), F.max("status").alias("status"))
+    """Sums by group and case; a null group stays, sums of nothing are 0, demand of nothing null. The status is that of the
+    group's first unit (by the column `unit`)."""
+    return scenarios.groupBy(group, "population_case", "demand_case").agg(F.count(F.lit(1)).alias("units"), F.coalesce(F.sum("affected"), F.lit(0.0)).alias("affected"), F.sum("demand").alias("demand"), F.min_by("status", "unit").alias("status"))

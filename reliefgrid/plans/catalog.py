@@ -6,7 +6,6 @@ parts and suppliers for road nodes that lineitem's rows join.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,11 +13,11 @@ from pyspark.sql import functions as F
 
 from reliefgrid.functions import nulls, stats, text
 from reliefgrid.operators import geo, keys, linkage, network, scenarios, tanker
-from reliefgrid.plans import facility_queries
+from reliefgrid.plans import facility_queries, report_queries, screening_queries
 from reliefgrid.sources.storage import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(facility_queries.QUERIES)
-ORACLES: dict[str, str] = dict(facility_queries.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**facility_queries.QUERIES, **report_queries.QUERIES, **screening_queries.QUERIES}
+ORACLES: dict[str, str] = {**facility_queries.ORACLES, **report_queries.ORACLES, **screening_queries.ORACLES}
 FLAGSHIP = "weighted_coverage_thresholds"
 
 
@@ -61,7 +60,7 @@ def outages(spark, sf):
 HOUSEHOLDS = f"""WITH u AS ({UNITS}), o AS ({OUTAGES}),
 h AS (SELECT u.*, o.out AS observed, sum(households) OVER (PARTITION BY u.grp) AS gh FROM u LEFT JOIN o USING (grp)),
 r AS (SELECT *, households / nullif(gh, 0) AS share, coalesce(observed, 0) AS out, least(greatest(coalesce(observed, 0) / nullif(gh, 0), 0), 1) AS ratio,
-  CASE WHEN observed IS NULL THEN 'assumed_zero' WHEN observed > gh THEN 'reported_positive_ratio_capped' WHEN observed > 0 THEN 'reported_positive' ELSE 'reported_zero' END AS status FROM h)"""
+  CASE WHEN observed IS NULL THEN 'assumed_zero_no_official_outage_listing' WHEN observed > gh THEN 'reported_positive_ratio_capped' WHEN observed > 0 THEN 'reported_positive' ELSE 'reported_zero' END AS status FROM h)"""
 
 
 @query(HOUSEHOLDS + " SELECT unit, grp, round(share, 9) AS share, round(ratio, 9) AS ratio, status FROM r")
@@ -74,8 +73,8 @@ P90 = """q AS (SELECT grp, people / households AS size, households AS w FROM r W
 c AS (SELECT grp, size, sum(w) OVER (PARTITION BY grp ORDER BY size) AS c, sum(w) OVER (PARTITION BY grp) AS t FROM q),
 p AS (SELECT grp, min(size) AS p90 FROM c WHERE c >= t * 0.9::DOUBLE GROUP BY grp)"""
 CASES = """s AS (SELECT r.unit, r.grp, r.status, x.population_case, x.affected, y.demand_case, x.affected * y.q AS demand FROM r LEFT JOIN p USING (grp),
-  LATERAL (SELECT 'lower' AS population_case, CASE WHEN out * share IS NOT NULL THEN least(people, out * share) END AS affected
-    UNION ALL SELECT 'central', people * ratio UNION ALL SELECT 'upper', CASE WHEN out * share * p90 IS NOT NULL THEN least(people, out * share * p90) END) x,
+  LATERAL (SELECT 'lower_one_person_per_household' AS population_case, CASE WHEN out * share IS NOT NULL THEN least(people, out * share) END AS affected
+    UNION ALL SELECT 'proportional_central', people * ratio UNION ALL SELECT 'upper_p90_household_size', CASE WHEN out * share * p90 IS NOT NULL THEN least(people, out * share * p90) END) x,
   (VALUES ('minimum', 3.0::DOUBLE), ('basic', 10.0::DOUBLE), ('extended', 20.0::DOUBLE)) y(demand_case, q))"""
 
 
@@ -95,7 +94,7 @@ def population_demand_scenarios(spark, sf):
 
 
 @query(HOUSEHOLDS + ", " + P90 + ", " + CASES + """ SELECT grp, population_case, demand_case, count(*) AS units, round(coalesce(sum(affected), 0), 3) AS affected, round(sum(demand), 3) AS demand,
-max(status) AS status FROM s GROUP BY ALL""")
+arg_min(status, unit) AS status FROM s GROUP BY ALL""")
 def municipal_rollup(spark, sf):
     return scenarios.roll_up(_demand(spark, sf), "grp").withColumn("affected", F.round("affected", 3)).withColumn("demand", F.round("demand", 3))
 
@@ -166,17 +165,17 @@ def linkage_audit(spark, sf):
 # --- network
 
 EDGES = "SELECT l_partkey AS a, l_suppkey + 100000000 AS b, l_quantity AS w, l_orderkey * 10 + l_linenumber AS edge_id, l_returnflag FROM lineitem"
-GRAPH = f"g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w FROM ({EDGES}) WHERE edge_id NOT IN (SELECT edge_id FROM ({EDGES}) WHERE l_returnflag = 'R') AND edge_id // 10 % 40 = 0 GROUP BY 1, 2)"
+GRAPH = f"g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w FROM ({EDGES}) WHERE edge_id NOT IN (SELECT edge_id FROM ({EDGES}) WHERE l_returnflag = 'R') GROUP BY 1, 2)"
 
 
 def roads(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100000000).alias("b"), F.col("l_quantity").alias("w"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), "l_returnflag", "l_orderkey")
 
 
-def open_graph(spark, sf, whole=False):
-    """Rows of returned orders are closed roads. Unless whole, only the edges of every 40th order, which some queries' SQL names."""
+def open_graph(spark, sf):
+    """Rows of returned orders are closed roads."""
     r = roads(spark, sf)
-    return network.build_graph(r if whole else r.where("l_orderkey % 40 = 0"), "a", "b", "w", closed=r.where("l_returnflag = 'R'"), edge_id="edge_id")
+    return network.build_graph(r, "a", "b", "w", closed=r.where("l_returnflag = 'R'"), edge_id="edge_id")
 
 
 @query(f"SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w FROM ({EDGES}) GROUP BY 1, 2")
@@ -185,19 +184,18 @@ def parallel_edge_min(spark, sf):
 
 
 REACH = f"""WITH RECURSIVE {GRAPH}, e AS (SELECT a, b, w FROM g UNION ALL SELECT b, a, w FROM g),
-path(n, dist) USING KEY (n) AS (SELECT s_suppkey + 100000000 AS n, 0.0::DOUBLE AS dist FROM supplier WHERE s_suppkey % 10 = 0
+path(n, dist) USING KEY (n) AS (SELECT s_suppkey + 100000000 AS n, 0.0::DOUBLE AS dist FROM supplier
   UNION SELECT e.b, min(p.dist + e.w) FROM path p JOIN e ON p.n = e.a LEFT JOIN recurring.path r ON r.n = e.b WHERE r.dist IS NULL OR p.dist + e.w < r.dist GROUP BY e.b)"""
 
 
-def _dist(spark, sf, graph, whole):
-    s = table(spark, sf, "supplier")
-    seeds = (s if whole else s.where("s_suppkey % 10 = 0")).select((F.col("s_suppkey") + 100000000).alias("node"), F.lit(0.0).alias("offset"))
+def _dist(spark, sf, graph):
+    seeds = table(spark, sf, "supplier").select((F.col("s_suppkey") + 100000000).alias("node"), F.lit(0.0).alias("offset"))
     return network.nearest_distance(graph, seeds)
 
 
 @query(REACH + " SELECT n AS node, dist FROM path")
-def nearest_source_distance(spark, sf, whole=False):
-    return _dist(spark, sf, open_graph(spark, sf, whole), whole)
+def nearest_source_distance(spark, sf):
+    return _dist(spark, sf, open_graph(spark, sf))
 
 
 UNIT_DIST = """, u AS (SELECT c_custkey AS unit, c_nationkey AS grp, abs(c_acctbal) AS w, c_custkey % 7 * 10.0 AS snap, c_custkey % 7 < 6 AS accepted, c_custkey % 5 / 4.0::DOUBLE AS fraction,
@@ -207,42 +205,36 @@ d AS (SELECT u.*, CASE WHEN accepted THEN least(coalesce(pa.dist, 1e300) + fract
 f AS (SELECT *, CASE WHEN raw < 1e200 THEN raw END AS distance FROM d)"""
 
 
-def _unit_distances(spark, sf, whole):
-    no = keys.number_rows(open_graph(spark, sf, whole), ["a", "b"], "edge_id").withColumnRenamed("w", "length")
+def _unit_distances(spark, sf):
+    no = keys.number_rows(open_graph(spark, sf), ["a", "b"], "edge_id").withColumnRenamed("w", "length")
     k = F.col("c_custkey")
     u = table(spark, sf, "customer").select(k.alias("unit"), F.col("c_nationkey").alias("grp"), F.abs("c_acctbal").alias("w"), (k % 7 * 10.0).alias("snap"), (k % 7 < 6).alias("accepted"), (k % 5 / F.lit(4.0)).alias("fraction"), k.alias("edge_id"))
-    return network.attach_unit_distance(u, no, _dist(spark, sf, no.withColumnRenamed("length", "w"), whole))
+    return network.attach_unit_distance(u, no, _dist(spark, sf, no.withColumnRenamed("length", "w")))
 
 
 @query(REACH + UNIT_DIST + " SELECT unit, round(distance, 6) AS distance FROM f")
-def access_edge_interpolation(spark, sf, whole=False):
-    return _unit_distances(spark, sf, whole).select("unit", F.round("distance", 6).alias("distance"))
+def access_edge_interpolation(spark, sf):
+    return _unit_distances(spark, sf).select("unit", F.round("distance", 6).alias("distance"))
 
 
 @query(REACH + UNIT_DIST + """ SELECT grp, round(sum(w), 2) AS total_weight, round(coalesce(sum(w) FILTER (WHERE distance <= 50), 0) / sum(w), 6) AS within_50,
 round(coalesce(sum(w) FILTER (WHERE distance <= 100), 0) / sum(w), 6) AS within_100, round(coalesce(sum(w) FILTER (WHERE distance <= 200), 0) / sum(w), 6) AS within_200 FROM f GROUP BY grp""")
-def weighted_coverage_thresholds(spark, sf, whole=False):
-    c = stats.weighted_coverage(_unit_distances(spark, sf, whole), ["grp"], "distance", "w", [50, 100, 200])
+def weighted_coverage_thresholds(spark, sf):
+    c = stats.weighted_coverage(_unit_distances(spark, sf), ["grp"], "distance", "w", [50, 100, 200])
     return c.select("grp", F.round("total_weight", 2).alias("total_weight"), *[F.round(x, 6).alias(x) for x in ("within_50", "within_100", "within_200")])
 
 
 @query(REACH + UNIT_DIST + """ SELECT k * 5.0::DOUBLE AS threshold, round((SELECT coalesce(sum(w), 0) FROM f WHERE distance <= k * 5) / (SELECT sum(w) FROM f), 6) AS share FROM range(0, 61) t(k)""")
-def coverage_curve(spark, sf, whole=False):
-    c = stats.coverage_curve(_unit_distances(spark, sf, whole), "distance", "w", 5.0, 300.0)
+def coverage_curve(spark, sf):
+    c = stats.coverage_curve(_unit_distances(spark, sf), "distance", "w", 5.0, 300.0)
     return c.select("threshold", F.round("share", 6).alias("share"))
 
 
 @query(REACH + UNIT_DIST + """ SELECT band, count(*) AS units FROM (SELECT CASE WHEN distance IS NULL THEN 'unreachable' WHEN distance <= 50 THEN 'up to 50' WHEN distance <= 100 THEN 'up to 100'
 WHEN distance <= 200 THEN 'up to 200' ELSE 'unreachable' END AS band FROM f) GROUP BY band""")
-def distance_bands(spark, sf, whole=False):
+def distance_bands(spark, sf):
     b = stats.distance_band(F.col("distance"), [50, 100, 200], ["up to 50", "up to 100", "up to 200", "unreachable"])
-    return _unit_distances(spark, sf, whole).groupBy(b.alias("band")).agg(F.count(F.lit(1)).alias("units"))
-
-
-#: The five queries above over all open edges and all suppliers; their own SQL names every 40th order and every 10th supplier.
-for _f in (nearest_source_distance, access_edge_interpolation, weighted_coverage_thresholds, coverage_curve, distance_bands):
-    QUERIES[f"{_f.__name__}_all"] = functools.partial(_f, whole=True)
-    ORACLES[f"{_f.__name__}_all"] = ORACLES[_f.__name__].replace(" AND edge_id // 10 % 40 = 0", "").replace(" WHERE s_suppkey % 10 = 0", "")
+    return _unit_distances(spark, sf).groupBy(b.alias("band")).agg(F.count(F.lit(1)).alias("units"))
 
 
 # --- sites, routes, packing
@@ -402,7 +394,7 @@ def html_text_chunks(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(text.html_chunks("html")).alias("place", "chunk"))
 
 
-@query(r"""SELECT c_custkey, lpad(c_custkey % 12 || '', 2, '0') || ':30' AS opening, CASE WHEN c_custkey % 100 < 10 THEN NULL ELSE 1 END AS flag, (c_custkey % 900 + 100) * 1000 + 234 AS households FROM customer""")
+@query(r"""SELECT c_custkey, lpad(c_custkey % 12 || '', 2, '0') || ':30' AS opening, CASE WHEN c_custkey % 100 < 10 THEN NULL ELSE 1 END AS flag, ((c_custkey % 900 + 100) * 1000 + 234)::DOUBLE AS households FROM customer""")
 def parsed_report_text(spark, sf):
     k = F.col("c_custkey")
     c = table(spark, sf, "customer").select("c_custkey", F.concat((k % 12).cast("string"), F.lit("：30 〜 "), (k % 12 + 3).cast("string"), F.lit(":00")).alias("t"), F.concat(F.lit("約 "), (k % 900 + 100).cast("string"), F.lit(".234 戸")).alias("h"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,72 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
 def geojson_text(df: DataFrame, geometry: str, properties: list[str]) -> DataFrame:
     """One JSON feature a row, for a text sink."""
     return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit("}")).alias("value"))
+
+
+def keyed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of the lookup's first row of their keys; rows that it doesn't hold keep nulls."""
+    return rows.join(lookup.dropDuplicates(keys), keys, "left")
+
+
+def with_crs(df: DataFrame, geometry: str, crs: str) -> DataFrame:
+    """df with the geometry's reference system in the column's metadata, which Parquet files written from it carry."""
+    return df.withMetadata(geometry, {**df.schema[geometry].metadata, "crs": crs})
+
+
+def crs_of(df: DataFrame, geometry: str) -> str | None:
+    return df.schema[geometry].metadata.get("crs")
+
+
+def require_crs(df: DataFrame, geometry: str, crs: str) -> DataFrame:
+    """df, or an error if its geometry is of another system or says of none."""
+    if crs_of(df, geometry) != crs:
+        raise ValueError(f"{geometry} is of {crs_of(df, geometry)}, not of {crs}")
+    return df
+
+
+def geo_table(spark: SparkSession, path: str, columns: list[str], geometry: str, crs: str) -> DataFrame:
+    """Some columns of a geometry table, whose system has to be crs; geometries stay as they are stored."""
+    return require_crs(spark.read.parquet(path).select(*columns), geometry, crs)
+
+
+def write_geo(df: DataFrame, path: str, geometry: str, crs: str) -> None:
+    with_crs(df, geometry, crs).write.option("compression", "zstd").parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Files with a header; nulls are empty, quotes are doubled."""
+    df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def write_audit(df: DataFrame, path: str) -> None:
+    """One JSON object a row, nulls kept; a later audit of the same path replaces it."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def feature_collections(df: DataFrame, by: list[str], geometry: str, properties: list[str]) -> DataFrame:
+    """by, value: one FeatureCollection for each value of by, features in order of their properties. Its features go into one row."""
+    f = df.select(*by, F.struct(*properties).alias("order_"), F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit("}")).alias("f"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("order_", "f"))), lambda x: x["f"])
+    return f.groupBy(*by).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(each, ","), F.lit("]}")).alias("value"))
+
+
+def table_shape(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Rows and columns; the count comes from the files' footers."""
+    d = spark.read.parquet(path)
+    return d.count(), len(d.columns)
+
+
+def markdown_section(text: Column, title: str) -> Column:
+    """The lines under a heading, up to the next heading of any level; null without it."""
+    found = F.regexp_extract(text, rf"(?ms)^#+ \Q{title}\E[ \t]*\n(.*?)(?=^#+ |\z)", 1)
+    return F.when(text.rlike(rf"(?m)^#+ \Q{title}\E[ \t]*$"), F.btrim(found, F.lit(" \t\n")))
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """value: each row as a line of a markdown table, bars escaped; `markdown_head` gives the two lines above."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def markdown_head(df: DataFrame) -> list[str]:
+    return ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]

@@ -77,7 +77,7 @@ def test_whole_network_equals_dijkstra(spark):
             want[n] = d
             for m, w in near.get(n, []):
                 heapq.heappush(heap, (d + w, m))
-    assert dict(one(catalog.QUERIES["nearest_source_distance_all"](spark, sf))) == want
+    assert dict(one(catalog.QUERIES["nearest_source_distance"](spark, sf))) == want
 
 
 def test_access_over_an_edge(spark):
@@ -103,10 +103,10 @@ def test_latest_and_assumed_zero(spark):
     u = spark.createDataFrame([("A", 1, 10.0, 4.0), ("A", 2, 2.0, 1.0), ("C", 3, 5.0, 2.0), (None, 4, 1.0, 1.0)], "g string, unit int, people double, households double")
     o = spark.createDataFrame([("A", 10.0)], "g string, out double")
     s = {r.unit: (r.status, r.ratio) for r in scenarios.household_outages(u, o, "g").collect()}
-    assert s == {1: ("reported_positive_ratio_capped", 1.0), 2: ("reported_positive_ratio_capped", 1.0), 3: ("assumed_zero", 0.0), 4: ("unmatched_geography", None)}
+    assert s == {1: ("reported_positive_ratio_capped", 1.0), 2: ("reported_positive_ratio_capped", 1.0), 3: ("assumed_zero_no_official_outage_listing", 0.0), 4: ("unmatched_geography", None)}
     q = scenarios.demand_scenarios(u, o, "g", "unit").collect()
     assert len(q) == 36 and all(r.demand is None for r in q if r.unit == 4)
-    assert {r.demand for r in q if r.unit == 1 and r.population_case == "central"} == {30.0, 100.0, 200.0}
+    assert {r.demand for r in q if r.unit == 1 and r.population_case == "proportional_central"} == {30.0, 100.0, 200.0}
 
 
 def test_report_text(spark):
