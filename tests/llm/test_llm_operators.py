@@ -191,6 +191,16 @@ def test_top_k(spark, n, monkeypatch):
     assert {tuple(x) for x in got.collect()} == want
 
 
+def test_top_k_sends_less_than_all(spark):
+    """Entries below the uniform threshold stay where they are, and some partial scores are looked up in phase 3."""
+    r = random.Random(1)
+    rows = [(i, [r.gauss(0, 1) for _ in range(16)], 1, 2) for i in range(2000)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int, query_id int"))
+    sent, _, least = topk.sent_entries(v, v.where("vec_id % 20 = 0"))
+    n, both = sent.count(), sent.groupBy("query_id", "vec_id").count().where(f"count < {topk.LISTS}").count()
+    assert least.count() == 100 * topk.LISTS and n < 0.2 * 100 * 2000 * topk.LISTS and both > 0
+
+
 # --- op4
 
 
