@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 LANES = 64
 PARAGRAPH = r"\n+|(?<=[.,;:!?|])[ \t]+"
 BUCKET_BYTES = 24 << 20
+#: Buckets are looked up in three steps of FAN: there are FAN**3 at most, beyond 6 TB of text they hold more than BUCKET_BYTES.
+FAN = 64
+#: Ids of which the buckets' bounds are quantiles.
+SAMPLE = 1 << 22
 _LOW = 0xFFFFFFFF
 #: Two +-1 lanes share a long: their counts of ones stay apart up to 2**31 paragraphs.
 _PAIR = 0x0000000100000001
@@ -88,23 +92,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return each.groupBy("row_", "doc_id").agg(*lane_sums(F.col("p"))).select("doc_id", fingerprint().alias("fingerprint"))
 
 
+def _cuts(d: DataFrame, n: int, rows: int) -> list[int]:
+    """Ids between n buckets of about as many rows, from a sample of SAMPLE ids at most; a poor sample makes uneven buckets."""
+    if n == 1 or not rows:
+        return []
+    ids = d.select("id") if rows <= SAMPLE else d.select("id").sample(SAMPLE / rows, seed=1)
+    return sorted({int(x) for x in ids.approxQuantile("id", [k / n for k in range(1, n)], max(0.2 / n, 1e-5))})
+
+
+def _bucket(c: Column, cuts: list[int]) -> Column:
+    """How many cuts are less than c: found in steps of FAN, from coarse to fine."""
+    if len(cuts) <= FAN:
+        return F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>"), lambda x: x < c))
+    step = FAN if len(cuts) <= FAN**2 else FAN**2
+    parts = [cuts[k : k + step - 1] for k in range(0, len(cuts) + 1, step)]
+    coarse = cuts[step - 1 :: step]
+    table = F.array(*[F.array(*map(F.lit, p)) if p else F.array().cast("array<long>") for p in parts])
+    if step == FAN:
+        within = lambda k: F.size(F.filter(F.get(table, k), lambda x: x < c))
+    else:
+        inner = F.array(*[F.array(*[F.array(*map(F.lit, p[j : j + FAN - 1])) if p[j : j + FAN - 1] else F.array().cast("array<long>") for j in range(0, len(p) + 1, FAN)]) for p in parts])
+        middle = F.array(*[F.array(*map(F.lit, p[FAN - 1 :: FAN])) if p[FAN - 1 :: FAN] else F.array().cast("array<long>") for p in parts])
+
+        def within(k: Column) -> Column:
+            j = F.size(F.filter(F.get(middle, k), lambda x: x < c))
+            return j * FAN + F.size(F.filter(F.get(F.get(inner, k), j), lambda x: x < c))
+
+    k = F.size(F.filter(F.array(*map(F.lit, coarse)), lambda x: x < c))
+    return k * step + within(k)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, place, doc_id, text, next_text, own) in buckets of neighbouring documents; own rows are docs', each once.
 
     Rows that are not own stand at a bucket's end and lend their text to its last document.
     """
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows, size, low, high = d.agg(F.count("id"), F.sum(F.octet_length("text")), F.min("id"), F.max("id")).first()
-    n = max(1, min(4096, math.ceil((size or 0) / BUCKET_BYTES)))
-    cuts = sorted(set(d.approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 and rows else []
-    edges = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<long>")
-    d = d.withColumn("bucket", F.size(F.filter(edges, lambda c: c < F.col("id"))))
-    heads = {r.bucket: r.top for r in d.groupBy("bucket").agg(F.max("id").alias("top")).collect()}  # a row a bucket, 4096 at most
+    rows, size = d.agg(F.count("id"), F.sum(F.octet_length("text"))).first()
+    n = max(1, min(FAN**3, math.ceil((size or 0) / BUCKET_BYTES)))
+    d = d.withColumn("bucket", _bucket(F.col("id"), _cuts(d, n, rows)))
     # the first document of a bucket is lent to the nearest bucket above, that of the topmost to the lowest
-    order = sorted(heads)
-    lent = [F.when((F.col("id") == heads[b]) & (F.col("bucket") == b), F.array(F.lit(up))) for b, up in zip(order, [*order[1:], order[0]] if order else [], strict=True)]
-    to = F.coalesce(*lent, F.array().cast("array<int>")) if lent else F.array().cast("array<int>")
-    both = d.withColumn("to", F.explode(F.concat(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("lent"))), F.transform(to, lambda b: F.struct(b.alias("b"), F.lit(1).alias("lent"))))))
+    heads = d.groupBy("bucket").agg(F.max("id").alias("top"))  # a row a bucket
+    above = F.lead("bucket").over(Window.orderBy("bucket"))
+    lent = heads.select("top", F.coalesce(above, F.min("bucket").over(Window.partitionBy())).alias("up"))
+    both = d.join(F.broadcast(lent), d.id == lent.top, "left")
+    own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("lent"))
+    to = F.filter(F.array(own, F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("b"), F.lit(1).alias("lent")))), lambda x: x.isNotNull())
+    both = both.withColumn("to", F.explode(to))
     both = both.select(F.col("to.b").alias("bucket"), F.col("to.lent").alias("lent"), "id", "doc_id", "text").repartition("bucket")
     w = Window.partitionBy("bucket").orderBy("lent", F.desc("id"), "text")
     both = both.withColumn("place", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
