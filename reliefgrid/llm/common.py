@@ -91,6 +91,14 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return pc.fill_null(batch.column(name).cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
 
 
+def runs(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct key with the places that hold it, in order: the work is that of the keys present."""
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(heads, np.append(heads[1:], len(keys)), strict=True):
+        yield int(keys[order[a]]), order[a:b]
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows and each row's offsets; null counts as empty."""
     a = pc.fill_null(batch.column(name), "").cast(pa.large_string())

@@ -3,8 +3,10 @@
 1. Seeds. Of each window of WINDOW words the run of SEED words with the least hash is its seed; equal windows have equal
    seeds. Neighbouring windows with one seed are a segment. Seeds are dealt by hash and counted; segments whose seed
    occurs once hold no window that repeats. This leaves a small part of the text and loses no repeat.
-2. Shards. The words of the remaining segments go to the shard of their seed, so that all occurrences of a window meet
-   in one shard; equal segments of a task go as one, with the list of their places.
+   A seed that stands several times in a chunk of text repeats for sure; its shard hears of it once a chunk.
+2. Shards. The words of the remaining segments go to the shard of their seed, so that all kinds of a window meet in one
+   shard. Of equal segments of a chunk only the first goes there, for the others are later occurrences in full: however
+   common a passage is, its shard gets it once a chunk (CHUNK_BYTES).
 3. Each shard concatenates its distinct segments, sorts their suffixes as deep as a window, and keeps the Burrows-Wheeler
    transform as a wavelet matrix of packed bits with rank counts. Every segment is then streamed against the index:
    backward search, one word at a time and all windows side by side, gives the suffix interval that matches a window in
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.common import chunks, column, gram_hashes, row_keys, signed, text_bytes, word_hashes, word_spans
+from reliefgrid.llm.common import chunks, column, gram_hashes, mix, row_keys, runs, signed, text_bytes, word_hashes, word_spans
 
 WINDOW, SEED = 20, 8
 #: Bytes of text for which one shard is made.
@@ -128,22 +130,33 @@ def shard_of(seed: np.ndarray, shards: int) -> np.ndarray:
     return (seed >> np.uint64(33)).astype(np.int64) % shards
 
 
+def spread(ids: np.ndarray, shards: int) -> np.ndarray:
+    """Negative shards, dealt by document: what needs no meeting with its kind goes there."""
+    return -1 - (mix(ids.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % shards
+
+
 def _seeds(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Segments by the shard of their seed. A seed that a chunk has twice is known to repeat: its segments go to negative shards,
+    and its own shard gets one row with n = 0 that says so, however common the seed is."""
     for batch in chunks(batches):
         seed, row, start, n = segments(batch)
         ids = column(batch, "doc_id")[row]
-        shard = shard_of(seed, shards)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        used = np.flatnonzero(np.diff(cut))
-        part = lambda x, kind: pa.array([x[order[cut[s] : cut[s + 1]]].astype(kind).tobytes() for s in used], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), part(seed, np.uint64), part(ids, np.int64), part(start, np.int32), part(n, np.uint8)], ["shard", "seed", "ids", "start", "n"])
+        each, back, count = np.unique(seed, return_inverse=True, return_counts=True)
+        many, mark = count[back] > 1, each[count > 1]
+        none = np.zeros(len(mark), np.int64)
+        shard = np.concatenate((np.where(many, spread(ids, shards), shard_of(seed, shards)), shard_of(mark, shards)))
+        cols = [np.concatenate(x).astype(k) for x, k in (((seed, mark), np.uint64), ((ids, none), np.int64), ((start, none), np.int32), ((n, none), np.uint8))]
+        used = list(runs(shard))
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in used], pa.int32()), *[pa.array([x[at].tobytes() for _, at in used], pa.binary()) for x in cols]], ["shard", "seed", "ids", "start", "n"])
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     seed, ids, start, n = (np.concatenate([np.frombuffer(x, k) for x in table.column(c).to_pylist()]) for c, k in (("seed", np.uint64), ("ids", np.int64), ("start", np.int32), ("n", np.uint8)))
-    _, back, count = np.unique(seed, return_inverse=True, return_counts=True)
-    held = count[back] > 1
+    if table.column("shard")[0].as_py() < 0:
+        held = np.ones(len(seed), bool)
+    else:
+        each, back = np.unique(seed, return_inverse=True)
+        held = (np.bincount(back, np.where(n == 0, 2, 1), len(each))[back] > 1) & (n > 0)
     return pa.table({"doc_id": ids[held], "start": start[held], "n": n[held].astype(np.int32), "seed": signed(seed[held])})
 
 
@@ -172,21 +185,27 @@ def _contents(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Rec
         same[:1] = False
         group = np.cumsum(~same) - 1
         heads = order[~same]
-        shard = shard_of(seed[order].view(np.uint64), shards)
         ids = column(batch, "doc_id")[of]
-        by = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[by], np.arange(shards + 1))
-        used = np.flatnonzero(np.diff(cut))
-        out: dict[str, list] = {k: [] for k in ("size", "low", "high", "seg", "ids", "start")}
-        for s in used:
-            mine = by[cut[s] : cut[s + 1]]
-            segs, seg = np.unique(group[mine], return_inverse=True)
-            h = heads[segs]
+        # of equal segments the first goes to the shard; the chunk's others are later occurrences of all their windows
+        place = np.lexsort((start[order], ids[order], group))
+        first_of = np.ones(len(place), bool)
+        first_of[1:] = group[place[1:]] != group[place[:-1]]
+        kept, later = order[place[first_of]], order[place[~first_of]]
+        out: dict[str, list] = {k: [] for k in ("size", "low", "high", "ids", "start")}
+        shard_ids = []
+        for s, at in runs(shard_of(seed[kept].view(np.uint64), shards)):
+            h = kept[at]
             ln = size[h].astype(np.int64)
             w = words[np.repeat(begin[h] - np.cumsum(ln) + ln, ln) + np.arange(ln.sum())]
-            for k, x, kind in (("size", ln, np.uint16), ("low", w, np.uint32), ("high", w >> np.uint64(32), np.uint8), ("seg", seg, np.int32), ("ids", ids[order[mine]], np.int64), ("start", start[order[mine]], np.int32)):
+            shard_ids.append(s)
+            for k, x, kind in (("size", ln, np.uint16), ("low", w, np.uint32), ("high", w >> np.uint64(32), np.uint8), ("ids", ids[h], np.int64), ("start", start[h], np.int32)):
                 out[k].append(x.astype(kind).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(x, pa.binary()) for x in out.values()]], ["shard", *out])
+        for s, at in runs(spread(ids[later], shards)):
+            h = later[at]
+            shard_ids.append(s)
+            for k, x in (("size", size[h].astype(np.uint16)), ("low", h[:0]), ("high", h[:0]), ("ids", ids[h]), ("start", start[h].astype(np.int32))):
+                out[k].append(x.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(shard_ids, pa.int32()), *[pa.array(x, pa.binary()) for x in out.values()]], ["shard", *out])
 
 
 def later_occurrences(size: np.ndarray, words: np.ndarray, seg: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,12 +264,13 @@ def later_occurrences(size: np.ndarray, words: np.ndarray, seg: np.ndarray, ids:
 
 
 def _search(table: pa.Table) -> pa.Table:
-    get = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-    size = get("size", np.uint16)
-    base = np.concatenate(([0], np.cumsum([len(x) for x in size])[:-1]))
-    words = np.concatenate(get("low", np.uint32)).astype(np.uint64) | np.concatenate(get("high", np.uint8)).astype(np.uint64) << np.uint64(32)
-    seg = np.concatenate([x + b for x, b in zip(get("seg", np.int32), base, strict=True)])
-    ids, a, b = later_occurrences(np.concatenate(size).astype(np.int64), words, seg, np.concatenate(get("ids", np.int64)), np.concatenate(get("start", np.int32)).astype(np.int64))
+    get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
+    size, ids, start = get("size", np.uint16).astype(np.int64), get("ids", np.int64), get("start", np.int32).astype(np.int64)
+    if table.column("shard")[0].as_py() < 0:
+        a, b = start, start + size
+    else:
+        words = get("low", np.uint32).astype(np.uint64) | get("high", np.uint8).astype(np.uint64) << np.uint64(32)
+        ids, a, b = later_occurrences(size, words, np.arange(len(size)), ids, start)
     return pa.table({"doc_id": ids, "a": a.astype(np.int32), "b": b.astype(np.int32)}, pa.schema([("doc_id", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
 
@@ -263,7 +283,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = seeds.groupBy("shard").applyInArrow(_repeated, "doc_id long, start int, n int, seed long")
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "seed")).alias("segments"))
     held = d.join(asked, "doc_id").select("doc_id", "text", "segments")
-    contents = held.mapInArrow(lambda b: _contents(b, shards), "shard int, size binary, low binary, high binary, seg binary, ids binary, start binary")
+    contents = held.mapInArrow(lambda b: _contents(b, shards), "shard int, size binary, low binary, high binary, ids binary, start binary")
     found = contents.groupBy("shard").applyInArrow(_search, "doc_id long, a int, b int")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
