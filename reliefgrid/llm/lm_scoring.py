@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.common import CHUNK_BYTES, WORD, chunks, column, materialize, mix, signed, text_bytes, word_hashes, word_spans
+from reliefgrid.llm.common import CHUNK_BYTES, WORD, chunks, column, materialize, mix, runs, signed, text_bytes, word_hashes, word_spans
 
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Words with at least 1 / HEAVY of all occurrences are dealt by bigram; those with 1 / KNOWN are broadcast with counts (24 bytes each).
@@ -121,7 +121,7 @@ def _ids(raw: bytes) -> np.ndarray:
 
 
 def _bigrams(batch: pa.RecordBatch, buckets: int, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Offsets by bucket; first and second word, id and times of each document's distinct bigrams; ids, numbers of words."""
+    """Buckets, in order; first and second word, id and times of each document's distinct bigrams; ids, numbers of words."""
     words, row = _words(batch)
     ids = column(batch, "doc_id")
     v = np.full(len(words), START)
@@ -138,7 +138,7 @@ def _bigrams(batch: pa.RecordBatch, buckets: int, heavy: np.ndarray) -> tuple[np
     bucket = (np.where(light, mix(words[pick].view(np.uint64)), both[pick]) >> np.uint64(20)).astype(np.int64) % buckets
     by = np.argsort(bucket, kind="stable")
     pick = pick[by]
-    return np.searchsorted(bucket[by], np.arange(buckets + 1)), v[pick], words[pick], ids[row[pick]], times[by].astype(np.int32), ids, np.bincount(row, minlength=len(ids))
+    return bucket[by], v[pick], words[pick], ids[row[pick]], times[by].astype(np.int32), ids, np.bincount(row, minlength=len(ids))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -147,8 +147,9 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray) ->
 
     def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for b in np.flatnonzero(sum(np.diff(h[0]) for h in held)):
-            rows.append([int(b), *_row(*(np.concatenate([h[k][h[0][b] : h[0][b + 1]] for h in held]) for k in range(1, 5)), heavy)])
+        cols = [np.concatenate([h[k] for h in held]) for k in range(5)]
+        for b, at in runs(cols[0]):
+            rows.append([b, *_row(*(x[at] for x in cols[1:]), heavy)])
             size += sum(map(len, rows[-1][1:]))
             if size > CHUNK_BYTES:
                 yield out(rows)
