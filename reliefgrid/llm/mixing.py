@@ -7,7 +7,7 @@ The cut is exact: whole epochs first, then the documents in key order up to the
 
 Nulls: a null text has size 0; a null source is a source of its own, the last; a null id is hashed as 'null'.
 Rows that repeat a doc_id are documents of their own; ties of the key go by doc_id, then size. An empty table gives
-an empty table. Columns beyond doc_id, text and source are not read unless `keep` asks for all of them.
+an empty table. Columns beyond doc_id, text and source are not read; `mixed_documents` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,14 +63,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them, same columns: each whole epoch is a row, and the part that the exact cut leaves of a
     document is its first words, joined by a space. Documents without words, of which nothing can be taken, go."""
-    m = mix_sources(docs, keep=True, **options).where("taken > 0")
+    d = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("doc"))
+    m = mix_sources(d, keep=True, **options).where("taken > 0")
     takes = F.concat(F.array_repeat("size", F.floor(F.col("taken") / F.col("size")).cast("int")), F.array((F.col("taken") % F.col("size")).cast("long")))
     m = m.withColumn("take", F.explode(F.filter(takes, lambda x: x > 0)))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("take").cast("int")), " ")
     m = m.withColumn("text", F.when(F.col("take") < F.col("size"), part).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        m = m.withColumn("n_chars", F.length("text").cast("long"))
-    return m.select(*docs.columns)
+    put = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return m.select(*[(put[c] if c in put else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = """

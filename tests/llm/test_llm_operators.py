@@ -229,6 +229,31 @@ def test_fingerprints(docs, rows, monkeypatch):
             assert (plain[i] == plain[j]) == (cut(t) == cut(u))
 
 
+def test_buckets_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "FAN", 4)
+    r = random.Random(1)
+    for m in (0, 1, 4, 5, 15, 16, 17, 40, 63):
+        cuts = sorted(r.sample(range(1000), m))
+        d = spark.createDataFrame([(r.randrange(1000),) for _ in range(200)] + [(c,) for c in cuts], "id long")
+        assert all(b == sum(c < i for c in cuts) for i, b in d.select("id", fingerprints._bucket(F.col("id"), cuts)).collect())
+
+
+def brute_likeness(a, b):
+    """The likeness of two texts' paragraphs by their +-1 lanes, from the fingerprints' digits alone."""
+    lanes = lambda f: [(x - 65536 if x >= 32768 else x) for x in (int(f[64 + 4 * k : 68 + 4 * k], 16) for k in range(fingerprints.LANES))]
+    x, y = lanes(a), lanes(b)
+    whole = sum(i * i for i in x) + sum(i * i for i in y)
+    return 1.0 if not whole else max(0.0, min(1.0, 1 - sum((i - j) ** 2 for i, j in zip(x, y)) / whole))
+
+
+def test_likeness_is_that_of_the_fingerprints(docs, rows):
+    got = by_id(fingerprints.edited_fingerprints(docs))
+    order = sorted((i for i, *_ in rows), reverse=True)
+    for k, i in enumerate(order):
+        assert got[i].near_edited == pytest.approx(brute_likeness(got[i].fingerprint, got[i].edited_fingerprint), abs=1e-6)
+        assert got[i].near_next == pytest.approx(brute_likeness(got[i].fingerprint, got[order[(k + 1) % len(order)]].fingerprint), abs=1e-6)
+
+
 def test_fingerprints_add_up(spark, empty):
     parts = [("one line", "two lines.\nthree"), ("a, b", ""), ("x", "x")]
     for a, b in parts:
@@ -387,6 +412,23 @@ def test_mixing(docs, rows, range_rows):
     assert {k: r.taken for k, r in again.items()} == {k: r.taken for k, r in got.items()}
 
 
+def test_columns_of_any_name(spark):
+    """Columns named as the operators' own pass through, and rows that share an id or have none are documents of their own."""
+    names = ["kept", "id_", "target", "taken", "size", "row_", "doc", "source_size", "part_", "take"]
+    texts = ["one two three\nfour five six seven", "another line here\nfour five six seven", "one two three\nlast of all", None, ""]
+    rows = [([3, 3, None, None, 9][k], t, "s", *[k * 10 + j for j in range(len(names))]) for k, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in names))
+    got = line_dedup.dedup_lines(d).collect()
+    assert sorted((x.kept, x.text is None, x.part_) for x in got) == [(k * 10, t is None, k * 10 + 8) for k, t in enumerate(texts)]
+    lines = [x for r in got for x in (r.text or "").split("\n") if x]
+    assert sorted(lines) == sorted({x for t in texts for x in (t or "").split("\n") if x})
+    mixed = mixing.mixed_documents(d).collect()
+    assert {x.taken for x in mixed} <= {r[2 + 4] for r in rows} and mixed[0].asDict().keys() == dict.fromkeys(d.columns).keys()
+    assert {x.size for x in ngram_join.dedup_documents(d, 2).collect()} <= {k * 10 + 4 for k in range(5)}
+    decided = line_dedup.line_decisions(d).collect()
+    assert len(decided) == 5 and all(x.n_removed >= 0 and x.n_removed == x.n_lines - len(x.kept_lines) for x in decided)
+
+
 def test_mixed_documents(docs, rows, empty):
     got = mixing.mixed_documents(docs.drop("size", "bucket")).collect()
     n = Counter()
