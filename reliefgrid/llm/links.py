@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.llm.common import materialize
@@ -127,3 +127,10 @@ def sized_buckets(members: DataFrame) -> DataFrame:
     first and joined back, so that a large bucket is no window of one task. members is read twice: it should be stored."""
     n = members.groupBy("bucket").agg(F.count("id").alias("n")).where("n > 1")
     return members.join(n, "bucket")
+
+
+def sized_in_place(members: DataFrame) -> DataFrame:
+    """The same for members that aren't stored, rows (bucket, id) that repeat taken once: one shuffle by bucket, and a window over
+    each bucket that spills. All rows of one bucket pass through one task."""
+    m = members.repartition("bucket").dropDuplicates(["bucket", "id"])
+    return m.withColumn("n", F.count("id").over(Window.partitionBy("bucket"))).where("n > 1")
