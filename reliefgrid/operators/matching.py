@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reliefgrid.functions.text import route_name
 from reliefgrid.operators.geo import in_ring
 from reliefgrid.operators.keys import top_by
 
@@ -54,7 +55,7 @@ def match_restrictions(observations: DataFrame, edges: DataFrame) -> DataFrame:
 
     All edges within POINT_LIMIT of a point or LINE_LIMIT of a line are `matched_primary`; without any, the nearest one
     within FALLBACK_LIMIT (ties: least id) is `matched_fallback`; else one row is `unmatched`. candidates counts the
-    edges of the step that matched. route_agreement is null unless both have a route.
+    edges of the step that matched. route_agreement compares the normalised names and is null unless both have a route.
     """
     o = observations.select("oid", "is_point", F.col("route").alias("route_o"))
     c = edges_within(observations, edges).join(o.select("oid", "is_point"), "oid")
@@ -66,7 +67,7 @@ def match_restrictions(observations: DataFrame, edges: DataFrame) -> DataFrame:
     status = F.when(F.col("edge_id").isNull(), "unmatched").when(F.col("n_primary") > 0, "matched_primary").otherwise("matched_fallback")
     method = F.when(F.col("edge_id").isNull(), "none").when(F.col("n_primary") == 0, "nearest_edge_250m_fallback").when(F.col("is_point"), "point_nearest_100m").otherwise("line_buffer_50m")
     count = F.when(F.col("edge_id").isNull(), 0).when(F.col("n_primary") > 0, F.col("n_primary")).otherwise(F.col("n_all")).cast("long")
-    return d.select("oid", "edge_id", "distance", (F.col("route_o") == F.col("route_e")).alias("route_agreement"), count.alias("candidates"), method.alias("method"), status.alias("status"))
+    return d.select("oid", "edge_id", "distance", (route_name(F.col("route_o").cast("string")) == route_name(F.col("route_e").cast("string"))).alias("route_agreement"), count.alias("candidates"), method.alias("method"), status.alias("status"))
 
 
 def ring_area(ring: Column) -> Column:
