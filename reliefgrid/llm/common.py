@@ -93,8 +93,10 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def runs(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each distinct key with the places that hold it, in order: the work is that of the keys present."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
-    heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
     for a, b in zip(heads, np.append(heads[1:], len(keys)), strict=True):
         yield int(keys[order[a]]), order[a:b]
 

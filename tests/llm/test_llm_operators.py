@@ -65,8 +65,9 @@ def by_id(df):
 # --- op1
 
 
-def test_lm_scores(docs, rows):
-    got = by_id(lm_scoring.score_documents(docs))
+@pytest.mark.parametrize("min_count", [1, 2, 3])
+def test_lm_scores(docs, rows, min_count):
+    got = by_id(lm_scoring.score_documents(docs, min_count))
     uni, bi, first = Counter(), Counter(), Counter()
     for _, t, *_ in rows:
         w = words(t)
@@ -82,21 +83,34 @@ def test_lm_scores(docs, rows):
             continue
         s = math.log(uni[w[0]] / total)
         for a, b in zip(w, w[1:]):
-            s += math.log(bi[a, b] / first[a]) if bi[a, b] >= 2 else math.log(0.4 * uni[b] / total)
+            s += math.log(bi[a, b] / first[a]) if bi[a, b] >= min_count else math.log(0.4 * uni[b] / total)
         assert got[i].score == pytest.approx(s / len(w), abs=2e-6)
 
 
-def test_lm_scores_with_light_words(docs, monkeypatch):
-    """The same with next to no broadcast words and with many buckets."""
-    full = by_id(lm_scoring.score_documents(docs))
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_lm_scores_with_light_words(docs, monkeypatch, min_count):
+    """The same with next to no broadcast words or hot bigrams and with many buckets."""
+    full = by_id(lm_scoring.score_documents(docs, min_count))
     monkeypatch.setattr(lm_scoring, "HEAVY", 3)
     monkeypatch.setattr(lm_scoring, "KNOWN", 30)
     monkeypatch.setattr(lm_scoring, "TASK_BIGRAMS", 700)
     monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 500)
-    light = by_id(lm_scoring.score_documents(docs))
+    light = by_id(lm_scoring.score_documents(docs, min_count))
     assert {k: (v.n_words, v.score) for k, v in full.items()} == {k: (v.n_words, v.score) for k, v in light.items()}
 
 
+def test_lm_scores_no_rows_no_ids(spark, empty):
+    assert lm_scoring.score_documents(empty).collect() == []
+    d = spark.createDataFrame([(None, "a b a"), (4, None), (5, "b"), (5, "a b")], "doc_id long, text string")
+    got = by_id(lm_scoring.score_documents(d))
+    low = -(1 << 63)
+    assert {k: v.n_words for k, v in got.items()} == {low: 3, 4: 0, 5: 3}
+    # a occurs 3 times of 6 and starts 2 bigrams, both "a b"; b starts one, "b a"
+    assert got[low].score == pytest.approx(math.log(1 / 2) / 3, abs=2e-6)
+    assert got[4].score is None
+    assert got[5].score == pytest.approx(2 * math.log(1 / 2) / 3, abs=2e-6)
+
+
 # --- op2
 
 
