@@ -47,8 +47,8 @@ TOGETHER = 3
 START, LAST = np.int64(-(1 << 63)), np.int64(1 - (1 << 63))
 #: Distinct words that a task counts before it hands them on.
 TASK_WORDS = 1 << 20
-#: Bigrams that a task gathers before it packs them, at 28 bytes each, or looks for hot ones.
-TASK_BIGRAMS = 1 << 22
+#: Bigrams that a task gathers before it packs them, at 36 bytes each, or looks for hot ones.
+TASK_BIGRAMS = 1 << 21
 
 
 class Model(NamedTuple):
@@ -213,13 +213,14 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, m: Model) -> Iterator
     def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         cols = [np.concatenate([h[k] for h in held]) for k in range(5)]
+        ids, n, sums = (np.concatenate([h[k] for h in held]) for k in (5, 6, 7))
+        held.clear()
         for b, at in runs(cols[0]):
             rows.append([b, *_row(*(x[at] for x in cols[1:]), m.heavy)])
             size += sum(map(len, rows[-1][1:]))
             if size > CHUNK_BYTES:
                 yield out(rows)
                 rows, size = [], 0
-        ids, n, sums = (np.concatenate([h[k] for h in held]) for k in (5, 6, 7))
         yield out([*rows, [-1 - int(ids[0] % buckets), sums.tobytes(), b"", b"", b"", b"", ids.tobytes(), b"", _ints(n)]])
 
     def out(rows: list[list]) -> pa.RecordBatch:
