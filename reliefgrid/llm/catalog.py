@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import bpe, fingerprints, language_id, line_dedup, lm_scoring, mixing, ngram_join, substring_dedup, token_counts, topk
+from reliefgrid.llm import bpe, fingerprints, language_id, line_dedup, lm_scoring, mixing, ngram_join, periodic_runs, simhash, source_divergence, substring_dedup, token_counts, topk
 
 
 def _tokenizer(name: str) -> str:
@@ -65,6 +65,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), byte_fallback=True)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(_documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_runs(_documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_language_id, op3_exact_topk, op4_fingerprints, op5_substring_dedup, op6_bpe, op7_ngram_join, op8_mixing, op9_line_dedup, op10_token_counts, pipeline)
+    for f in (op1_lm_scoring, op2_language_id, op3_exact_topk, op4_fingerprints, op5_substring_dedup, op6_bpe, op7_ngram_join, op8_mixing, op9_line_dedup, op10_token_counts, op11_simhash, op12_periodic_runs, op13_source_divergence, pipeline)
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +94,5 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.SQL,
     "op7_ngram_join": ngram_join.SQL,
     "op8_mixing": mixing.SQL,
+    "op13_source_divergence": source_divergence.SQL,
 }
