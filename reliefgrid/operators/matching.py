@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reliefgrid.functions.text import route_name
 from reliefgrid.operators.geo import in_ring
 from reliefgrid.operators.keys import top_by
+from reliefgrid.operators.polylines import lines_within
 
 # Metres within which a point or a line matches all edges, and within which the nearest edge stands in.
 POINT_LIMIT, LINE_LIMIT, FALLBACK_LIMIT = 100.0, 50.0, 250.0
@@ -51,14 +52,29 @@ def edges_within(observations: DataFrame, edges: DataFrame, limit: float = FALLB
 
 
 def match_restrictions(observations: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each observation (oid, is_point, route, ax, ay, bx, by) with its edges (edge_id, route, ax, ay, bx, by).
+    """The ladder of `match_ladder` for observations (oid, is_point, route, ax, ay, bx, by) and edges (edge_id, route, ax, ay, bx, by)
+    of one segment each."""
+    return match_ladder(observations, edges_within(observations, edges), edges)
+
+
+def match_lines(observations: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ladder of `match_ladder` for observations (oid, route, line) and edges (edge_id, route, line) of any number of parts and
+    segments (see `polylines`). An observation is a point if its line is one place; without a line it is unmatched."""
+    is_point = F.coalesce((F.size("line") == 1) & (F.size(F.col("line")[0]) == 1), F.lit(False))
+    candidates = lines_within(observations.select("oid", "line"), "oid", edges.select("edge_id", "line"), "edge_id", FALLBACK_LIMIT)
+    return match_ladder(observations.select("oid", is_point.alias("is_point"), "route"), candidates, edges)
+
+
+def match_ladder(observations: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each observation (oid, is_point, route) with its edges (edge_id, route). candidates: (oid, edge_id, distance), all within
+    FALLBACK_LIMIT.
 
     All edges within POINT_LIMIT of a point or LINE_LIMIT of a line are `matched_primary`; without any, the nearest one
     within FALLBACK_LIMIT (ties: least id) is `matched_fallback`; else one row is `unmatched`. candidates counts the
     edges of the step that matched. route_agreement compares the normalised names and is null unless both have a route.
     """
     o = observations.select("oid", "is_point", F.col("route").alias("route_o"))
-    c = edges_within(observations, edges).join(o.select("oid", "is_point"), "oid")
+    c = candidates.join(o.select("oid", "is_point"), "oid")
     c = c.withColumn("primary", F.col("distance") <= F.when(F.col("is_point"), POINT_LIMIT).otherwise(LINE_LIMIT))
     n = c.groupBy("oid").agg(F.count_if("primary").alias("n_primary"), F.count(F.lit(1)).alias("n_all"), F.min(F.struct("distance", "edge_id")).alias("least"))
     chosen = c.join(n, "oid").where(F.when(F.col("n_primary") > 0, F.col("primary")).otherwise(F.col("edge_id") == F.col("least.edge_id")))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions import formats
-from reliefgrid.operators import facilities, matching
+from reliefgrid.operators import facilities, matching, polygons, polylines
 from reliefgrid.sources.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,50 @@ def restriction_edge_match(spark, sf):
     return matching.match_restrictions(*_lines(spark, sf)).withColumn("distance", F.round("distance", 4))
 
 
+# lines of several segments: the lines of an order in turn are the places of a road; restrictions are points, lines and lines of two parts
+ROAD_X, ROAD_Y = "(l_orderkey % 173) * 40.137::DOUBLE", "(l_orderkey % 191) * 40.291::DOUBLE"
+POLYLINES = f"""places AS (SELECT l_orderkey AS edge_id, l_linenumber AS k, {ROAD_X} + sum(floor(l_quantity) - 20) OVER w AS x, {ROAD_Y} + sum(l_linenumber * 7 + l_partkey % 23 - 20) OVER w AS y
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+steps AS (SELECT edge_id, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by, count(*) OVER (PARTITION BY edge_id) AS n FROM places WINDOW w AS (PARTITION BY edge_id ORDER BY k)),
+e AS (SELECT edge_id, ax, ay, coalesce(s.bx, s.ax) AS bx, coalesce(s.by, s.ay) AS by FROM steps s WHERE s.bx IS NOT NULL OR s.n = 1),
+base AS (SELECT c_custkey AS oid, c_custkey % 4 AS kind, (c_custkey % 311) * 23.713::DOUBLE AS x, (c_custkey % 257) * 29.171::DOUBLE AS y, c_custkey % 61 - 30 AS u, c_custkey % 53 - 26 AS w FROM customer),
+o AS (SELECT oid, x AS ax, y AS ay, x AS bx, y AS by FROM base WHERE kind = 0 UNION ALL SELECT oid, x, y, x + 3 * u, y + 2 * w FROM base WHERE kind IN (1, 2)
+  UNION ALL SELECT oid, x + 3 * u, y + 2 * w, x + 5 * u, y + 70 FROM base WHERE kind IN (1, 2) UNION ALL SELECT oid, x - 90, y - 110, x - 90 + w, y - 110 + u FROM base WHERE kind = 2)"""
+
+
+def _polylines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    l = table(spark, sf, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    x = F.col("l_orderkey") % 173 * 40.137 + F.sum(F.floor("l_quantity") - 20).over(w)
+    y = F.col("l_orderkey") % 191 * 40.291 + F.sum(F.col("l_linenumber") * 7 + F.col("l_partkey") % 23 - 20).over(w)
+    places = l.select(F.col("l_orderkey").alias("edge_id"), F.struct(F.col("l_linenumber").alias("k"), x.alias("x"), y.alias("y")).alias("p"))
+    part = F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    edges = places.groupBy("edge_id").agg(F.array(part).alias("line")).withColumn("route", F.col("edge_id") % 5)
+    k = F.col("c_custkey")
+    x, y, u, v = k % 311 * 23.713, k % 257 * 29.171, k % 61 - 30, k % 53 - 26
+    at = lambda x, y: F.array(x, y)
+    way = F.array(at(x, y), at(x + u * 3, y + v * 2), at(x + u * 5, y + 70))
+    other = F.array(at(x - 90, y - 110), at(x - 90 + v, y - 110 + u))
+    text = lambda kind, c: F.to_json(F.struct(F.lit(kind).alias("type"), c.alias("coordinates")))
+    shape = F.when(k % 4 == 0, text("Point", at(x, y))).when(k % 4 == 1, text("LineString", way)).when(k % 4 == 2, text("MultiLineString", F.array(way, other)))
+    return table(spark, sf, "customer").select(k.alias("oid"), polylines.line_from_geojson(shape).alias("line"), F.nullif(k % 5, F.lit(3)).alias("route")), edges
+
+
+@query(f"""WITH {POLYLINES},
+eb AS (SELECT edge_id, min(least(ax, bx)) AS x0, min(least(e.ay, e.by)) AS y0, max(greatest(ax, bx)) AS x1, max(greatest(e.ay, e.by)) AS y1 FROM e GROUP BY 1),
+ob AS (SELECT oid, min(least(ax, bx)) AS x0, min(least(o.ay, o.by)) AS y0, max(greatest(ax, bx)) AS x1, max(greatest(o.ay, o.by)) AS y1 FROM o GROUP BY 1),
+boxed AS (SELECT oid, edge_id FROM ob JOIN eb ON eb.x0 <= ob.x1 + 250 AND eb.x1 >= ob.x0 - 250 AND eb.y0 <= ob.y1 + 250 AND eb.y1 >= ob.y0 - 250),
+c AS (SELECT oid, edge_id, min({DISTANCE}) AS d FROM boxed JOIN o USING (oid) JOIN e USING (edge_id) GROUP BY 1, 2 HAVING d <= 250),
+n AS (SELECT *, d <= CASE WHEN oid % 4 = 0 THEN 100 ELSE 50 END AS pri FROM c),
+m AS (SELECT *, count(*) FILTER (WHERE pri) OVER w AS np, count(*) OVER w AS na, row_number() OVER (PARTITION BY oid ORDER BY d, edge_id) AS k FROM n WINDOW w AS (PARTITION BY oid)),
+s AS (SELECT * FROM m WHERE CASE WHEN np > 0 THEN pri ELSE k = 1 END)
+SELECT c_custkey AS oid, edge_id, round(d, 4) AS distance, nullif(c_custkey % 5, 3) = edge_id % 5 AS route_agreement, CASE WHEN edge_id IS NULL THEN 0 WHEN np > 0 THEN np ELSE na END::BIGINT AS candidates,
+CASE WHEN edge_id IS NULL THEN 'none' WHEN np = 0 THEN 'nearest_edge_250m_fallback' WHEN c_custkey % 4 = 0 THEN 'point_nearest_100m' ELSE 'line_buffer_50m' END AS method,
+CASE WHEN edge_id IS NULL THEN 'unmatched' WHEN np > 0 THEN 'matched_primary' ELSE 'matched_fallback' END AS status FROM customer LEFT JOIN s ON oid = c_custkey""")
+def restriction_line_match(spark, sf):
+    return matching.match_lines(*_polylines(spark, sf)).withColumn("distance", F.round("distance", 4))
+
+
 # --- cells and areas
 
 
@@ -90,6 +134,52 @@ def cell_area_link(spark, sf):
     return matching.link_cells(cells, areas, 50.0)
 
 
+# --- union of areas: customers are squares of a lattice 40 wide, in two groups by nation
+
+SQUARES = """sq AS (SELECT c_nationkey % 2 AS grp, c_custkey % 40 AS i, c_custkey // 40 AS j FROM customer),
+steps AS (SELECT grp, i AS x, j AS y, 0 AS d FROM sq UNION ALL SELECT grp, i + 1, j, 1 FROM sq UNION ALL SELECT grp, i + 1, j + 1, 2 FROM sq UNION ALL SELECT grp, i, j + 1, 3 FROM sq),
+ended AS (SELECT *, x + CASE d WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS x1, y + CASE d WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS y1 FROM steps),
+border AS (SELECT *, row_number() OVER (ORDER BY grp, x, y, x1, y1) AS id FROM ended a WHERE NOT EXISTS (SELECT 1 FROM ended b WHERE b.grp = a.grp AND b.x = a.x1 AND b.y = a.y1 AND b.x1 = a.x AND b.y1 = a.y)),
+go AS (SELECT a.id, b.id AS next, a.x * b.y - b.x * a.y AS twice FROM border a JOIN border b ON a.grp = b.grp AND a.x1 = b.x AND a.y1 = b.y QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.d - b.d + 5) % 4) = 1),
+walk(head, pos, k, twice) AS (SELECT id, next, 1, twice FROM go UNION ALL SELECT w.head, g.next, w.k + 1, w.twice + g.twice FROM walk w JOIN go g ON g.id = w.pos WHERE w.pos > w.head),
+rings AS (SELECT grp, x * 10.0::DOUBLE AS x, y * 10.0::DOUBLE AS y, k AS places, twice * 50.0::DOUBLE AS area FROM walk JOIN border ON id = walk.head WHERE pos = walk.head)"""
+
+
+def _squares(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    at = lambda u, v: F.struct(((k % 40 + u) * 10).cast("double").alias("x"), ((F.floor(k / 40) + v) * 10).cast("double").alias("y"))
+    ring = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0))
+    turned = F.when(k % 3 == 0, F.reverse(ring)).otherwise(ring)  # sources agree in no direction
+    return table(spark, sf, "customer").select((F.col("c_nationkey") % 2).alias("grp"), F.array(turned).alias("rings"))
+
+
+@query(f"WITH RECURSIVE {SQUARES} SELECT grp, x, y, places, area FROM rings")
+def union_rings(spark, sf):
+    d = polygons.dissolve_rings(_squares(spark, sf), "grp", 40.0)
+    return d.select("grp", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"), F.size("ring").alias("places"), "area")
+
+
+@query(f"""WITH RECURSIVE {SQUARES} SELECT grp, (SELECT count(*) FROM sq WHERE sq.grp = rings.grp) AS parts, count(*) FILTER (WHERE area > 0)::INT AS polygons, count(*) FILTER (WHERE area < 0)::INT AS holes, sum(area) AS area FROM rings GROUP BY grp""")
+def union_areas(spark, sf):
+    d = polygons.dissolve_areas(_squares(spark, sf), "grp", 40.0)
+    holes = F.aggregate("polygons", F.lit(0), lambda s, p: s + F.size(p) - 1)
+    return d.select("grp", "parts", F.size("polygons").alias("polygons"), holes.alias("holes"), "area")
+
+
+@query(f"""WITH {V}, c AS (SELECT vec_id, label, greatest(1, floor(abs(e1_1000))) AS w, 2 + vec_id % 7 * 2 AS h FROM v)
+SELECT vec_id, CASE WHEN label % 2 = 0 THEN w * 1.5 ELSE w * 2 END AS x, h * CASE WHEN label % 2 = 0 THEN 0.625::DOUBLE ELSE 0.5 END AS y FROM c""")
+def surface_points(spark, sf):
+    """Of a U, and of a frame with a hole left of its middle: the middle of the right arm."""
+    v = _vectors(spark, sf)
+    w, h = F.greatest(F.lit(1.0), F.floor(F.abs("e1_1000")).cast("double")), (2 + F.col("vec_id") % 7 * 2).cast("double")
+    ring = lambda *p: F.array(*[F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y")) for x, y in p])
+    o = F.lit(0.0)
+    u = F.array(ring((o, o), (w * 2, o), (w * 2, h), (w, h), (w, h / 4), (w / 2, h / 4), (w / 2, h), (o, h)))
+    frame = F.array(ring((o, o), (w * 2.5, o), (w * 2.5, h), (o, h)), ring((w * 0.5, h / 4), (w * 1.5, h / 4), (w * 1.5, h * 0.75), (w * 0.5, h * 0.75)))
+    at = polygons.point_on_surface(F.when(F.col("label") % 2 == 0, u).otherwise(frame))
+    return v.select("vec_id", at.alias("p")).select("vec_id", "p.x", "p.y")
+
+
 # --- facilities
 
 
