@@ -1,17 +1,34 @@
-"""Road graphs and shortest distances, as joins and aggregations.
+"""Road graphs and shortest distances: parts of a graph are searched whole, and only what leaves a part is exchanged.
 
-A graph is edges (a, b, w) with a <= b, parallel edges brought to the least w. Distances are relaxed along a frontier: a
-round joins only the nodes whose distance fell to the edges. Edges and distances are dealt by node once and stay so: a round
-shuffles its steps alone, and reads and writes the reached nodes where they are. Rounds end lineage by a checkpoint in the
-shared folder. Unreachable nodes have no row.
+A graph is edges (a, b, w) with a <= b, parallel edges brought to the least w. Nodes are dealt to parts of about PART_EDGES
+edges; a graph of one part needs no dealing. A round gives each part the distances that other parts have found for its nodes,
+and the part relaxes its edges by buckets of distance until nothing falls, for all sources of a slice at once. So rounds are as
+many as the parts that a shortest path enters, and not as many as its edges; a round reads and writes the active parts'
+distances only. Sources are dealt in slices, so that a task holds TASK_CELLS distances at most (or one source). The edges of a
+node with more than a quarter of a part's edges lie with their other ends, and such a node's distance goes to all these parts.
+Tables between rounds are written to the shared folder. Unreachable nodes have no row.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.sources.storage import checkpoint
+from reliefgrid.operators.keys import number_rows
+from reliefgrid.sources.storage import stored
+
+#: Edges of a part (both ways), and distances (sources x nodes of the part) that a task holds.
+PART_EDGES, TASK_CELLS = 1 << 21, 1 << 22
+#: Nodes around one mark, about, and rounds in which marks spread.
+CLUSTER, SPREAD = 512, 64
+#: Edges that are relaxed in one pass.
+PASS = 1 << 21
 
 
 def build_graph(edges: DataFrame, a: str, b: str, *weights: str, closed: DataFrame | None = None, edge_id: str | None = None) -> DataFrame:
@@ -22,28 +39,157 @@ def build_graph(edges: DataFrame, a: str, b: str, *weights: str, closed: DataFra
     return keep.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(*[F.min(w).alias(w) for w in weights])
 
 
-def nearest_distance(graph: DataFrame, seeds: DataFrame, weight: str = "w", cutoff: float | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+class SplitGraph(NamedTuple):
+    """edges: part, node, to, w (both ways), stored; homes: node, part, each part with edges from the node, or None if there is
+    one part; parts, nodes: how many."""
+
+    edges: DataFrame
+    homes: DataFrame | None
+    parts: int
+    nodes: int
+
+
+def node_parts(both: DataFrame, parts: int, cluster: int = CLUSTER, spread: int = SPREAD) -> DataFrame:
+    """node, part: clusters of neighbouring nodes, dealt to parts by hash. One node in `cluster`, by hash, is a mark; marks spread
+    from node to node, the least mark first, for `spread` rounds at most; a node that none reaches is a cluster of its own."""
+    nodes = both.select("node").distinct()
+    mark = F.when(F.pmod(F.xxhash64("node"), F.lit(cluster)) == 0, F.col("node"))
+    at = stored(nodes.select("node", mark.alias("mark"), mark.isNotNull().alias("new")))
+    for _ in range(spread):
+        got = at.where("new").select("node", "mark").join(both.select("node", "to"), "node").groupBy(F.col("to").alias("node")).agg(F.min("mark").alias("got"))
+        took = F.col("mark").isNull() & F.col("got").isNotNull()
+        at = stored(at.drop("new").join(got, "node", "left").select("node", F.coalesce("mark", "got").alias("mark"), took.alias("new")))
+        if at.where("new").isEmpty():
+            break
+    return at.select("node", F.pmod(F.xxhash64(F.coalesce("mark", "node")), F.lit(parts)).cast("int").alias("part"))
+
+
+def split_graph(graph: DataFrame, weight: str = "w", part_edges: int = PART_EDGES, cluster: int = CLUSTER) -> SplitGraph:
+    both = graph.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col(weight).cast("double").alias("w"))
+    both = stored(both.union(both.select(F.col("to").alias("node"), F.col("node").alias("to"), "w")))
+    n, nodes = both.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    parts = max(1, math.ceil(n / part_edges))
+    if parts == 1:
+        return SplitGraph(both.select(F.lit(0).alias("part"), "node", "to", "w"), None, 1, nodes)
+    degree = stored(both.groupBy("node").agg((F.count(F.lit(1)) > part_edges // 4).alias("hub")))
+    hubs = degree.where("hub").select("node")  # marks don't spread over hubs, or all would be one cluster
+    plain = both.join(hubs, "node", "left_anti").join(hubs.withColumnRenamed("node", "to"), "to", "left_anti").select("node", "to")
+    owner = stored(degree.join(node_parts(stored(plain), parts, cluster), "node", "left").select("node", "hub", F.coalesce("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")).alias("part")))
+    end = lambda c: owner.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"), F.col("hub").alias(f"{c}_hub"))
+    own = F.when(~F.col("node_hub"), F.col("node_part")).when(~F.col("to_hub"), F.col("to_part")).otherwise(F.pmod(F.xxhash64("node", "to"), F.lit(parts)).cast("int"))
+    edges = stored(both.join(end("node"), "node").join(end("to"), "to").select(own.alias("part"), "node", "to", "w"))
+    return SplitGraph(edges, stored(edges.select("node", "part").distinct()), parts, nodes)
+
+
+def relax(first: np.ndarray, to: np.ndarray, w: np.ndarray, n: int, dist: np.ndarray, start: np.ndarray, cutoff: float) -> None:
+    """Lowers dist, distances of sources x n nodes one after another, along edges (those of node v: first[v] to first[v + 1]) until
+    none falls. start: the places whose distance is new. Nearest buckets go first."""
+    width = 4 * float(np.median(w)) if len(w) else 0.0
+    waits = np.zeros(len(dist), bool)
+    waits[start] = True
+    while len(start):
+        d = dist[start]
+        now = d <= d.min() + width
+        cur, start = start[now], start[~now]
+        waits[cur] = False
+        many = first[cur % n + 1] - first[cur % n]
+        for piece in np.split(cur, np.flatnonzero(np.diff(np.cumsum(many) // PASS)) + 1):
+            v = piece % n
+            many = first[v + 1] - first[v]
+            e = np.arange(many.sum()) + np.repeat(first[v] - np.cumsum(many) + many, many)
+            at, got = np.repeat(piece - v, many) + to[e], np.repeat(dist[piece], many) + w[e]
+            less = (got < dist[at]) & (got <= cutoff)
+            at, got = at[less], got[less]
+            np.minimum.at(dist, at, got)
+            at = np.unique(at)
+            at = at[~waits[at]]
+            waits[at] = True
+            start = np.concatenate((start, at))
+
+
+def _search_part(cutoff: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(edges: pa.Table, found: pa.Table) -> pa.Table:
+        """found: source, node, dist, old. Gives what fell (or was new), by source and node."""
+        if not found.num_rows:
+            return pa.table({"part": pa.array([], pa.int32()), "source": pa.array([], pa.int64()), "node": pa.array([], found.schema.field("node").type), "dist": pa.array([], pa.float64())})
+        ends = pa.chunked_array([*edges.column("node").chunks, *edges.column("to").chunks, *found.column("node").chunks]).combine_chunks().dictionary_encode()
+        m, code, names = edges.num_rows, ends.indices.to_numpy().astype(np.int64), ends.dictionary
+        tail, head, at = code[:m], code[m : 2 * m], code[2 * m :]
+        order = np.argsort(tail, kind="stable")
+        n = len(names)
+        first = np.concatenate(([0], np.cumsum(np.bincount(tail, minlength=n))))
+        to, w = head[order], edges.column("w").to_numpy()[order]
+        sources, s = np.unique(found.column("source").to_numpy(), return_inverse=True)
+        d, old = found.column("dist").to_numpy(), found.column("old").to_numpy()
+        place, dist = s * n + at, np.full(len(sources) * n, np.inf)
+        np.minimum.at(dist, place[old], d[old])
+        before = dist.copy()
+        np.minimum.at(dist, place[~old], d[~old])
+        relax(first, to, w, n, dist, np.flatnonzero(dist < before), cutoff)
+        fell = np.flatnonzero(dist < before)
+        part = np.full(len(fell), edges.column("part")[0].as_py() if m else -1, np.int32)
+        return pa.table({"part": pa.array(part), "source": pa.array(sources[fell // n]), "node": names.take(pa.array(fell % n)), "dist": pa.array(dist[fell])})
+
+    return run
+
+
+def search(graph: SplitGraph, seeds: DataFrame, cutoff: float | None = None, sources: int = 1) -> tuple[DataFrame, int]:
+    """(source, node, dist) for seeds (source: long, node, dist), and the number of rounds."""
+    spark, kind = seeds.sparkSession, graph.edges.schema["node"].dataType.simpleString()
+    limit = float("inf") if cutoff is None else float(cutoff)
+    held = max(1, TASK_CELLS // max(1, math.ceil(graph.nodes / graph.parts)))
+    slices = max(1, math.ceil(sources / held))
+    # a graph of one part is searched by as many tasks as there are, if there are as many sources
+    slices = max(slices, min(sources, int(spark.conf.get("spark.sql.shuffle.partitions")) // graph.parts))
+    cut = lambda d: d.withColumn("slice", F.pmod("source", F.lit(slices)))
+    seeds = seeds.withColumn("node", F.col("node").cast(kind))
+    inbox = stored(seeds.groupBy("source", "node").agg(F.min("dist").alias("dist")).where(F.col("dist") <= limit))
+    first, fallen, rounds = inbox, [], 0
+    while not inbox.isEmpty():
+        rounds += 1
+        homes = (lambda d: d.withColumn("part", F.lit(0))) if graph.homes is None else (lambda d: d.join(graph.homes, "node"))
+        new = cut(homes(inbox)).select("part", "slice", "source", "node", "dist", F.lit(False).alias("old"))
+        if rounds > 1:
+            new = stored(new)
+            active = new.select("part", "slice").distinct()
+            # what a part has found itself, or been given in earlier rounds: its own rows of what fell
+            have = cut(_union(fallen).groupBy("part", "source", "node").agg(F.min("dist").alias("dist")))
+            new = new.union(have.join(active, ["part", "slice"], "left_semi").select("part", "slice", "source", "node", "dist", F.lit(True)))
+        active = new.select(F.col("part").alias("part"), F.col("slice").alias("slice")).distinct()  # columns of their own
+        edges = graph.edges.join(active, "part").select("part", F.col("slice").alias("slice"), "node", "to", "w")
+        by = ["part", "slice"]
+        fell = edges.groupBy(*by).cogroup(new.groupBy(*by)).applyInArrow(_search_part(limit), f"part int, source long, node {kind}, dist double")
+        fell = stored(fell)
+        fallen.append(fell)
+        if graph.homes is None:
+            break
+        out = fell.join(graph.homes.withColumnRenamed("part", "home"), "node").where("home <> part")
+        inbox = stored(out.groupBy("source", "node").agg(F.min("dist").alias("dist")))
+    return _union([first, *[d.select("source", "node", "dist") for d in fallen]]).groupBy("source", "node").agg(F.min("dist").alias("dist")), rounds
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def nearest_distance(graph: DataFrame | SplitGraph, seeds: DataFrame, weight: str = "w", cutoff: float | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
     """(*by, node, dist): least distance from any seed (*by, node, offset); several seeds of a node start from the least offset.
 
-    With `by`, each of its values is a search of its own: the source x node matrix, as rows within the cutoff.
+    With `by`, each of its values is a search of its own: the source x node matrix, as rows within the cutoff. A graph that is
+    searched several times can be given as split once.
     """
-    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = graph.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col(weight).alias("w")).union(graph.select("b", "a", weight))
-    both = checkpoint(both.repartition(parts, "node"))
-    key = [*by, "node"]
-    dist = seeds.groupBy(*key).agg(F.min("offset").cast("double").alias("dist"))
-    if cutoff is not None:
-        dist = dist.where(F.col("dist") <= cutoff)
-    dist = checkpoint(dist.withColumn("new", F.lit(True)).repartition(parts, "node"))
-    while True:
-        step = dist.where("new").join(both, "node").select(*by, F.col("to").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
-        if cutoff is not None:
-            step = step.where(F.col("dist") <= cutoff)
-        step = step.groupBy(*key).agg(F.min("dist").alias("got")).repartition(parts, "node")
-        fell = F.col("got").isNotNull() & (F.col("dist").isNull() | (F.col("got") < F.col("dist")))
-        dist = checkpoint(dist.drop("new").join(step, key, "full_outer").select(*key, F.least("dist", "got").alias("dist"), fell.alias("new")))
-        if dist.where("new").isEmpty():
-            return dist.select(*key, "dist")
+    split = graph if isinstance(graph, SplitGraph) else split_graph(graph, weight)
+    start = seeds.select(*by, "node", F.col("offset").cast("double").alias("dist")).where("node IS NOT NULL AND dist IS NOT NULL")
+    if not by:
+        return search(split, start.select(F.lit(0).cast("long").alias("source"), "node", "dist"), cutoff)[0].select("node", "dist")
+    own = [f"by{k}_" for k in range(len(by))]  # whatever the caller's columns are called
+    names = stored(number_rows(start.select(*[F.col(c).alias(o) for c, o in zip(by, own, strict=True)]).distinct(), own, "source"))
+    same = [start[c].eqNullSafe(names[o]) for c, o in zip(by, own, strict=True)]
+    found = search(split, start.join(names, same).select(names["source"], start["node"], start["dist"]), cutoff, names.count())[0]
+    return found.join(names, "source").select(*[F.col(o).alias(c) for c, o in zip(by, own, strict=True)], "node", "dist")
 
 
 def along_edge(from_dist: Column, to_dist: Column, length: Column, fraction: Column) -> Column:
