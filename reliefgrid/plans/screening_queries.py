@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.functions import formats, stats
-from reliefgrid.operators import facilities, keys, matching, network, screening, tables, tanker
+from reliefgrid.operators import allocation, facilities, keys, matching, network, screening, tables, tanker
 from reliefgrid.sources.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,50 @@ def positive_demand_units(spark, sf):
     return screening.demand_units(c, c.select("unit", F.col("unit").alias("edge_id")), edges).select("unit", "water", "length", "a")
 
 
+# --- a fleet's plan and its bound: order lines are arcs, suppliers sites, nations refill points
+
+FLEET, TRIPS, WORK, LOAD = 8, 5, 600.0, 400.0
+PLAN = """arcs AS (SELECT l_orderkey AS unit, l_suppkey AS site, floor(min(l_extendedprice)) AS distance, sum(floor(l_quantity)) AS water FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
+need AS (SELECT unit, max(water) AS demand FROM arcs GROUP BY 1),
+routes AS (SELECT s_suppkey AS site, n_nationkey AS refill, ((s_suppkey * 7 + n_nationkey * 13) % 90 + 20)::DOUBLE AS cycle, (n_nationkey * 11 % 60)::DOUBLE AS base FROM supplier, nation WHERE (s_suppkey + n_nationkey) % 5 = 0)"""
+
+
+def _fleet(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    l = table(spark, sf, "lineitem").where("l_linenumber <= 3")
+    arcs = l.groupBy(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("site")).agg(F.floor(F.min("l_extendedprice")).cast("double").alias("distance"), F.sum(F.floor("l_quantity")).cast("double").alias("water"))
+    need = arcs.groupBy("unit").agg(F.max("water").alias("demand"))
+    refills = table(spark, sf, "nation").select(F.col("n_nationkey").alias("refill"), (F.col("n_nationkey") % 5).alias("m"), (F.col("n_nationkey") * 11 % 60).cast("double").alias("base"))
+    sites = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), F.pmod(-F.col("s_suppkey"), F.lit(5)).alias("m"))
+    routes = sites.join(refills, "m").select("site", "refill", ((F.col("site") * 7 + F.col("refill") * 13) % 90 + 20).cast("double").alias("cycle"))
+    return arcs.join(need, "unit").select("unit", "site", "demand", "distance"), routes, refills
+
+
+def _fleet_size(arcs: DataFrame) -> int:
+    """A vehicle for each 4 * TRIPS * LOAD of demand: about half of what all of it would take."""
+    total = arcs.groupBy("unit").agg(F.max("demand").alias("d")).agg(F.sum("d")).first()[0] or 0.0
+    return max(FLEET, int(total // (2 * TRIPS * LOAD)))
+
+
+@query(f"""WITH {PLAN}, size AS (SELECT greatest({FLEET}, floor(sum(demand) / {2 * TRIPS * LOAD})) AS fleet FROM need), shares AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS share),
+cost AS (SELECT share, site, min(share / {TRIPS} + (1 - share) * cycle / ({WORK} - base)) AS cost FROM routes, shares WHERE cycle <= {WORK} - base GROUP BY 1, 2),
+unit AS (SELECT share, unit, min(cost) AS cost, any_value(demand) AS demand FROM arcs JOIN need USING (unit) JOIN cost USING (site) GROUP BY 1, 2),
+prices AS (SELECT DISTINCT share, {LOAD} / cost AS price FROM unit UNION ALL SELECT share, 0 FROM shares),
+dual AS (SELECT p.share, p.price, sum(u.demand * greatest(0, 1 - p.price * u.cost / {LOAD})) + any_value(fleet) * p.price AS worth FROM prices p JOIN unit u ON u.share = p.share, size GROUP BY 1, 2)
+SELECT share, round(min(worth), 3) AS bound FROM dual GROUP BY 1""")
+def fleet_dual_bound(spark, sf):
+    arcs, routes, refills = _fleet(spark, sf)
+    usable = allocation.usable_routes(routes, refills, TRIPS, WORK)
+    return allocation.fleet_bound(arcs, usable, _fleet_size(arcs), TRIPS, LOAD).withColumn("bound", F.round("bound", 3))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', 0::BIGINT)" for r in ("a unit has one row", "a served unit has an arc to its site", "a site''s water fits its trips", "a refill point''s trips fit its vehicles", "a refill point''s minutes fit its vehicles", "the fleet is not exceeded", "the bound is not exceeded", "the gap is accepted")) + ") t(rule, violations)")
+def fleet_plan_checks(spark, sf):
+    """A plan for the fleet, held against rules; that its gap to `fleet_dual_bound` is 1 % at most is one of them."""
+    arcs, routes, refills = _fleet(spark, sf)
+    args = (_fleet_size(arcs), TRIPS, WORK, LOAD)
+    return allocation.plan_checks(arcs, routes, refills, allocation.plan_fleet(arcs, routes, refills, *args), *args)
+
+
 # --- allocation
 
 
