@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.nulls import guarded
-from reliefgrid.operators.geo import nearest_within
+from reliefgrid.operators.geo import nearest_node, nearest_within
 from reliefgrid.operators.keys import top_by
 from reliefgrid.operators.scenarios import DEMAND_LEVELS
 
@@ -37,6 +37,17 @@ def snap_to_network(points: DataFrame, nodes: DataFrame, edges: DataFrame, limit
     return near.join(first, "nid", "left").select("pid", "nid", "distance", F.col("nid").isNotNull().alias("accepted"), F.col("e.edge_id").alias("edge_id"), F.col("e.fraction").alias("fraction"))
 
 
+def attach_nearest_node(points: DataFrame, nodes: DataFrame, edges: DataFrame, limit: float = SNAP_LIMIT) -> DataFrame:
+    """points (pid, x, y) with the distance of the nearest node however far it is, and whether it is within the limit; the node and its
+    first edge (edges: edge_id, a, b; the least edge_id; fraction 0 at its start, 1 at its end) only if it is. A point without
+    coordinates has nulls throughout."""
+    near = nearest_node(points, nodes, limit)
+    ends = edges.select(F.col("a").alias("nid"), "edge_id", F.lit(0.0).alias("fraction")).union(edges.select("b", "edge_id", F.lit(1.0)))
+    first = ends.groupBy("nid").agg(F.min(F.struct("edge_id", "fraction")).alias("e"))
+    near = near.withColumn("nid", F.when(F.col("accepted"), F.col("nid")))
+    return near.join(first, "nid", "left").select("pid", "nid", "distance", "accepted", F.col("e.edge_id").alias("edge_id"), F.col("e.fraction").alias("fraction"))
+
+
 def nearest_end(fraction: Column, a: Column, b: Column, length: Column) -> tuple[Column, Column]:
     """The nearer end of an edge and the way to it from the point at this fraction; the middle goes to the start."""
     return F.when(fraction <= 0.5, a).otherwise(b), guarded(lambda f, w: F.least(f, 1 - f) * w, fraction, length)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reliefgrid.sources.storage import stored
+
+#: Nodes of a cell that isn't split, and times that a cell is halved at most.
+LEAF, HALVINGS = 256, 40
+
 
 def nearest_within(points: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
     """points (pid, x, y) with the nearest node (nid, x, y) within the limit, ties to the smaller nid; else null.
@@ -20,6 +27,86 @@ def nearest_within(points: DataFrame, nodes: DataFrame, limit: float) -> DataFra
     return points.join(best, "pid", "left").select("pid", F.col("b.nid").alias("nid"), F.col("b.d").alias("distance"))
 
 
+class CellTree:
+    """Nodes (nid, x, y; of equal places the least nid) in a tree of square cells: cells of `width` and, of those with more than LEAF
+    nodes, halves of halves; above them cells twice as wide, up to four that hold all. A cell is (level, cx, cy), widths being
+    width * 2 ** level, with the box of its nodes. Level by level, each a table: `cells` (level, cx, cy, x0, y0, x1, y1, leaf)."""
+
+    def __init__(self, nodes: DataFrame, width: float, leaf: int = LEAF):
+        self.width = width
+        at = nodes.where("x IS NOT NULL AND y IS NOT NULL AND nid IS NOT NULL").groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("nid").alias("nid"))
+        at = self._at(at, 0).withColumn("level", F.lit(0))
+        cell = ["level", "cx", "cy"]
+        self.lowest, split = 0, []
+        for k in range(HALVINGS):
+            large = stored(at.where(F.col("level") == -k).groupBy(*cell).agg(F.count("nid").alias("n_")).where(F.col("n_") > leaf).select(*cell))
+            if large.isEmpty():
+                break
+            split.append(large)
+            down = self._at(at.join(large, cell, "left_semi"), -k - 1).withColumn("level", F.lit(-k - 1))
+            at = stored(at.join(large, cell, "left_anti").unionByName(down))
+            self.lowest = -k - 1
+        self.nodes = stored(at)
+        box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+        leaves = self.nodes.groupBy(*cell).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).withColumn("leaf", F.lit(True))
+        self.levels: dict[int, DataFrame] = {}
+        below = None
+        level = self.lowest
+        while True:
+            own = leaves.where(F.col("level") == level) if level <= 0 else None
+            if below is not None:
+                up = below.groupBy(F.floor(F.col("cx") / 2).alias("cx"), F.floor(F.col("cy") / 2).alias("cy")).agg(*box).select(F.lit(level).alias("level"), "cx", "cy", "x0", "y0", "x1", "y1", F.lit(False).alias("leaf"))
+                own = up if own is None else own.unionByName(up)
+            below = self.levels[level] = stored(own)
+            if level >= 0:
+                x0, x1, y0, y1 = below.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+                if x0 is None or (x1 - x0 <= 1 and y1 - y0 <= 1):
+                    break
+            level += 1
+        self.top = level
+
+    def _at(self, df: DataFrame, level: int) -> DataFrame:
+        w = self.width * 2.0**level
+        return df.withColumn("cx", F.floor(F.col("x") / w)).withColumn("cy", F.floor(F.col("y") / w))
+
+    def nearest(self, points: DataFrame) -> DataFrame:
+        """pid, nid, distance: the nearest node of each point (pid, x, y: no nulls), ties to the smaller nid. From the top, a point keeps
+        the cells that may be nearer than the farthest corner of the one that is best by that; no cell is looked at by its nodes
+        before it is a leaf that may hold the nearest."""
+        top = [tuple(r) for r in self.levels[self.top].select("cx", "cy").collect()]  # four at most
+        start = F.array(*[F.struct(F.lit(a).cast("long").alias("cx"), F.lit(b).cast("long").alias("cy")) for a, b in top]) if top else F.array().cast("array<struct<cx: bigint, cy: bigint>>")
+        open_ = points.select("pid", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.lit(math.inf).alias("most"), F.explode(start).alias("c")).select("pid", "px", "py", "most", "c.cx", "c.cy")
+        leaves = []
+        for level in range(self.top, self.lowest - 1, -1):
+            d = open_.join(self.levels[level].drop("level"), ["cx", "cy"])
+            side = lambda c, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(c), F.col(c) - F.col(hi))
+            far = lambda c, lo, hi: F.greatest(F.abs(F.col(c) - F.col(lo)), F.abs(F.col(c) - F.col(hi)))
+            d = d.withColumn("near", F.hypot(side("px", "x0", "x1"), side("py", "y0", "y1"))).withColumn("far", F.hypot(far("px", "x0", "x1"), far("py", "y0", "y1")))
+            d = d.withColumn("most", F.least(F.col("most"), F.min("far").over(Window.partitionBy("pid")))).where(F.col("near") <= F.col("most") * (1 + 1e-12))
+            d = stored(d.select("pid", "px", "py", "most", "near", "cx", "cy", "leaf"))
+            leaves.append(d.where("leaf").select("pid", "px", "py", "near", F.lit(level).alias("level"), "cx", "cy", "most"))
+            kid = F.array(*[F.struct((F.col("cx") * 2 + a).alias("cx"), (F.col("cy") * 2 + b).alias("cy")) for a in (0, 1) for b in (0, 1)])
+            open_ = d.where("NOT leaf").select("pid", "px", "py", "most", F.explode(kid).alias("c")).select("pid", "px", "py", "most", "c.cx", "c.cy")
+        found = leaves[0]
+        for d in leaves[1:]:
+            found = found.unionByName(d)
+        found = found.withColumn("most", F.min("most").over(Window.partitionBy("pid"))).where(F.col("near") <= F.col("most") * (1 + 1e-12))
+        d = found.join(self.nodes, ["level", "cx", "cy"]).select("pid", "nid", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")).alias("distance"))
+        return d.groupBy("pid").agg(F.min(F.struct("distance", "nid")).alias("b")).select("pid", F.col("b.nid").alias("nid"), F.col("b.distance").alias("distance"))
+
+
+def nearest_node(points: DataFrame, nodes: DataFrame, limit: float, leaf: int = LEAF) -> DataFrame:
+    """points (pid, x, y) with the nearest node (nid, x, y) however far it is, ties to the smaller nid, and `accepted`, whether it is
+    within the limit. A point without coordinates, or without any node, has nulls. pid: one row each.
+
+    Points search a tree of cells from its top; cells with many nodes are halved, so that no task holds a dense place whole.
+    """
+    tree = CellTree(nodes, limit, leaf)
+    whole = points.where("x IS NOT NULL AND y IS NOT NULL").select("pid", "x", "y")
+    found = tree.nearest(whole)
+    return points.select("pid").join(found, "pid", "left").select("pid", "nid", "distance", (F.col("distance") <= limit).alias("accepted"))
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting over an array of (x, y), each the edge's start to the next one."""
     n = F.size(ring)

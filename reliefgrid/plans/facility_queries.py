@@ -195,6 +195,20 @@ def network_snap(spark, sf):
     return facilities.snap_to_network(at(v.where("label <> 0"), "pid"), at(v.where("label = 0"), "nid"), edges, 60.0).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""WITH {V}, p AS (SELECT vec_id AS pid, e1_4000 + label * 500 AS x, e2_4000 AS y FROM v WHERE label <> 0), n AS (SELECT vec_id AS nid, e1_1000 AS x, e2_1000 AS y FROM v WHERE label = 0),
+near AS (SELECT pid, nid, sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2) AS d FROM p, n QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d, nid) = 1),
+ends AS (SELECT l_partkey AS nid, l_orderkey * 10 + l_linenumber AS edge_id, 0.0::DOUBLE AS fraction FROM lineitem UNION ALL SELECT l_suppkey, l_orderkey * 10 + l_linenumber, 1.0 FROM lineitem),
+least AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY nid ORDER BY edge_id, fraction) = 1)
+SELECT pid, CASE WHEN d <= 60 THEN near.nid END AS nid, round(d, 6) AS distance, d <= 60 AS accepted, edge_id, fraction FROM near LEFT JOIN least ON least.nid = near.nid AND d <= 60""")
+def network_snap_distances(spark, sf):
+    """As `network_snap`, with the distances of the points that are refused."""
+    v = _vectors(spark, sf)
+    points = v.where("label <> 0").select(F.col("vec_id").alias("pid"), (F.col("e1_4000") + F.col("label") * 500).alias("x"), F.col("e2_4000").alias("y"))
+    nodes = v.where("label = 0").select(F.col("vec_id").alias("nid"), F.col("e1_1000").alias("x"), F.col("e2_1000").alias("y"))
+    edges = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return facilities.attach_nearest_node(points, nodes, edges, 60.0).withColumn("distance", F.round("distance", 6))
+
+
 @query("""SELECT c_custkey AS shelter, floor(abs(c_acctbal))::DOUBLE AS evacuees, demand_case, floor(abs(c_acctbal)) * litres AS demand, 'separate_not_added' AS ledger_status
 FROM customer, (VALUES ('minimum', 3.0::DOUBLE), ('basic', 10.0), ('extended', 20.0)) l(demand_case, litres)""")
 def shelter_ledger(spark, sf):
