@@ -1,7 +1,9 @@
 """Rows out of incident reports: sections between markers, their lines, and lists of places in web pages.
 
-Reports are (report_id, text), pages are chunks (page_id, place, chunk) in the order of `place`. All work is done by
-built-in string functions on exploded lines; the names of municipalities come as a table and are joined by equality.
+Reports are (report_id, text), one row an id; pages are chunks (page_id, place, chunk) in the order of `place`. All work is done by
+built-in string functions. A row of a table starts on a line of its own, but blanks between its values may be line ends: where
+rows start is found line by line, by joining the lines' first words with the names of municipalities (a table); what a row says is
+read from there on.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from reliefgrid.operators.keys import top_by
 
 # Fixed input formats: markers of sections, and lines of the outage, tanker and shelter tables.
 WATER, TANKERS, SEWAGE = "■水道", "○給水車の派遣状況", "■下水道"
-OUTAGE_LINE = r"^\s*(\S+)\s+(約\s*[\d,.]+|[\d,.]+|不明)\s+(約\s*[\d,.]+|[\d,.]+※?|不明)\s+(\S+)(.*)$"
-TANKER_LINE = r"^\s*(\S+)\s+([0-9\s]+)$"
+OUTAGE_ROW = r"(?md)\A\s*(\S+)\s+(約\s*[\d,.]+|[\d,.]+|不明)\s+(約\s*[\d,.]+|[\d,.]+※?|不明)\s+(\S+)(.*)$"
+TANKER_ROW = r"(?md)\A\s*(\S+)\s+([0-9\s]+)$"
 JOINT_OPERATOR = r"(?s)八代(?:生活)?環境事務組合.{0,260}?(?:甲佐町|宇城市)"
-SHELTER_LINE = r"^\s*(\d+)\s+(.+?)\s+(\S+)\s+([\d,]+)\s+(\d+)\s+(\d+)\s+([○〇△×])\s+([○〇△×])\s+([○〇△×])\s+(\d+)\s+(\d+)\s*$"
+SHELTER_ROW = r"(?md)^\s*(\d+)\s+(.+?)\s+(\S+)\s+([\d,]+)\s+(\d+)\s+(\d+)\s+([○〇△×])\s+([○〇△×])\s+([○〇△×])\s+(\d+)\s+(\d+)\s*$"
 # What the symbols of a shelter table stand for.
 SYMBOLS = {"○": "available", "△": "partially available", "×": "unavailable"}
 YES_NO = {"有": True, "無": False}
@@ -36,21 +38,23 @@ def section(text: Column, start: str, *ends: str) -> Column:
     return F.left(tail, F.coalesce(*cuts, F.length(tail) + 1) - 1)
 
 
-def _lines(reports: DataFrame, text: Column) -> DataFrame:
-    return reports.select("report_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-
-
-def _named(lines: DataFrame, pattern: str, names: DataFrame) -> DataFrame:
-    """The first line of each report that fits the pattern and starts with a name (names: unit)."""
-    fit = lines.where(F.col("line").rlike(pattern)).withColumn("unit", F.regexp_extract("line", pattern, 1))
-    return top_by(fit.join(names.select("unit").distinct(), "unit", "left_semi"), ["report_id", "unit"], ["line_no"])
+def _named(reports: DataFrame, text: Column, pattern: str, names: DataFrame) -> DataFrame:
+    """report_id, unit, row: of each report and name (names: unit) the text of the first row that starts with the name, as the first word
+    of its line, and fits the pattern from there on. The pattern's first group is the name."""
+    lines = reports.select("report_id", F.split(text, "\n").alias("lines_")).where(F.col("lines_").isNotNull())
+    starts = lines.select("report_id", F.posexplode("lines_").alias("line_no", "line"))
+    starts = starts.select("report_id", "line_no", F.regexp_extract("line", r"^\s*(\S+)", 1).alias("unit")).join(names.select("unit").distinct(), "unit", "left_semi")
+    rest = F.array_join(F.slice("lines_", F.col("line_no") + 1, F.size("lines_")), "\n")
+    row = F.regexp_extract(rest, pattern, 0)
+    found = starts.join(lines, "report_id").select("report_id", "unit", "line_no", row.alias("row")).where("row <> ''")
+    return top_by(found, ["report_id", "unit"], ["line_no"])
 
 
 def outage_rows(reports: DataFrame, names: DataFrame) -> DataFrame:
     """report_id, unit, most and current outage households, period, damage, raw line: the municipalities of the water section."""
-    rows = _named(_lines(reports, section(F.col("text"), WATER, TANKERS, SEWAGE)), OUTAGE_LINE, names)
-    part = lambda k: F.regexp_extract("line", OUTAGE_LINE, k)
-    return rows.select("report_id", "unit", household_count(part(2)).alias("most_households"), household_count(part(3)).alias("current_households"), part(4).alias("period"), F.btrim(part(5), F.lit(" ・")).alias("damage"), collapse("line").alias("raw_line"))
+    rows = _named(reports, section(F.col("text"), WATER, TANKERS, SEWAGE), OUTAGE_ROW, names)
+    part = lambda k: F.regexp_extract("row", OUTAGE_ROW, k)
+    return rows.select("report_id", "unit", household_count(part(2)).alias("most_households"), household_count(part(3)).alias("current_households"), part(4).alias("period"), F.btrim(part(5), F.lit(" ・")).alias("damage"), collapse("row").alias("raw_line"))
 
 
 def tanker_rows(reports: DataFrame, names: DataFrame, joint: str = "八代環境事務組合") -> DataFrame:
@@ -58,7 +62,7 @@ def tanker_rows(reports: DataFrame, names: DataFrame, joint: str = "八代環境
     operator's block, whose numbers stand on lines of their own, is a unit named `joint`."""
     text = section(F.col("text"), TANKERS[1:], SEWAGE)
     numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
-    rows = _named(_lines(reports, text), TANKER_LINE, names).withColumn("n", numbers(F.regexp_extract("line", TANKER_LINE, 2)))
+    rows = _named(reports, text, TANKER_ROW, names).withColumn("n", numbers(F.regexp_extract("row", TANKER_ROW, 2)))
     full = F.size("n") == 4
     one = rows.select("report_id", "unit", F.get("n", F.lit(0)).alias("total"), *[F.when(full, F.get("n", F.lit(k))).alias(c) for k, c in ((1, "mlit"), (2, "jwwa"), (3, "sdf"))], F.when(full, "complete").when(F.size("n") > 0, "total only").otherwise("unparsed").alias("parse_status"))
     block = reports.select("report_id", F.regexp_extract(text, JOINT_OPERATOR, 0).alias("block"))
@@ -70,9 +74,9 @@ def tanker_rows(reports: DataFrame, names: DataFrame, joint: str = "八代環境
 
 
 def shelter_rows(reports: DataFrame) -> DataFrame:
-    """report_id and the columns of each line of a shelter table, symbols as their meaning."""
-    rows = _lines(reports, F.col("text")).where(F.col("line").rlike(SHELTER_LINE))
-    part = lambda k: F.regexp_extract("line", SHELTER_LINE, k)
+    """report_id and the columns of each row of a shelter table, symbols as their meaning."""
+    rows = reports.select("report_id", F.explode(F.regexp_extract_all("text", F.lit(SHELTER_ROW), F.lit(0))).alias("row"))
+    part = lambda k: F.regexp_extract("row", SHELTER_ROW, k)
     number = lambda k: F.replace(part(k), F.lit(","), F.lit("")).cast("long")
     state = lambda k: recode(F.replace(part(k), F.lit("〇"), F.lit("○")), SYMBOLS)
     return rows.select("report_id", number(1).alias("shelter_number"), F.trim(part(2)).alias("shelter_name"), part(3).alias("district"), number(4).alias("capacity"), number(5).alias("households"), number(6).alias("people"), state(7).alias("water"), state(8).alias("electricity"), state(9).alias("air_conditioning"), number(10).alias("toilets"), number(11).alias("portable_toilets"))

@@ -89,12 +89,47 @@ def page_names_between(spark, sf):
     return reports.names_between(c, "給水について", "場所", "留意事項", ["場所", "留意事項", "日時", "日付", "時間"], ["断水が解消"])
 
 
-@query("""SELECT c_custkey AS page_id, unnest(['役場', '公民館' || c_custkey]) AS name, '08:30' AS opening, '19:00' AS closing FROM customer WHERE c_custkey % 30 < 20""")
+@query("""SELECT c_custkey AS page_id, unnest(['役場', '公民館' || c_custkey]) AS name, '08:30' AS opening, '19:00' AS closing FROM customer WHERE 4 + c_custkey % 30 < 1 + 25""")
 def page_listed_places(spark, sf):
+    """The list stands up to 29 chunks after the marker: pages on which it stands beyond the window have no names."""
     fill = F.array_repeat(F.lit("・"), (_key() % 30).cast("int"))
     body = F.concat(F.array(F.lit("前"), F.lit("給水車による応急給水について"), F.lit("8:30～19:00"), F.lit("9:00～10:00")), fill, F.array(_say("場所：役場、 公民館", _key(), " ,")))
-    c = table(spark, sf, "customer").select(_key().alias("page_id"), F.posexplode(body).alias("place", "chunk")).where("place < 26")
-    return reports.listed_places(c, "給水車による応急給水について").where(F.col("page_id") % 30 < 20)
+    c = table(spark, sf, "customer").select(_key().alias("page_id"), F.posexplode(body).alias("place", "chunk"))
+    return reports.listed_places(c, "給水車による応急給水について")
+
+
+# rows of which the blanks are line ends, by the key: on one line, on two, on three with an empty one
+
+
+def _wrapped(spark: SparkSession, sf: str) -> DataFrame:
+    gap = F.when(_key() % 3 == 0, " ").when(_key() % 3 == 1, "\n  ").otherwise("\n\n ")
+    body = _say(
+        "■水道\n宇城市 順調\n八代市", gap, (_key() % 900 + 1), gap, (_key() % 77 + 1), gap, "8/3～ 断水 中 ・\n 宇城市 不明", gap, (_key() % 50 + 1), "※ 8/4～\n甲佐町 5\n宇土市", gap, "約 ", (_key() % 90 + 1), ",000 7 8/5～ 復旧\n",
+        "○給水車の派遣状況\n八代市 6", gap, (_key() % 3), " 2", gap, "1\n 宇土市", gap, (_key() % 4 + 1), " 9\n宇城市 なし\n宇城市", gap, (_key() % 8 + 1), "\n■下水道\n",
+    )
+    return table(spark, sf, "customer").select(_key().alias("report_id"), body.alias("text"))
+
+
+@query("""SELECT c_custkey AS report_id, '八代市' AS unit, (c_custkey % 900 + 1)::DOUBLE AS most_households, (c_custkey % 77 + 1)::DOUBLE AS current_households, '8/3～' AS period, '断水 中' AS damage, '八代市 ' || (c_custkey % 900 + 1) || ' ' || (c_custkey % 77 + 1) || ' 8/3～ 断水 中 ・' AS raw_line FROM customer
+UNION ALL SELECT c_custkey, '宇城市', NULL, (c_custkey % 50 + 1)::DOUBLE, '8/4～', '', '宇城市 不明 ' || (c_custkey % 50 + 1) || '※ 8/4～' FROM customer
+UNION ALL SELECT c_custkey, '宇土市', ((c_custkey % 90 + 1) * 1000)::DOUBLE, 7, '8/5～', '復旧', '宇土市 約 ' || (c_custkey % 90 + 1) || ',000 7 8/5～ 復旧' FROM customer""")
+def wrapped_outage_rows(spark, sf):
+    return reports.outage_rows(_wrapped(spark, sf), _names(spark))
+
+
+@query("""SELECT c_custkey AS report_id, '八代市' AS unit, 6::BIGINT AS total, c_custkey % 3 AS mlit, 2::BIGINT AS jwwa, 1::BIGINT AS sdf, 'complete' AS parse_status FROM customer
+UNION ALL SELECT c_custkey, '宇土市', c_custkey % 4 + 1, NULL, NULL, NULL, 'total only' FROM customer UNION ALL SELECT c_custkey, '宇城市', c_custkey % 8 + 1, NULL, NULL, NULL, 'total only' FROM customer""")
+def wrapped_tanker_rows(spark, sf):
+    return reports.tanker_rows(_wrapped(spark, sf), _names(spark))
+
+
+@query("""SELECT c_custkey AS report_id, i AS shelter_number, '第' || i || ' 小学校' AS shelter_name, '麦島' AS district, 1000 + c_custkey % 500 AS capacity, c_custkey % 20 AS households, i AS people, 'available' AS water, 'partially available' AS electricity, 'unavailable' AS air_conditioning, 4::BIGINT AS toilets, c_custkey % 3 AS portable_toilets
+FROM customer, (SELECT unnest([1, 2, 3]::BIGINT[]) AS i)""")
+def wrapped_shelter_rows(spark, sf):
+    gap = F.when(_key() % 3 == 0, " ").when(_key() % 3 == 1, "\n  ").otherwise(" \n")
+    row = lambda i, g: [f" {i}", g, f"第{i} 小学校 麦島", g, "1,", F.lpad((_key() % 500).cast("string"), 3, "0"), " ", (_key() % 20), g, f"{i} 〇 △", g, "× 4 ", (_key() % 3), "\n"]
+    body = _say("番号 名称\n", *row(1, F.lit(" ")), *row(2, gap), *row(3, gap), "短い 行\n")
+    return reports.shelter_rows(table(spark, sf, "customer").select(_key().alias("report_id"), body.alias("text")))
 
 
 @query("""SELECT s_suppkey AS page_id, 'https://host.example/a/r' || s_suppkey || '.pdf' AS url, 'report_' || lpad((s_suppkey % 30 + 1) || '', 2, '0') AS link_id FROM supplier
