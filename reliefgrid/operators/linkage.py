@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reliefgrid.sources.storage import stored
+
 #: Bound of a list of names that is carried to the executors with the plan.
 NAMES = 5000
+#: Characters of a name that are joined with texts, and names that may share them.
+HEAD, SHARED = 4, 64
 
 
 def crosswalk(units: DataFrame, known: DataFrame, joint: list[str], outside: list[str]) -> DataFrame:
@@ -42,6 +46,37 @@ def names_within(rows: DataFrame, text: str, names: DataFrame, name: str) -> Dat
     return rows.withColumn("names_found", F.filter(F.array(*[F.lit(x) for x in got]), lambda n: F.contains(F.col(text), n)))
 
 
+def names_in_texts(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, most: int = SHARED) -> DataFrame:
+    """(key, name): which of the names stand in each text, once each; letter by letter, as SQL's contains. Any number of names: a join on
+    their first HEAD characters with the texts' own stretches of this length; names of which more than `most` share these are
+    joined on twice as many, and so on. Names and texts that are null or empty take no part; rows of one key are taken together."""
+    n = names.select(F.col(name).alias("name_")).where("name_ <> ''").distinct().withColumn("size_", F.least(F.length("name_"), F.lit(HEAD)))
+    head = F.left("name_", F.col("size_"))
+    n = stored(n.withColumn("head_", head))
+    while True:
+        shared = stored(n.groupBy("head_").agg(F.count(F.lit(1)).alias("n_"), F.max(F.length("name_") > F.col("size_")).alias("more_")).where((F.col("n_") > most) & F.col("more_")).select("head_"))
+        if shared.isEmpty():
+            break
+        longer = n.join(shared, "head_", "left_semi").withColumn("size_", F.least(F.length("name_"), F.col("size_") * 2)).withColumn("head_", head)
+        n = stored(n.join(shared, "head_", "left_anti").unionByName(longer))
+    sizes = [(r[0], r[1]) for r in n.groupBy("size_").agg(F.max(F.length("name_"))).collect()]  # a few lengths
+    t = rows.select(F.col(key).alias("key_"), F.col(text).alias("text_")).where("text_ <> ''")
+    at = lambda k, longest: F.when(F.length("text_") >= k, F.transform(F.sequence(F.lit(1), F.length("text_") - (k - 1)), lambda i: F.struct(F.substring("text_", i, F.lit(k)).alias("head_"), F.substring("text_", i, F.lit(longest)).alias("rest_")))).otherwise(F.array().cast("array<struct<head_: string, rest_: string>>"))
+    if not sizes:
+        return t.select(F.col("key_").alias(key), F.col("text_").alias(name)).where("false")
+    stretches = t.select("key_", F.explode(F.array_distinct(F.concat(*[at(k, longest) for k, longest in sizes]))).alias("x")).select("key_", "x.*")
+    found = stretches.join(n, "head_").where(F.startswith("rest_", F.col("name_")))
+    return found.select(F.col("key_").alias(key), F.col("name_").alias(name)).distinct()
+
+
+def unique_within(rows: DataFrame, key: str, text: str, label: str, names: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """(name, label, *values): for each name the rows whose text has it (`key` is unique), and of these the labels that one row alone
+    has, with its values. A label that two rows of a name share isn't accepted; nulls have no label."""
+    met = names_in_texts(rows, key, text, names, name).join(rows.select(key, label, *values), key).where(F.col(label).isNotNull())
+    one = met.groupBy(name, label).agg(F.count(F.lit(1)).alias("n_"), *[F.min(v).alias(v) for v in values])
+    return one.where("n_ = 1").drop("n_")
+
+
 def audit(parts: list[tuple[str, DataFrame, str]]) -> DataFrame:
     """component, total, success, unmatched, rate: one row for each (name, table, condition)."""
     rows = [d.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr(ok)).alias("success")).select(F.lit(n).alias("component"), "*") for n, d, ok in parts]

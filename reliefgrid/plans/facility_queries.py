@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions import formats
-from reliefgrid.operators import facilities, matching, polygons, polylines
+from reliefgrid.operators import facilities, linkage, matching, polygons, polylines
 from reliefgrid.sources.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,6 +237,34 @@ def site_inventory(spark, sf):
     return facilities.site_inventory(one("supplier", "s_supp"), one("customer", "c_cust"), ["capacity"])
 
 
+# --- names within addresses: nations, and the names of every seventh customer, in addresses made of both
+
+ADDRESSES = """a AS (SELECT c_custkey AS id, n_name || ' ' || c_name || CASE WHEN c_custkey % 3 = 0 THEN ' / ' || lag(c_name, 1, '') OVER (ORDER BY c_custkey) ELSE '' END AS address, 'hall ' || c_custkey % 211 AS hall, c_custkey * 2.5::DOUBLE AS x FROM customer JOIN nation ON n_nationkey = c_nationkey),
+names AS (SELECT n_name AS name FROM nation UNION SELECT c_name FROM customer WHERE c_custkey % 7 = 0)"""
+
+
+def _addresses(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    k = F.col("c_custkey")
+    other = c.select((k + 1).alias("c_custkey"), F.concat(F.lit(" / "), "c_name").alias("before"))
+    a = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(other, "c_custkey", "left")
+    address = F.concat("n_name", F.lit(" "), "c_name", F.when(k % 3 == 0, F.coalesce("before", F.lit(" / "))).otherwise(""))
+    a = a.select(k.alias("id"), address.alias("address"), F.concat(F.lit("hall "), (k % 211).cast("string")).alias("hall"), (k * 2.5).alias("x"))
+    return a, n.select(F.col("n_name").alias("name")).union(c.where(k % 7 == 0).select("c_name"))
+
+
+@query(f"WITH {ADDRESSES} SELECT id, name FROM a JOIN names ON contains(address, name)")
+def names_in_addresses(spark, sf):
+    a, names = _addresses(spark, sf)
+    return linkage.names_in_texts(a, "id", "address", names, "name")
+
+
+@query(f"WITH {ADDRESSES} SELECT name, hall, min(x) AS x FROM a JOIN names ON contains(address, name) GROUP BY name, hall HAVING count(*) = 1")
+def unique_halls_by_name(spark, sf):
+    a, names = _addresses(spark, sf)
+    return linkage.unique_within(a, "id", "address", "hall", names, "name", ["x"])
+
+
 # --- formats
 
 
