@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reliefgrid.functions import formats
+from reliefgrid.functions import formats, projections
 from reliefgrid.operators import facilities, linkage, matching, polygons, polylines
 from reliefgrid.sources.storage import table
 
@@ -180,6 +180,22 @@ def surface_points(spark, sf):
     return v.select("vec_id", at.alias("p")).select("vec_id", "p.x", "p.y")
 
 
+# --- layers in other reference systems
+
+
+@query("""SELECT c_custkey AS id, k, round(131 + c_custkey % 997 / 1000.0 + k / 100.0, 9)::DOUBLE AS lon, round(32.5 + c_custkey % 613 / 1000.0 - k / 50.0, 9)::DOUBLE AS lat, true AS far FROM customer, (SELECT unnest([0, 1, 2]) AS k)""")
+def layer_round_trip(spark, sf):
+    """Lines of three places: degrees, plane system II, system I, and degrees again; `far` tells that the planes' places were not the degrees."""
+    k = F.col("c_custkey")
+    place = lambda i: F.struct((131 + k % 997 / 1000 + i / 100).alias("x"), (32.5 + k % 613 / 1000 - i / 50).alias("y"))
+    d = table(spark, sf, "customer").select(k.alias("id"), F.array(F.array(*[place(i) for i in range(3)])).alias("line"))
+    plane = projections.reproject_layer(d, "line", "EPSG:6670", "EPSG:4326").withColumn("plane", F.col("line"))
+    back = projections.reproject_layer(projections.reproject_layer(plane, "line", "EPSG:6669"), "line", "EPSG:6668")
+    far = F.forall(F.col("plane")[0], lambda p: F.abs(p["y"]) > 1000)
+    d = back.select("id", far.alias("far"), F.posexplode(F.col("line")[0]).alias("k", "p"))
+    return d.select("id", "k", F.round("p.x", 9).alias("lon"), F.round("p.y", 9).alias("lat"), "far")
+
+
 # --- facilities
 
 
