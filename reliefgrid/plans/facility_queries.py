@@ -191,7 +191,7 @@ def layer_round_trip(spark, sf):
     d = table(spark, sf, "customer").select(k.alias("id"), F.array(F.array(*[place(i) for i in range(3)])).alias("line"))
     plane = projections.reproject_layer(d, "line", "EPSG:6670", "EPSG:4326").withColumn("plane", F.col("line"))
     back = projections.reproject_layer(projections.reproject_layer(plane, "line", "EPSG:6669"), "line", "EPSG:6668")
-    far = F.forall(F.col("plane")[0], lambda p: F.abs(p["y"]) > 1000)
+    far = F.forall(F.col("plane")[0], lambda p: F.abs(p["x"] - 131) + F.abs(p["y"] - 33) > 10)
     d = back.select("id", far.alias("far"), F.posexplode(F.col("line")[0]).alias("k", "p"))
     return d.select("id", "k", F.round("p.x", 9).alias("lon"), F.round("p.y", 9).alias("lat"), "far")
 
