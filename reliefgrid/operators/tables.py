@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reliefgrid.operators.keys import number_rows
+from reliefgrid.operators.keys import number_rows, top_by
 
 # The distances of access, in metres, that may be used.
 APPROVED_THRESHOLDS = (250.0, 500.0, 1000.0)
@@ -67,8 +67,9 @@ def base_edges(bases: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def complete_by_unit(units: DataFrame, rows: DataFrame, unit: str, values: list[str]) -> DataFrame:
-    """Each unit's row; a unit without one, or with a null among the values, is an error when it is read."""
-    d = units.select(unit).join(rows.dropDuplicates([unit]), unit, "left")
+    """Each unit's row, of several the first by the values in turn; a unit without one, or with a null among the values, is an error
+    when it is read."""
+    d = units.select(unit).join(top_by(rows, [unit], [F.asc_nulls_last(v) for v in values]), unit, "left")
     gap = F.greatest(*[F.col(v).isNull().cast("int") for v in values]) if len(values) > 1 else F.col(values[0]).isNull().cast("int")
     return d.where(F.when(gap == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no values for "), F.col(unit).cast("string"))).cast("boolean")))
 

@@ -60,9 +60,14 @@ def geojson_text(df: DataFrame, geometry: str, properties: list[str]) -> DataFra
     return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit("}")).alias("value"))
 
 
-def keyed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of the lookup's first row of their keys; rows that it doesn't hold keep nulls."""
-    return rows.join(lookup.dropDuplicates(keys), keys, "left")
+def keyed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], order: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows with the columns of the lookup's first row of their keys; rows that it doesn't hold keep nulls. First is the least by
+    `order` (such as a file's line numbers), then by the other columns in turn, so that reruns agree; nulls come first."""
+    rest = [c for c in lookup.columns if c not in keys]
+    if not rest:
+        return rows.join(lookup.distinct(), keys, "left")
+    first = lookup.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("first_"))
+    return rows.join(first.select(*keys, *[F.col("first_").getField(c).alias(c) for c in rest]), keys, "left")
 
 
 def with_crs(df: DataFrame, geometry: str, crs: str) -> DataFrame:
