@@ -41,15 +41,20 @@ def household_outages(units: DataFrame, outages: DataFrame, group: str) -> DataF
     return d.withColumn("status", outage_status(F.col("observed"), F.col("ratio"), F.col("group_households"), F.col(group).isNotNull()))
 
 
-def demand_scenarios(units: DataFrame, outages: DataFrame, group: str, unit: str) -> DataFrame:
-    """Nine rows a unit: three bounds of the people affected x three demand levels, exploded in place."""
-    d = household_outages(units, outages, group)
+def scenario_rows(d: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """`household_outages` rows, nine each: three bounds of the people affected x three demand levels (litres a person), exploded in
+    place. columns: which of d's stay."""
     sized = d.where(F.col("households") > 0).withColumn("size_", F.col("people") / F.col("households"))
     p90 = weighted_quantile(sized.where(F.col(group).isNotNull()), [group], "size_", "households", 0.9, "p90")
     d = d.join(p90, group, "left").withColumn("h", guarded(lambda a, b: a * b, "out", "share"))
     cases = [("lower_one_person_per_household", null_min("people", "h")), ("proportional_central", guarded(lambda a, b: a * b, "people", "ratio")), ("upper_p90_household_size", null_min("people", F.col("h") * F.col("p90")))]
-    grid = F.array(*[F.struct(F.lit(c).alias("population_case"), p.alias("affected"), F.lit(n).alias("demand_case"), (p * q).alias("demand")) for c, p in cases for n, q in DEMAND_LEVELS])
-    return d.select(unit, group, "status", F.explode(grid).alias("x")).select(unit, group, "status", "x.*")
+    grid = F.array(*[F.struct(F.lit(c).alias("population_case"), p.alias("affected"), F.lit(n).alias("demand_case"), F.lit(q).alias("litres"), (p * q).alias("demand")) for c, p in cases for n, q in DEMAND_LEVELS])
+    return d.select(*columns, F.explode(grid).alias("x")).select(*columns, "x.*")
+
+
+def demand_scenarios(units: DataFrame, outages: DataFrame, group: str, unit: str) -> DataFrame:
+    """Nine rows a unit, as `scenario_rows`."""
+    return scenario_rows(household_outages(units, outages, group), group, [unit, group, "status"]).drop("litres")
 
 
 def roll_up(scenarios: DataFrame, group: str) -> DataFrame:
