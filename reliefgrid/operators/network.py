@@ -39,6 +39,13 @@ def build_graph(edges: DataFrame, a: str, b: str, *weights: str, closed: DataFra
     return keep.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(*[F.min(w).alias(w) for w in weights])
 
 
+def eligible_edges(edges: DataFrame, nodes: DataFrame, a: str, b: str, available: str, eligible: str) -> DataFrame:
+    """The edges that are available and eligible (unknown: no), and whose ends both are among the nodes (node, may repeat)."""
+    known = nodes.select("node").where("node IS NOT NULL").distinct()
+    kept = edges.where(F.col(available) & F.col(eligible))
+    return kept.join(known, kept[a] == known["node"], "left_semi").join(known.withColumnRenamed("node", "node_"), F.col(b) == F.col("node_"), "left_semi")
+
+
 class SplitGraph(NamedTuple):
     """edges: part, node, to, w (both ways), stored; homes: node, part, each part with edges from the node, or None if there is
     one part; parts, nodes: how many."""

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from reliefgrid.functions import nulls, stats, text
 from reliefgrid.operators import geo, keys, linkage, network, scenarios, tanker
-from reliefgrid.plans import facility_queries, municipal_queries, report_queries, screening_queries
+from reliefgrid.plans import facility_queries, municipal_queries, report_queries, route_queries, screening_queries
 from reliefgrid.sources.storage import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**facility_queries.QUERIES, **municipal_queries.QUERIES, **report_queries.QUERIES, **screening_queries.QUERIES}
-ORACLES: dict[str, str] = {**facility_queries.ORACLES, **municipal_queries.ORACLES, **report_queries.ORACLES, **screening_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**facility_queries.QUERIES, **municipal_queries.QUERIES, **report_queries.QUERIES, **route_queries.QUERIES, **screening_queries.QUERIES}
+ORACLES: dict[str, str] = {**facility_queries.ORACLES, **municipal_queries.ORACLES, **report_queries.ORACLES, **route_queries.ORACLES, **screening_queries.ORACLES}
 FLAGSHIP = "weighted_coverage_thresholds"
 
 
