@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from reliefgrid.functions.nulls import _col
 
@@ -125,6 +126,48 @@ def html_chunks(s: pd.Series) -> pd.Series:
     return s.map(parse)
 
 
+class _Anchors(HTMLParser):
+    """Links and their texts. A link without an end before the next one begins, or before the page ends, is none."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: tuple[str, list[str]] | None = None
+        self.found: list[tuple[str, str]] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            href = dict(attrs).get("href")
+            self.open = None if href is None else (href, [])
+
+    def handle_data(self, data):
+        if self.open:
+            self.open[1].append(data)
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self.open:
+            self.found.append((self.open[0], " ".join(" ".join(self.open[1]).split())))
+            self.open = None
+
+
+@pandas_udf(ArrayType(StructType([StructField("url", StringType()), StructField("label", StringType())])))
+def html_anchors(html: pd.Series, base: pd.Series) -> pd.Series:
+    """The links of a page in its order: absolute by the page's address (a page without one: as they stand), texts with blanks
+    collapsed. An address that can't be joined (brackets of a bad host) is left out; a page without HTML has no links."""
+
+    def parse(x, at):
+        p, out = _Anchors(), []
+        p.feed(x or "")
+        p.close()
+        for href, label in p.found:
+            try:
+                out.append({"url": urljoin(at or "", href), "label": label})
+            except ValueError:
+                continue
+        return out
+
+    return pd.Series([parse(x, at) for x, at in zip(html, base, strict=True)])
+
+
 def forward_fill(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """The last value that isn't null, up to and with each row: a scanner's state as a window."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -152,3 +152,14 @@ def plan_checks(arcs: DataFrame, routes: DataFrame, refills: DataFrame, plan: tu
     for r in rules[1:]:
         out = out.unionByName(r)
     return out
+
+
+def plan_parts(plan: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> dict[str, tuple[DataFrame, list[str]]]:
+    """What makes a plan of `plan_fleet`, for `keys.agreement`: units with their sites, trips by route, vehicles by refill point, and what
+    is delivered, to six digits. Unserved units and what has no trips or vehicles belong to no part."""
+    units, sites, vehicles, total = plan
+    return {
+        "assignments": (units.where("site IS NOT NULL"), ["unit", "site"]), "routes": (sites.where("trips > 0").select("site", "refill", F.col("trips").cast("long").alias("trips")), ["site", "refill", "trips"]),
+        "vehicles": (vehicles.where("vehicles > 0").select("refill", F.col("vehicles").cast("long").alias("vehicles")), ["refill", "vehicles"]),
+        "delivered": (total.select(F.round(F.col("delivered").cast("double"), 6).alias("delivered")), ["delivered"]),
+    }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.functions.nulls import guarded
 from reliefgrid.operators.geo import nearest_node, nearest_within
-from reliefgrid.operators.keys import top_by
+from reliefgrid.operators.keys import number_rows, top_by
 from reliefgrid.operators.scenarios import DEMAND_LEVELS
 
 #: Metres within which a facility counts as being on the network.
@@ -59,6 +59,21 @@ def site_inventory(announced: DataFrame, staging: DataFrame, columns: list[str])
     return one(announced, "announced", "WATER::").unionByName(one(staging, "staging", "STAGING::"))
 
 
+def announced_points(water: DataFrame, nodes: DataFrame, order: list[str]) -> DataFrame:
+    """index, site_id, name, temporary, node, connector: the announced points (name, accepted, node, snap, *order) that are accepted and
+    have a node, numbered from 0 in the order of their file (order: unique, such as `_file` and `_row`). Of equally near points the
+    one with the smaller index comes first; its site_id is a text in which 10 comes before 2, as in `site_inventory`. A node that the
+    network (nodes: node) lacks, or a snap that is no number, is an error when it is read."""
+    kept = number_rows(water.where("accepted AND node IS NOT NULL").select(F.col("name").cast("string").alias("name"), "node", "snap", *[c for c in order if c not in ("name", "node", "snap")]), order, "no_")
+    known = nodes.select(F.col("node").alias("known_")).distinct()
+    d = kept.join(known, F.col("node") == F.col("known_"), "left")
+    fail = lambda what: F.raise_error(F.concat(F.lit(f"{what} of the point "), F.coalesce("name", F.lit("without a name"))))
+    snap = F.col("snap").try_cast("double")
+    node = F.when(F.col("known_").isNotNull(), F.col("known_")).otherwise(fail("unknown node").cast(d.schema["node"].dataType))
+    connector = F.when(F.col("snap").isNull() | snap.isNotNull(), snap).otherwise(fail("no number for the snap").cast("double"))
+    return d.select((F.col("no_") - 1).alias("index"), F.concat(F.lit("WATER::"), (F.col("no_") - 1).cast("string")).alias("site_id"), "name", F.lit(False).alias("temporary"), node.alias("node"), connector.alias("connector"))
+
+
 def without_site(tables: list[DataFrame], site: DataFrame, key: str) -> list[DataFrame]:
     """Each table without the rows of the failed site."""
     return [t.join(F.broadcast(site.select(key).limit(1)), key, "left_anti") for t in tables]

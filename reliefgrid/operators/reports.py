@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reliefgrid.functions.text import collapse, household_count, time_range
+from reliefgrid.functions.text import collapse, household_count, html_anchors, time_range
 from reliefgrid.operators.keys import top_by
 
 # Fixed input formats: markers of sections, and lines of the outage, tanker and shelter tables.
@@ -147,3 +147,22 @@ def report_links(anchors: DataFrame, keyword: str) -> DataFrame:
     d = anchors.withColumn("url", url).where(F.lower("url").endswith(".pdf") & (F.contains("label", F.lit(keyword)) | F.contains("url", F.lit(keyword))))
     number = F.coalesce(F.nullif(F.regexp_extract("label", r"第\s*(\d+)\s*報", 1), F.lit("")).cast("int"), F.lit(1))
     return d.groupBy("page_id", "url").agg(F.min(number).alias("number")).select("page_id", "url", F.format_string("report_%02d", F.col("number")).alias("link_id"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """page_id, place, url, label: the links of pages (page_id, url, html), numbered from 0 in each page's order. A page is parsed whole
+    in one task."""
+    return pages.select("page_id", F.posexplode(html_anchors("html", "url")).alias("place", "x")).select("page_id", "place", "x.url", "x.label")
+
+
+def linked_reports(links: DataFrame, keywords: list[str], prefix: str) -> DataFrame:
+    """page_id, report_id, relative_path, url, label: of `page_links` those to PDF files (by the address's path) whose text has one of the
+    keywords, a page's address once: its first such link. A report's number is that of its text (第n報), of two digits at least, or
+    1; two addresses may have one number, and both stay."""
+    path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)", 1)
+    fits = F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.col("label"), k)) if keywords else F.lit(False)
+    one = top_by(links.where(F.lower(path).endswith(".pdf") & fits), ["page_id", "url"], [F.asc("place")])
+    digits = F.translate(F.regexp_extract("label", r"(?U)第\s*([0-9０-９]+)\s*報", 1), "０１２３４５６７８９", "0123456789")
+    number = F.coalesce(F.nullif(digits, F.lit("")).try_cast("long"), F.lit(1))
+    stem = F.concat(F.lit("report_"), F.when(number < 10, F.concat(F.lit("0"), number.cast("string"))).otherwise(number.cast("string")))
+    return one.select("page_id", F.concat(F.lit(f"{prefix}_"), stem).alias("report_id"), F.concat(F.lit(f"{prefix}_reports/"), stem, F.lit(".pdf")).alias("relative_path"), "url", "label")

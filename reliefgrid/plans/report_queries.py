@@ -156,3 +156,24 @@ def normalised_values(spark, sf):
         text.collapse(F.lit(" a \n b\t c ")).alias("blanks"), text.has_japanese(F.when(k % 5 == 0, "x水").otherwise("x")).alias("japanese"), formats.translate_exact(pick(2, "消防署", "消火栓"), {"消防署": "station", "消火栓": "hydrant"}).alias("kind"),
         text.minutes_between(F.lit("08:00"), hour(F.lit(8) + k % 6)).alias("m"), text.household_count(_say("約 ", (k % 50), ".5 人")).alias("people"),
     ).withColumn("minutes", F.when(F.col("p_partkey") % 6 > 0, F.col("m").cast("double"))).drop("m")
+
+
+HOST = "regexp_extract(url, '^https?://[^/?#]+')"
+
+
+@query(f"""WITH a AS (SELECT page_id, {HOST} AS host, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label,
+unnest(range(0, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>'))))::INT AS place FROM pages) SELECT page_id, place, host || href AS url, label FROM a""")
+def page_anchors(spark, sf):
+    return reports.page_links(table(spark, sf, "pages"))
+
+
+@query(f"""SELECT page_id, 'ministry_report_' || lpad((page_id % 120 + 1) || '', CASE WHEN page_id % 120 < 99 THEN 2 ELSE 3 END, '0') AS report_id, 'ministry_reports/report_' || lpad((page_id % 120 + 1) || '', CASE WHEN page_id % 120 < 99 THEN 2 ELSE 3 END, '0') || '.pdf' AS relative_path,
+{HOST} || '/docs/r' || page_id || '.pdf?v=1' AS url, '災害 被害状況等について 第 ' || (page_id % 120 + 1) || ' 報' AS label FROM pages
+UNION ALL SELECT page_id, 'ministry_report_01', 'ministry_reports/report_01.pdf', regexp_extract(url, '^https?://[^?#]*/') || 'x.PDF', '熊本県熊本地方を震源 & 地震' FROM pages WHERE page_id % 3 = 0""")
+def linked_reports(spark, sf):
+    """Each page's own links, and reports linked at its end."""
+    k = F.col("page_id")
+    more = _say('<p><a href="/docs/r', k, '.pdf?v=1"><b>災害\n 被害状況等について</b> 第 ', (k % 120 + 1), ' 報</a> <a href="/docs/r', k, '.pdf?v=1">被害状況等について 第7報</a><a href="/docs/r.pdf">気象</a><a href="/docs/r.html?a.pdf">被害状況等について</a><a>被害状況等について</a>')
+    other = F.when(k % 3 == 0, '<A HREF="x.PDF">熊本県熊本地方を震源 &amp; 地震</A>').otherwise("")
+    pages = table(spark, sf, "pages").withColumn("html", F.concat("html", more, other))
+    return reports.linked_reports(reports.page_links(pages), ["被害状況等について", "熊本県熊本地方を震源"], "ministry")

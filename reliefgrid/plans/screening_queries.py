@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.functions import formats, stats
 from reliefgrid.operators import allocation, facilities, keys, matching, network, screening, tables, tanker
-from reliefgrid.sources.storage import table
+from reliefgrid.sources.storage import file_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -229,6 +229,34 @@ def canonical_signature(spark, sf):
     return keys.signature(n.unionByName(n), ["n_nationkey", "n_name"])
 
 
+ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, '{t}' AS type, count({c}) AS non_null, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS null_pct,
+(SELECT string_agg(v, ', ' ORDER BY o_orderkey) FROM (SELECT {c}::VARCHAR AS v, o_orderkey FROM (SELECT * REPLACE (nullif(o_custkey % 5, 0) AS o_custkey, nullif(o_orderstatus, 'O') AS o_orderstatus) FROM orders) WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 3)) AS samples
+FROM (SELECT * REPLACE (nullif(o_custkey % 5, 0) AS o_custkey, nullif(o_orderstatus, 'O') AS o_orderstatus) FROM orders)""" for c, t in ORDER_TYPES.items()))
+def column_samples(spark, sf):
+    o = table(spark, sf, "orders").withColumn("o_custkey", F.nullif(F.col("o_custkey") % 5, F.lit(0))).withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("O")))
+    return keys.column_samples(o.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")), ["o_orderkey"])
+
+
+@query("""WITH a AS (SELECT l_orderkey AS unit, l_suppkey AS site, min(l_extendedprice) AS d FROM lineitem GROUP BY 1, 2), n AS (SELECT unit, arg_min(site, (d, site)) AS site FROM a GROUP BY 1),
+h AS (SELECT count(*) AS n, sum(('0x' || substr(sha256('{"unit":' || unit || ',"site":' || site || '}'), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM n) SELECT 'assignments' AS part, n, digest, n AS n_again, digest AS digest_again, true AS agrees FROM h""")
+def rerun_agreement(spark, sf):
+    """The assignment of units to sites, and that of the same arcs dealt to tasks in another way."""
+    arcs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("site"), F.col("l_extendedprice").alias("distance"))
+    run = lambda d: {"assignments": (tanker.nearest_site(d, "unit", "distance", "site"), ["unit", "site"])}
+    return keys.agreement(run(arcs), run(arcs.repartition(7, "distance")))
+
+
+@query("""WITH w AS (SELECT s_name AS name, s_suppkey AS node, s_acctbal AS connector FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 9 > 0), n AS (SELECT *, row_number() OVER () - 1 AS index FROM w)
+SELECT index, 'WATER::' || index AS site_id, name, false AS temporary, node, connector FROM n""")
+def announced_points(spark, sf):
+    s = file_rows(spark, f"{sf}/supplier.parquet")
+    water = s.select(F.col("s_name").alias("name"), (F.col("s_acctbal") > 0).alias("accepted"), F.when(F.col("s_suppkey") % 9 > 0, F.col("s_suppkey")).alias("node"), F.col("s_acctbal").cast("string").alias("snap"), "_file", "_row")
+    return facilities.announced_points(water, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), ["_file", "_row"])
+
+
 # --- sites and points
 
 

@@ -50,6 +50,12 @@ def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     return text.select("file_name", at.alias("snapshot_time"), F.posexplode(f["features"]).alias("feature_index", "x")).select("file_name", "snapshot_time", "feature_index", "x.properties", "x.geometry")
 
 
+def file_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows with their place: `_file` and `_row`, the row's number in it, from 0. So the order of a file stays known however
+    its rows are dealt to tasks."""
+    return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """relative_path, bytes, sha256 of each file."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
