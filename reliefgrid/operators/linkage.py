@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.sources.storage import stored
@@ -84,3 +86,31 @@ def audit(parts: list[tuple[str, DataFrame, str]]) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.select("component", "total", "success", (F.col("total") - F.col("success")).alias("unmatched"), F.round(F.try_divide(F.col("success") * 1.0, F.col("total")), 6).alias("rate"))
+
+
+class Component(NamedTuple):
+    """A part of an audit: its rows, when one counts as linked (unknown: it doesn't), the rule in words, and the keys of its records if
+    they have several rows, of which one counts (`first` picks it; without it, a record is linked if any row is)."""
+
+    name: str
+    rows: DataFrame
+    linked: Column
+    rule: str
+    keys: tuple[str, ...] = ()
+    first: Column | None = None
+
+
+def coverage_audit(components: list[Component]) -> DataFrame:
+    """place, component, total, success, unmatched, rate, rule: a row for each component, in their order. Rows of one record (nulls are a
+    key as others) are brought together in each task first. A component without rows has no rate."""
+    rows = []
+    for place, c in enumerate(components):
+        ok = F.coalesce(c.linked, F.lit(False)).alias("ok_")
+        d = c.rows.select(ok, *([] if c.first is None else [c.first.alias("first_")]), *c.keys)
+        if c.keys:
+            d = d.groupBy(*c.keys).agg((F.max("ok_") if c.first is None else F.min(F.struct("first_", "ok_"))["ok_"]).alias("ok_"))
+        rows.append(d.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok_").alias("success")).select(F.lit(place).alias("place"), F.lit(c.name).alias("component"), "total", "success", F.lit(c.rule).alias("rule")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("place", "component", "total", "success", (F.col("total") - F.col("success")).alias("unmatched"), F.try_divide(F.col("success").cast("double"), F.col("total")).alias("rate"), "rule")

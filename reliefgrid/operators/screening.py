@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reliefgrid.functions.nulls import safe_ratio
 from reliefgrid.operators.keys import top_by
 from reliefgrid.operators.network import along_edge
-from reliefgrid.sources.storage import checkpoint
+from reliefgrid.sources.storage import checkpoint, stored
 
 #: Units of one scenario that are packed by a fold in one row; of more, those that fit by a running sum go first.
 FOLD = 4096
@@ -193,3 +193,27 @@ def replay(assignments: DataFrame, arcs: DataFrame, keys: list[str]) -> DataFram
     d = assignments.join(arcs.withColumn("found_", F.lit(True)), keys, "left")
     missing = F.raise_error(F.concat(F.lit("no arc for "), F.concat_ws(", ", *keys)))
     return d.where(F.when(F.col("found_"), F.lit(True)).otherwise(missing.cast("boolean"))).drop("found_")
+
+
+def resource_curve(arcs: DataFrame, units: DataFrame, catchments: list[tuple[str, float]], fleets: list[int], load: float) -> DataFrame:
+    """catchment, fleet, delivered, share, unmet, ceiling, gain: what fleets deliver of all demand within each catchment (name, metres).
+
+    arcs: (unit, site, distance); units: (unit, demand), one row each. A unit is in a catchment by its nearest site; a fleet's pool is
+    fleet * load, and takes whole units by distance, then by unit (`pack_pool`). share and unmet are of the demand of all units,
+    with arcs or without; ceiling is the share of units in the catchment; gain is percent points a vehicle more than in the
+    fleet before (null for the least one). Fleets that deliver nothing, an empty catchment too, have their rows; without any
+    demand shares are null. Units without demand, or below 0, take no part.
+    """
+    need = units.where("demand > 0").select("unit", F.col("demand").cast("double").alias("demand"))
+    near = stored(arcs.groupBy("unit").agg(F.min("distance").alias("distance")).join(need, "unit"))
+    spark = arcs.sparkSession
+    plan = spark.createDataFrame([(c, float(m), n, n * float(load)) for c, m in catchments for n in sorted(set(fleets))], "catchment string, limit_ double, fleet int, capacity double")  # a few rows
+    rows = near.join(F.broadcast(plan), F.col("distance") <= F.col("limit_")).select("catchment", "fleet", "capacity", "distance", "unit", "demand")
+    served = pack_pool(rows, ["catchment", "fleet"], ["distance", "unit"], "demand", "capacity").groupBy("catchment", "fleet").agg(F.sum("demand").alias("delivered"))
+    inside = near.join(F.broadcast(plan.select("catchment", "limit_").distinct()), F.col("distance") <= F.col("limit_")).groupBy("catchment").agg(F.sum("demand").alias("inside"))
+    total = need.agg(F.sum("demand").alias("total"))
+    d = plan.join(F.broadcast(served), ["catchment", "fleet"], "left").join(F.broadcast(inside), "catchment", "left").join(F.broadcast(total))
+    d = d.withColumn("delivered", F.coalesce("delivered", F.lit(0.0))).withColumn("share", F.try_divide("delivered", "total"))
+    w = Window.partitionBy("catchment").orderBy("fleet")
+    gain = (F.col("share") - F.lag("share").over(w)) * 100 / (F.col("fleet") - F.lag("fleet").over(w))
+    return d.select("catchment", "fleet", "delivered", "share", (F.coalesce("total", F.lit(0.0)) - F.col("delivered")).alias("unmet"), F.try_divide(F.coalesce("inside", F.lit(0.0)), F.col("total")).alias("ceiling"), gain.alias("gain"))

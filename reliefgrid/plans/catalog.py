@@ -438,3 +438,24 @@ def transpose_indicators(spark, sf):
 @query("""SELECT l_suppkey, coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 0) AS "F", coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 0) AS "O" FROM lineitem GROUP BY 1""")
 def pivot_volume(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_suppkey").pivot("l_linestatus", ["F", "O"]).agg(F.sum("l_quantity")).fillna(0.0)
+
+
+# --- the audit of all linkages: what other queries link, record by record
+
+AUDIT = (
+    ("reporting units", "crosswalk_match_status", "match_status = 'exact'", "the official name, exactly", ()),
+    ("cells by municipality", "cell_area_link", "link_status <> 'unmatched'", "the one area around its middle, else the largest overlap", ()),
+    ("cells by road", "access_edge_interpolation", "distance IS NOT NULL", "an accepted snap, and an end of its edge that a source reaches", ()),
+    ("groups of older people by road", "group_representative_access", "snap > 0", "the snap of its access row", ()),
+    ("announced points", "resolved_locations", "location_status <> 'unresolved'", "a place of its own, or one that all facilities of its name share", ()),
+    ("shelters", "shelter_ledger", "evacuees > 0", "evacuees in its ledger, three rows a shelter", ("shelter",)),
+    ("staging sites by road", "network_snap", "accepted", "a node within the limit", ()),
+    ("bases by road", "network_snap_distances", "accepted AND edge_id IS NOT NULL", "a node within the limit, and an edge there", ()),
+    ("restrictions by road", "restriction_line_match", "status <> 'unmatched'", "an edge within the limits of a point or a line, or the nearest", ("oid",)),
+)
+
+
+@query(" UNION ALL ".join(f"""SELECT {place} AS place, '{name}' AS component, total, success, total - success AS unmatched, success / total::DOUBLE AS rate, '{rule}' AS rule FROM (SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS success
+FROM (SELECT {f"{', '.join(by)}, bool_or({ok}) AS ok" if by else f"{ok} AS ok"} FROM ({ORACLES[source]}) {f"GROUP BY {', '.join(by)}" if by else ''}))""" for place, (name, source, ok, rule, by) in enumerate(AUDIT)))
+def linkage_coverage_audit(spark, sf):
+    return linkage.coverage_audit([linkage.Component(name, QUERIES[source](spark, sf), F.expr(ok), rule, by) for name, source, ok, rule, by in AUDIT])

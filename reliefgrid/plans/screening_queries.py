@@ -105,6 +105,25 @@ def point_capacity_table(spark, sf):
     return d.select("site", F.col("people").cast("double").alias("people"), "water", "refill", "cycle", "trips", "daily_trips", F.round("vehicle_days", 6).alias("vehicle_days"))
 
 
+CATCHMENTS, CURVE_FLEETS = [("near", 5000.0), ("middle", 20000.0), ("far", 60000.0)], [0, 1, 5, 10, 20]
+
+
+@query(f"""WITH a AS (SELECT l_orderkey AS unit, min(floor(l_extendedprice)) AS distance FROM lineitem GROUP BY 1), need AS (SELECT o_orderkey AS unit, floor(o_totalprice / 1000) AS demand FROM orders WHERE floor(o_totalprice / 1000) > 0),
+size AS (SELECT floor(sum(demand) / 40) AS load, sum(demand) AS total FROM need),
+near AS (SELECT unit, distance, demand FROM a JOIN need USING (unit)), plan AS (SELECT c.catchment, c.upto, f.fleet, f.fleet * load AS room FROM (VALUES {', '.join(f"('{c}', {m})" for c, m in CATCHMENTS)}) c(catchment, upto), (VALUES {', '.join(f'({n})' for n in CURVE_FLEETS)}) f(fleet), size),
+listed AS (SELECT catchment, fleet, room, list({{'q': demand, 'room': room}} ORDER BY distance, unit) AS us FROM near JOIN plan ON distance <= upto GROUP BY ALL),
+packed AS (SELECT catchment, fleet, list_reduce(list_prepend({{'q': 0.0::DOUBLE, 'room': room}}, us), lambda s, x: CASE WHEN x.q <= s.room THEN {{'q': s.q + x.q, 'room': s.room - x.q}} ELSE s END).q AS q FROM listed),
+curve AS (SELECT p.catchment, p.fleet, coalesce(q, 0) AS delivered, coalesce(q, 0) / total AS share, total - coalesce(q, 0) AS unmet, (SELECT coalesce(sum(demand), 0) FROM near WHERE distance <= p.upto) / total AS ceiling FROM plan p LEFT JOIN packed USING (catchment, fleet), size)
+SELECT catchment, fleet, delivered, round(share, 9) AS share, unmet, round(ceiling, 9) AS ceiling, round((share - lag(share) OVER w) * 100 / (fleet - lag(fleet) OVER w), 6) AS gain FROM curve WINDOW w AS (PARTITION BY catchment ORDER BY fleet)""")
+def resource_curve(spark, sf):
+    """Twenty vehicles carry half of all demand."""
+    arcs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("site"), F.floor("l_extendedprice").cast("double").alias("distance"))
+    units = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("demand"))
+    load = units.where("demand > 0").agg(F.floor(F.sum("demand") / 40)).first()[0] or 0
+    d = screening.resource_curve(arcs, units, CATCHMENTS, CURVE_FLEETS, float(load))
+    return d.select("catchment", "fleet", "delivered", F.round("share", 9).alias("share"), "unmet", F.round("ceiling", 9).alias("ceiling"), F.round("gain", 6).alias("gain"))
+
+
 # --- network access
 
 NET = """e0 AS (SELECT l_partkey AS a, l_suppkey + 100000000 AS b, min(l_quantity) AS w FROM lineitem GROUP BY 1, 2), e AS (SELECT a, b, w FROM e0 UNION ALL SELECT b, a, w FROM e0),
