@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.nulls import guarded, null_clip, null_min, safe_ratio
@@ -34,7 +34,8 @@ def outage_status(observed: Column, ratio: Column, households: Column, known: Co
 def household_outages(units: DataFrame, outages: DataFrame, group: str) -> DataFrame:
     """units (group, people, households) with group totals, shares, outage ratio and status; outages: (group, out), latest."""
     d = units.join(outages.withColumnRenamed("out", "observed"), group, "left")
-    d = d.withColumn("group_households", F.sum("households").over(Window.partitionBy(group)))
+    totals = units.groupBy(F.col(group).alias("group_")).agg(F.sum("households").alias("group_households"))  # no window: a group of any size is summed in all tasks
+    d = d.join(totals, F.col(group).eqNullSafe(F.col("group_")), "left").drop("group_")
     d = d.withColumn("share", F.when(F.col(group).isNotNull(), safe_ratio("households", "group_households")))
     out = F.when(F.col(group).isNotNull(), F.coalesce("observed", F.lit(0.0)))
     d = d.withColumn("out", out).withColumn("ratio", null_clip(safe_ratio("out", "group_households"), 0.0, 1.0))
