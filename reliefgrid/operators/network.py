@@ -1,10 +1,11 @@
 """Road graphs and shortest distances: parts of a graph are searched whole, and only what leaves a part is exchanged.
 
 A graph is edges (a, b, w) with a <= b, parallel edges brought to the least w. Nodes are dealt to parts of about PART_EDGES
-edges; a graph of one part needs no dealing. A round gives each part the distances that other parts have found for its nodes,
+edges: components that fit whole, and clusters of neighbours of larger ones. Parts of whole components are searched in one round,
+and only by the sources that start there; a small graph is one part. With a cut-off, edges beyond it are left out first. A round gives each part the distances that other parts have found for its nodes,
 and the part relaxes its edges by buckets of distance until nothing falls, for all sources of a slice at once. So rounds are as
 many as the parts that a shortest path enters, and not as many as its edges; a round reads and writes the active parts'
-distances only. Sources are dealt in slices, so that a task holds TASK_CELLS distances at most (or one source). The edges of a
+distances only. Sources are dealt in slices, so that a task holds and gives TASK_CELLS distances at most (or one source's). The edges of a
 node with more than a quarter of a part's edges lie with their other ends, and such a node's distance goes to all these parts.
 Tables between rounds are written to the shared folder. Unreachable nodes have no row.
 """
@@ -25,6 +26,8 @@ from reliefgrid.sources.storage import stored
 
 #: Edges of a part (both ways), and distances (sources x nodes of the part) that a task holds.
 PART_EDGES, TASK_CELLS = 1 << 21, 1 << 22
+#: A graph of one WHOLE-th of a part's edges is one part; components go together into parts of one CLOSED-th.
+WHOLE, CLOSED = 4, 16
 #: Nodes around one mark, about, and rounds in which marks spread.
 CLUSTER, SPREAD = 512, 64
 #: Edges that are relaxed in one pass.
@@ -48,17 +51,19 @@ def eligible_edges(edges: DataFrame, nodes: DataFrame, a: str, b: str, available
 
 class SplitGraph(NamedTuple):
     """edges: part, node, to, w (both ways), stored; homes: node, part, each part with edges from the node, or None if there is
-    one part; parts, nodes: how many."""
+    one part; parts, nodes: how many; open: the numbers from which on parts share nodes or edges with others (None: no part does)."""
 
     edges: DataFrame
     homes: DataFrame | None
     parts: int
     nodes: int
+    open: int | None = None
 
 
-def node_parts(both: DataFrame, parts: int, cluster: int = CLUSTER, spread: int = SPREAD) -> DataFrame:
-    """node, part: clusters of neighbouring nodes, dealt to parts by hash. One node in `cluster`, by hash, is a mark; marks spread
-    from node to node, the least mark first, for `spread` rounds at most; a node that none reaches is a cluster of its own."""
+def node_clusters(both: DataFrame, cluster: int = CLUSTER, spread: int = SPREAD) -> DataFrame:
+    """node, cluster: clusters of neighbouring nodes, each named by one of its nodes. One node in `cluster`, by hash, is a mark;
+    marks spread from node to node, the least mark first, for `spread` rounds at most; a node that none reaches is a cluster of
+    its own."""
     nodes = both.select("node").distinct()
     mark = F.when(F.pmod(F.xxhash64("node"), F.lit(cluster)) == 0, F.col("node"))
     at = stored(nodes.select("node", mark.alias("mark"), mark.isNotNull().alias("new")))
@@ -68,24 +73,55 @@ def node_parts(both: DataFrame, parts: int, cluster: int = CLUSTER, spread: int
         at = stored(at.drop("new").join(got, "node", "left").select("node", F.coalesce("mark", "got").alias("mark"), took.alias("new")))
         if at.where("new").isEmpty():
             break
-    return at.select("node", F.pmod(F.xxhash64(F.coalesce("mark", "node")), F.lit(parts)).cast("int").alias("part"))
+    return at.select("node", F.coalesce("mark", "node").alias("cluster"))
+
+
+def _components(pairs: DataFrame, rounds: int = SPREAD) -> tuple[DataFrame, bool]:
+    """cluster, label: the same for clusters that pairs (c, d; both ways, and c with itself) connect, and whether that was reached in
+    `rounds`; each round takes the least label of the neighbours, and then that label's own."""
+    at = stored(pairs.select(F.col("c").alias("cluster"), F.col("c").alias("label")).distinct())
+    for _ in range(rounds):
+        least = pairs.join(at.select(F.col("cluster").alias("d"), "label"), "d").groupBy(F.col("c").alias("cluster")).agg(F.min("label").alias("least"))
+        least = stored(least)
+        now = least.join(least.select(F.col("cluster").alias("least"), F.col("least").alias("next")), "least").select("cluster", F.least("least", "next").alias("now"))
+        now = stored(at.join(now, "cluster").select("cluster", F.least("label", "now").alias("label"), (F.col("now") < F.col("label")).alias("fell")))
+        at = now.select("cluster", "label")
+        if now.where("fell").isEmpty():
+            return at, True
+    return at, False
 
 
 def split_graph(graph: DataFrame, weight: str = "w", part_edges: int = PART_EDGES, cluster: int = CLUSTER) -> SplitGraph:
     both = graph.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col(weight).cast("double").alias("w"))
     both = stored(both.union(both.select(F.col("to").alias("node"), F.col("node").alias("to"), "w")))
     n, nodes = both.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
-    parts = max(1, math.ceil(n / part_edges))
-    if parts == 1:
+    if n * WHOLE <= part_edges:
         return SplitGraph(both.select(F.lit(0).alias("part"), "node", "to", "w"), None, 1, nodes)
+    parts, small = max(1, math.ceil(n / part_edges)), max(1, math.ceil(n * CLOSED / part_edges))
     degree = stored(both.groupBy("node").agg((F.count(F.lit(1)) > part_edges // 4).alias("hub")))
     hubs = degree.where("hub").select("node")  # marks don't spread over hubs, or all would be one cluster
-    plain = both.join(hubs, "node", "left_anti").join(hubs.withColumnRenamed("node", "to"), "to", "left_anti").select("node", "to")
-    owner = stored(degree.join(node_parts(stored(plain), parts, cluster), "node", "left").select("node", "hub", F.coalesce("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")).alias("part")))
-    end = lambda c: owner.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"), F.col("hub").alias(f"{c}_hub"))
-    own = F.when(~F.col("node_hub"), F.col("node_part")).when(~F.col("to_hub"), F.col("to_part")).otherwise(F.pmod(F.xxhash64("node", "to"), F.lit(parts)).cast("int"))
-    edges = stored(both.join(end("node"), "node").join(end("to"), "to").select(own.alias("part"), "node", "to", "w"))
-    return SplitGraph(edges, stored(edges.select("node", "part").distinct()), parts, nodes)
+    plain = both if hubs.isEmpty() else stored(both.join(hubs, "node", "left_anti").join(hubs.withColumnRenamed("node", "to"), "to", "left_anti").select("node", "to"))
+    owner = stored(degree.join(node_clusters(plain, cluster), "node", "left").select("node", "hub", F.coalesce("cluster", "node").alias("cluster")))
+    end = lambda c: owner.select(F.col("node").alias(c), F.col("cluster").alias(f"{c}_cluster"), F.col("hub").alias(f"{c}_hub"))
+    edges = stored(both.join(end("node"), "node").join(end("to"), "to"))
+    pairs = stored(edges.groupBy(F.col("node_cluster").alias("c"), F.col("to_cluster").alias("d")).agg(F.count(F.lit(1)).alias("n")))
+    own = pairs.groupBy("c").agg(F.sum("n").alias("n"))
+    labels, known = _components(pairs.select("c", "d").union(own.select("c", F.col("c").alias("d"))))
+    size = own.join(labels, F.col("c") == F.col("cluster")).groupBy("label").agg(F.sum("n").alias("n"))
+    whole = (F.col("n") <= part_edges) & F.lit(known)
+    # a hash of its own: that of marks is a multiple of `cluster`
+    deal = lambda c, k: F.pmod(F.xxhash64(c, F.lit("part")), F.lit(k)).cast("int")
+    # components that fit go into parts of their own; the clusters of others are dealt to parts after these
+    dealt = stored(labels.join(size, "label").select("cluster", whole.alias("whole"), F.when(whole, deal("label", small)).otherwise(small + deal("cluster", parts)).alias("part")))
+    far = dealt.where("NOT whole").isEmpty()
+    if far and dealt.select("part").distinct().count() == 1:
+        return SplitGraph(edges.select(F.lit(0).alias("part"), "node", "to", "w"), None, 1, nodes)
+    place = lambda c: dealt.select(F.col("cluster").alias(f"{c}_cluster"), F.col("whole").alias(f"{c}_whole"), F.col("part").alias(f"{c}_part"))
+    d = edges.join(place("node"), "node_cluster").join(place("to"), "to_cluster")
+    at = F.when(F.col("node_whole") | ~F.col("node_hub"), F.col("node_part")).when(~F.col("to_hub"), F.col("to_part")).otherwise(small + F.pmod(F.xxhash64("node", "to"), F.lit(parts)).cast("int"))
+    edges = stored(d.select(at.alias("part"), "node", "to", "w"))
+    homes = stored(edges.select("node", "part").distinct())
+    return SplitGraph(edges, homes, homes.select("part").distinct().count(), nodes, None if far else small)
 
 
 def relax(first: np.ndarray, to: np.ndarray, w: np.ndarray, n: int, dist: np.ndarray, start: np.ndarray, cutoff: float) -> None:
@@ -128,49 +164,72 @@ def _search_part(cutoff: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
         to, w = head[order], edges.column("w").to_numpy()[order]
         sources, s = np.unique(found.column("source").to_numpy(), return_inverse=True)
         d, old = found.column("dist").to_numpy(), found.column("old").to_numpy()
-        place, dist = s * n + at, np.full(len(sources) * n, np.inf)
-        np.minimum.at(dist, place[old], d[old])
-        before = dist.copy()
-        np.minimum.at(dist, place[~old], d[~old])
-        relax(first, to, w, n, dist, np.flatnonzero(dist < before), cutoff)
-        fell = np.flatnonzero(dist < before)
-        part = np.full(len(fell), edges.column("part")[0].as_py() if m else -1, np.int32)
-        return pa.table({"part": pa.array(part), "source": pa.array(sources[fell // n]), "node": names.take(pa.array(fell % n)), "dist": pa.array(dist[fell])})
+        by_source = np.argsort(s, kind="stable")
+        s, at, d, old = s[by_source], at[by_source], d[by_source], old[by_source]
+        held, out = max(1, TASK_CELLS // max(n, 1)), []
+        for k in range(0, len(sources), held):  # of a slice's sources as many at once as TASK_CELLS holds
+            now, own = slice(*np.searchsorted(s, [k, k + held])), sources[k : k + held]
+            place, dist = (s[now] - k) * n + at[now], np.full(len(own) * n, np.inf)
+            np.minimum.at(dist, place[old[now]], d[now][old[now]])
+            before = dist.copy()
+            np.minimum.at(dist, place[~old[now]], d[now][~old[now]])
+            relax(first, to, w, n, dist, np.flatnonzero(dist < before), cutoff)
+            fell = np.flatnonzero(dist < before)
+            out.append((own[fell // n], fell % n, dist[fell]))
+        source, node, dist = (np.concatenate(x) for x in zip(*out, strict=True))
+        part = np.full(len(source), edges.column("part")[0].as_py() if m else -1, np.int32)
+        return pa.table({"part": pa.array(part), "source": pa.array(source), "node": names.take(pa.array(node)), "dist": pa.array(dist)})
 
     return run
 
 
+def _slices(graph: SplitGraph, seeds: DataFrame, sources: int) -> DataFrame:
+    """part, slices: in how many slices a part's sources are dealt, so that a task gives TASK_CELLS distances at most (or one
+    source's). A part that shares no node meets the sources of its own seeds (part, source) only."""
+    tasks = 2 * seeds.sparkSession.sparkContext.defaultParallelism
+    if graph.homes is None:
+        held = seeds.sparkSession.createDataFrame([(0, graph.nodes)], "part int, n long")
+    else:
+        held = graph.homes.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    own = seeds.groupBy("part").agg(F.count_distinct("source").alias("s"))
+    n = F.coalesce("s", F.lit(0))
+    if graph.open is not None:
+        n = F.when(F.col("part") >= graph.open, F.lit(sources)).otherwise(n)
+    d = stored(held.join(own, "part", "left").select("part", "n", n.cast("long").alias("s")))
+    active = max(1, d.where("s > 0").count())
+    return stored(d.select("part", F.greatest(F.lit(1), F.ceil(F.col("s") * F.col("n") / TASK_CELLS), F.least(F.col("s"), F.lit(tasks // active))).cast("long").alias("slices")))
+
+
 def search(graph: SplitGraph, seeds: DataFrame, cutoff: float | None = None, sources: int = 1) -> tuple[DataFrame, int]:
     """(source, node, dist) for seeds (source: long, node, dist), and the number of rounds."""
-    spark, kind = seeds.sparkSession, graph.edges.schema["node"].dataType.simpleString()
+    kind = graph.edges.schema["node"].dataType.simpleString()
     limit = float("inf") if cutoff is None else float(cutoff)
-    held = max(1, TASK_CELLS // max(1, math.ceil(graph.nodes / graph.parts)))
-    slices = max(1, math.ceil(sources / held))
-    # a graph of one part is searched by as many tasks as there are, if there are as many sources
-    slices = max(slices, min(sources, int(spark.conf.get("spark.sql.shuffle.partitions")) // graph.parts))
-    cut = lambda d: d.withColumn("slice", F.pmod("source", F.lit(slices)))
+    homes = (lambda d: d.withColumn("part", F.lit(0))) if graph.homes is None else (lambda d: d.join(graph.homes, "node"))
     seeds = seeds.withColumn("node", F.col("node").cast(kind))
     inbox = stored(seeds.groupBy("source", "node").agg(F.min("dist").alias("dist")).where(F.col("dist") <= limit))
+    if inbox.isEmpty():
+        return inbox, 0
+    slices = F.broadcast(_slices(graph, homes(inbox), sources))  # a row a part
+    cut = lambda d: d.join(slices, "part").withColumn("slice", F.pmod("source", "slices"))
     first, fallen, rounds = inbox, [], 0
-    while not inbox.isEmpty():
+    while rounds == 0 or not inbox.isEmpty():
         rounds += 1
-        homes = (lambda d: d.withColumn("part", F.lit(0))) if graph.homes is None else (lambda d: d.join(graph.homes, "node"))
-        new = cut(homes(inbox)).select("part", "slice", "source", "node", "dist", F.lit(False).alias("old"))
+        new = stored(cut(homes(inbox)).select("part", "slice", "source", "node", "dist", F.lit(False).alias("old")))
+        active = new.select(F.col("part").alias("part"), F.col("slice").alias("slice")).distinct()  # columns of their own
         if rounds > 1:
-            new = stored(new)
-            active = new.select("part", "slice").distinct()
             # what a part has found itself, or been given in earlier rounds: its own rows of what fell
             have = cut(_union(fallen).groupBy("part", "source", "node").agg(F.min("dist").alias("dist")))
             new = new.union(have.join(active, ["part", "slice"], "left_semi").select("part", "slice", "source", "node", "dist", F.lit(True)))
-        active = new.select(F.col("part").alias("part"), F.col("slice").alias("slice")).distinct()  # columns of their own
-        edges = graph.edges.join(active, "part").select("part", F.col("slice").alias("slice"), "node", "to", "w")
+        edges = graph.edges.join(F.broadcast(active), "part").select("part", "slice", "node", "to", "w")  # a row a task of the round
         by = ["part", "slice"]
         fell = edges.groupBy(*by).cogroup(new.groupBy(*by)).applyInArrow(_search_part(limit), f"part int, source long, node {kind}, dist double")
+        if graph.open is None:  # no part gives another anything: each source and node has one row
+            if graph.homes is None:
+                return fell.select("source", "node", "dist"), rounds
+            return fell.select("source", "node", "dist").unionByName(first.join(graph.homes, "node", "left_anti")), rounds
         fell = stored(fell)
         fallen.append(fell)
-        if graph.homes is None:
-            break
-        out = fell.join(graph.homes.withColumnRenamed("part", "home"), "node").where("home <> part")
+        out = fell.where(F.col("part") >= graph.open).join(graph.homes.withColumnRenamed("part", "home"), "node").where("home <> part")
         inbox = stored(out.groupBy("source", "node").agg(F.min("dist").alias("dist")))
     return _union([first, *[d.select("source", "node", "dist") for d in fallen]]).groupBy("source", "node").agg(F.min("dist").alias("dist")), rounds
 
@@ -188,7 +247,10 @@ def nearest_distance(graph: DataFrame | SplitGraph, seeds: DataFrame, weight: st
     With `by`, each of its values is a search of its own: the source x node matrix, as rows within the cutoff. A graph that is
     searched several times can be given as split once.
     """
-    split = graph if isinstance(graph, SplitGraph) else split_graph(graph, weight)
+    if isinstance(graph, SplitGraph):
+        split = graph
+    else:  # no way within the cutoff has an edge beyond it
+        split = split_graph(graph if cutoff is None else graph.where(F.col(weight) <= cutoff), weight)
     start = seeds.select(*by, "node", F.col("offset").cast("double").alias("dist")).where("node IS NOT NULL AND dist IS NOT NULL")
     if not by:
         return search(split, start.select(F.lit(0).cast("long").alias("source"), "node", "dist"), cutoff)[0].select("node", "dist")

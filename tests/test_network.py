@@ -80,3 +80,20 @@ def test_text_nodes_and_empty_graphs(spark):
     assert [tuple(x) for x in N.nearest_distance(g.where("false"), seeds).collect()] == [("a", 0.0)]
     assert N.nearest_distance(g, seeds.where("false")).collect() == []
     assert N.nearest_distance(g, seeds.where("false").withColumn("site", F.lit(1)), by=["site"]).collect() == []
+
+
+def test_components_are_parts_of_their_own(spark):
+    """Eight grids apart from each other: each lies in one part whole, several parts are used, and one round finds all."""
+    r = random.Random(5)
+    edges = [(1000 * g + a, 1000 * g + b, w) for g in range(8) for a, b, w in grid(r, 12)]
+    split = N.split_graph(graph(spark, edges), "w", 1200, 16)
+    assert split.open is None and split.parts > 2
+    at = split.homes.groupBy(F.floor(F.col("node") / 1000).alias("g")).agg(F.count_distinct("part").alias("n"), F.count_distinct("node").alias("nodes"))
+    assert [(x.n, x.nodes) for x in at.collect()] == [(1, 144)] * 8
+    seeds = spark.createDataFrame([(g, 1000 * g + 5, 0.0) for g in range(8)] + [(0, 7000, 1.0), (3, 99_999, 2.0)], "source long, node long, dist double")
+    found, rounds = N.search(split, seeds, 12.0, 8)
+    assert rounds == 1
+    want = {}
+    for g in range(8):
+        want |= {(g, n): d for n, d in dijkstra(edges, [(1000 * g + 5, 0.0)] + [(7000, 1.0)] * (g == 0) + [(99_999, 2.0)] * (g == 3), 12.0).items()}
+    assert {(x.source, x.node): x.dist for x in found.collect()} == want
