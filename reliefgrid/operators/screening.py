@@ -17,6 +17,8 @@ from reliefgrid.sources.storage import checkpoint, stored
 
 #: Units of one scenario that are packed by a fold in one row; of more, those that fit by a running sum go first.
 FOLD = 4096
+#: Rows that may still be served are written when they are one in so many of those that a round reads.
+KEEP = 8
 #: Kilometres an hour on the connector between a site and its node.
 CONNECTOR_SPEED = 20.0
 SLACK = 1e-9
@@ -88,24 +90,58 @@ def _running(df: DataFrame, keys: list[str], order: list[str], value: str) -> Da
     return d.withColumn("within_", within).join(F.broadcast(before), [*keys, "part_"]).withColumn("upto_", F.col("before_") + F.col("within_")).drop("part_", "before_", "within_")
 
 
+def _bin(c: Column) -> Column:
+    """A whole number that never falls as c grows, null and NaN as Spark sorts them: 1/64 of c's logarithm apart."""
+    c = c.cast("double")
+    number = F.when(F.isnan(c), 1 << 30).otherwise(F.floor(F.signum(c) * F.log1p(F.abs(c)) * 64))
+    return F.coalesce(number, F.lit(-(1 << 30))).cast("int")
+
+
 def pack_pool(rows: DataFrame, keys: list[str], order: list[str], water: str, capacity: str, fold: int = FOLD) -> DataFrame:
     """The rows that a scenario's pool serves: in order, each unit whole if it fits into what is left, else it is skipped.
 
     Scenarios with more than `fold` rows first take, in rounds, the rows whose running sum fits: the next one doesn't, and of
     the rows after it only those that fit into the rest stay. The last of them go through a fold of one row a scenario.
-    capacity is a column of rows, equal within a scenario; rows without water aren't served.
+    capacity is a column of rows, equal within a scenario; rows without water aren't served. order begins with a number.
+
+    rows are read anew in each round: a scenario's state is what is left of its pool and the last row that it took, and sums by
+    bins of the first column of order tell how far a round can come; only rows up to there are sorted. What may still be
+    served is written when it has fallen to one KEEP-th of what is read.
     """
     fields = [c for c in rows.columns if c not in keys]
+    full = [*order, *[c for c in fields if c not in order]]
+    place = F.struct(*full)
+    kind = rows.select(place.alias("x")).schema["x"].dataType
     left = rows.where((F.col(water) > 0) & (F.col(water) <= F.col(capacity) + SLACK)).withColumn("room_", F.col(capacity).cast("double"))
-    done = []
-    while (left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > fold:
-        run = checkpoint(_running(left, keys, order, water))
+    done, state, read = [], None, None
+
+    def open_rows() -> DataFrame:
+        on = rows.where((F.col(water) > 0) & (F.col(water) <= top + SLACK)).join(F.broadcast(state), keys)
+        return on.where((F.col(water) <= F.col("room_") + SLACK) & (F.col("after_").isNull() | (place > F.col("after_"))))
+
+    while True:
+        sums = stored(left.groupBy(*keys, _bin(F.col(order[0])).alias("bin_")).agg(F.sum(water).alias("sum_"), F.count(F.lit(1)).alias("n_"), F.max("room_").alias("room_")))
+        before = F.sum("sum_").over(Window.partitionBy(*keys).orderBy("bin_")) - F.col("sum_")
+        reach = F.max(F.when(F.col("before_") <= F.col("room_") * (1 + SLACK) + SLACK, F.col("bin_"))).alias("last_")
+        ends = stored(sums.withColumn("before_", before).groupBy(*keys).agg(reach, F.sum("n_").alias("n_"), F.max("room_").alias("room_")))
+        total, most, last = ends.agg(F.coalesce(F.sum("n_"), F.lit(0)), F.coalesce(F.max("n_"), F.lit(0)), F.max(F.when(F.col("n_") > fold, F.col("last_")))).first()
+        if most <= fold:
+            break
+        if read is None:
+            read = total
+        elif total * KEEP <= read:
+            rows, read = stored(left.select(*rows.columns)), total
+            left = open_rows()
+        if state is None:
+            state = ends.select(*keys, "room_", F.lit(None).cast(kind).alias("after_"))
+        now = left.where(_bin(F.col(order[0])) <= last).join(F.broadcast(ends.where(F.col("n_") > fold).select(*keys, "last_")), keys).where(_bin(F.col(order[0])) <= F.col("last_")).drop("last_", "after_")
+        run = stored(_running(now, keys, full, water))
         fits = run.where(F.col("upto_") <= F.col("room_") + SLACK)
         done.append(fits.select(*rows.columns))
-        used = fits.groupBy(*keys).agg(F.sum(water).alias("used_"))
-        rest = run.where(F.col("upto_") > F.col("room_") + SLACK).join(F.broadcast(used), keys, "left")
-        rest = rest.withColumn("room_", F.col("room_") - F.coalesce("used_", F.lit(0.0))).drop("used_", "upto_")
-        left = checkpoint(rest.where(F.col(water) <= F.col("room_") + SLACK))
+        moved = fits.groupBy(*keys).agg(F.sum(water).alias("used_"), F.max(place).alias("took_"))
+        state = stored(state.join(moved, keys, "left").select(*keys, (F.col("room_") - F.coalesce("used_", F.lit(0.0))).alias("room_"), F.coalesce("took_", "after_").alias("after_")))
+        top = state.agg(F.max("room_")).first()[0]
+        left = open_rows()
     each = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in fields if c not in order])
     d = left.groupBy(*keys).agg(F.first("room_").alias("room_"), F.array_sort(F.collect_list(each)).alias("u_"))
     step = lambda s, u: F.when(u[water] <= s["room"] + SLACK, F.struct((s["room"] - u[water]).alias("room"), F.lit(True).alias("in"))).otherwise(F.struct(s["room"].alias("room"), F.lit(False).alias("in")))
@@ -134,7 +170,10 @@ def screen_factorial(arcs: DataFrame, cells: DataFrame, routes: DataFrame, struc
     plan = spark.createDataFrame([(r, p, f) for r, p in structures for f in fleets], "road_state string, point_state string, fleet int")
     trips = arcs.select(*by, "site").distinct().join(routes, "site").groupBy(*by).agg(F.max("trips").alias("trips"))
     plan = plan.join(F.broadcast(trips), by, "left").withColumn("capacity", F.col("fleet") * F.coalesce("trips", F.lit(0)) * F.lit(litres))
-    near = nearest_arc(arcs, by).join(cells.where("water > 0"), "unit")
+    # a row a unit, with its arcs and cells as lists: their pairs are made where they are read
+    own = nearest_arc(arcs, by).groupBy("unit").agg(F.collect_list(F.struct(*by, "distance", "site")).alias("n_"))
+    asked = cells.where("water > 0").groupBy("unit").agg(F.collect_list(F.struct(*cell, "people", "water")).alias("c_"))
+    near = stored(own.join(asked, "unit")).select("unit", "c_", F.inline("n_")).select("unit", *by, "distance", "site", F.inline("c_"))
     open_ = near.join(F.broadcast(plan.where("capacity > 0").select(*by, "fleet", "capacity")), by)
     keys = [*by, *cell, "fleet"]
     served = pack_pool(open_.select(*keys, "distance", "water", "unit", "site", "people", "capacity"), keys, ["distance", "water", "unit", "site"], "water", "capacity")

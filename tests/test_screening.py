@@ -133,3 +133,25 @@ def test_plane_ring(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((131.0, 33.0), (131.1, 33.0))])
     got = spark.range(1).select(formats.plane_ring(ring, 131.0, 33.0).alias("r")).first().r
     assert abs(got[0].x) < 1e-6 and abs(got[0].y) < 1e-6 and 9300 < got[1].x < 9400
+
+
+def test_pool_of_many_rows_is_not_written(spark, monkeypatch):
+    """Rounds write the rows that they can reach, not all; null, negative and equal distances and twin rows keep the rule."""
+    r = random.Random(11)
+    rows = [(k % 2, None if u % 97 == 0 else float(r.randint(-3, 400)), u, float(r.randint(1, 9)), 60.0 + 40 * k) for k in range(3) for u in range(400)]
+    rows += rows[:40]
+    wrote = []
+    monkeypatch.setattr(screening, "_running", lambda d, *a, f=screening._running: (wrote.append(d.count()), f(d, *a))[1])
+    rows = [(k, d, u, w, 60.0 + 40 * k) for k, d, u, w, _ in rows]
+    d = spark.createDataFrame(rows, "k long, distance double, unit long, water double, cap double").repartition(5)
+    got = screening.pack_pool(d, ["k"], ["distance", "unit", "water"], "water", "cap", fold=8).collect()
+    want = []
+    for k in (0, 1):
+        room = 60.0 + 40 * k
+        for row in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1] is not None, x[1] or 0.0, x[2], x[3])):
+            if row[3] <= room + 1e-9:
+                room -= row[3]
+                want.append(row)
+    key = lambda x: (x[0], x[1] is not None, x[1] or 0.0, *x[2:])
+    assert sorted((tuple(x) for x in got), key=key) == sorted(want, key=key)
+    assert wrote and max(wrote) < len(rows) / 4
