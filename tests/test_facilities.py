@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reliefgrid.functions import formats
-from reliefgrid.operators import facilities, matching
+from reliefgrid.operators import facilities, geo, matching
 
 
 def one(df):
@@ -105,3 +105,21 @@ def test_formats(spark):
     assert str(value(spark, formats.mixed_timestamp(F.lit("2026/07/01 09:30"), ("yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm"), "Asia/Tokyo"))[0]) == "2026-07-01 00:30:00"
     with pytest.raises(Exception, match="no translation of z"):
         value(spark, formats.translate_exact(F.lit("z"), {"a": "b"}))
+
+
+def test_ladder_makes_far_pairs_only_for_what_has_no_near_one(spark, monkeypatch):
+    made = []
+
+    def counted(left, lkey, right, rkey, limit, *args, **kw):
+        out = within(left, lkey, right, rkey, limit, *args, **kw)
+        made.append((limit, out.count()))
+        return out
+
+    within = matching.lines_within
+    monkeypatch.setattr(matching, "lines_within", counted)
+    at = "oid int, is_point boolean, route string, ax double, ay double, bx double, by double"
+    o = spark.createDataFrame([(1, True, "r", 0.0, 0.0, 0.0, 0.0), (2, False, "r", 9000.0, 0.0, 9010.0, 0.0)], at)
+    e = spark.createDataFrame([(k, "r", x, 0.0, x, 1.0) for k, x in enumerate([90.0, *[120.0] * 30, 9100.0, 9120.0])], "edge_id int, route string, ax double, ay double, bx double, by double")
+    got = one(matching.match_restrictions(o, e))
+    assert [x[:5] for x in got] == [(1, 0, 90.0, True, 1), (2, 31, 90.0, True, 2)]
+    assert made == [("limit", 1), (matching.FALLBACK_LIMIT, 2)]
