@@ -123,3 +123,37 @@ def test_ladder_makes_far_pairs_only_for_what_has_no_near_one(spark, monkeypatch
     got = one(matching.match_restrictions(o, e))
     assert [x[:5] for x in got] == [(1, 0, 90.0, True, 1), (2, 31, 90.0, True, 2)]
     assert made == [("limit", 1), (matching.FALLBACK_LIMIT, 2)]
+
+
+def test_cells_link_as_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    cells = [(k, x, y, x + 5.0, y + 4.0) for k in range(40) for x, y in [(rng.uniform(0, 60), rng.uniform(0, 60))]]
+    cells += [(40 + k, 100.0 + k, 100.0, 101.0 + k, 101.0) for k in range(6)]
+    areas = [(k, [(x, y), (x + rng.uniform(3, 30), y + 2), (x + 8, y + rng.uniform(5, 30)), (x - 3, y + 9)]) for k in range(30) for x, y in [(rng.uniform(0, 60), rng.uniform(0, 60))]]
+    areas += [(99 - k, [(90.0, 90.0), (110.0, 90.0), (110.0, 110.0), (90.0, 110.0)]) for k in range(3)]  # equal overlaps: the least gid
+    c = spark.createDataFrame(cells, "cid int, x0 double, y0 double, x1 double, y1 double")
+    a = spark.createDataFrame(areas, "gid int, ring array<struct<x: double, y: double>>")
+    d = c.crossJoin(a).select("cid", "gid", geo.in_ring((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("ring")).alias("hit"), F.round(matching.clipped_area(F.col("ring"), F.struct("x0", "y0", "x1", "y1")), 6).alias("area"))
+    by = {}
+    for x in d.collect():
+        by.setdefault(x.cid, []).append(x)
+    want = []
+    for k, rows in sorted(by.items()):
+        hits = [x.gid for x in rows if x.hit]
+        best = min(((-x.area, x.gid) for x in rows if x.area > 0), default=(0, None))[1]
+        want.append((k, hits[0], "point_unique") if len(hits) == 1 else (k, best, "maximum_overlap" if best is not None else "unmatched"))
+    assert len({x[2] for x in want}) > 1 and want[-1] == (45, 97, "maximum_overlap")
+    for width, most in ((50.0, 1 << 14), (7.0, 1 << 14), (50.0, 4)):
+        assert one(matching.link_cells(c, a, width, most)) == sorted(want, key=repr)
+
+
+def test_cells_meet_areas_without_a_row_for_each_pair():
+    box = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]
+    import pyarrow as pa
+
+    a = pa.table({"cid": list(range(50)), "x0": [1.0] * 50, "y0": [1.0] * 50, "x1": [2.0] * 50, "y1": [2.0] * 50, "gx": [0] * 50, "gy": [0] * 50, "cx": [0] * 50, "cy": [0] * 50})
+    b = pa.table({"gid": list(range(60)), "ring": pa.array([[{"x": x, "y": y} for x, y in box]] * 60), "hx": [0] * 60, "hy": [0] * 60})
+    rows = matching._met_cells(a, b).to_pylist()
+    assert rows == [{"cid": k, "hits": 60, "hit": 0, "overlap": 1.0, "gid": 0} for k in range(50)]
