@@ -50,3 +50,21 @@ def test_coverage_audit(spark):
     parts = [linkage.Component("rows", d, hit, "r"), linkage.Component("any", d, hit, "r", ("id",)), linkage.Component("first", d, hit, "r", ("id",), F.col("at")), linkage.Component("none", d.where("false"), hit, "r"), linkage.Component("none by key", d.where("false"), hit, "r", ("id",))]
     got = [(r.component, r.total, r.success, r.unmatched, r.rate) for r in linkage.coverage_audit(parts).orderBy("place").collect()]
     assert got == [("rows", 6, 2, 4, 2 / 6), ("any", 4, 2, 2, 0.5), ("first", 4, 0, 4, 0.0), ("none", 0, 0, 0, None), ("none by key", 0, 0, 0, None)]
+
+
+def test_the_audit_counts_lines_without_their_pairs(spark, monkeypatch):
+    """Of the restriction query it asks only which observations have an edge."""
+    from reliefgrid.operators import matching
+    from reliefgrid.plans import catalog
+
+    def pairs(*args, **kw):
+        raise AssertionError("pairs of lines were made")
+
+    sf = "/root/testdata/sf0.001"
+    want = catalog.QUERIES["restriction_line_match"](spark, sf).groupBy("oid").agg({"status": "min"}).where("`min(status)` <> 'unmatched'").count()
+    monkeypatch.setattr(matching, "match_ladder", pairs)
+    monkeypatch.setattr(matching, "lines_within", pairs)
+    got = matching.matched_lines(*catalog.facility_queries._polylines(spark, sf))
+    assert got.where("matched").count() == want and got.count() == 150
+    rows = {r.component: r for r in catalog.QUERIES["linkage_coverage_audit"](spark, sf).collect()}
+    assert (rows["restrictions by road"].total, rows["restrictions by road"].success) == (150, want)
