@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.sources.storage import stored
+from reliefgrid.sources.storage import spread, stored
 
 #: Bound of a list of names that is carried to the executors with the plan.
 NAMES = 5000
@@ -62,7 +62,7 @@ def names_in_texts(rows: DataFrame, key: str, text: str, names: DataFrame, name:
         longer = n.join(shared, "head_", "left_semi").withColumn("size_", F.least(F.length("name_"), F.col("size_") * 2)).withColumn("head_", head)
         n = stored(n.join(shared, "head_", "left_anti").unionByName(longer))
     sizes = [(r[0], r[1]) for r in n.groupBy("size_").agg(F.max(F.length("name_"))).collect()]  # a few lengths
-    t = rows.select(F.col(key).alias("key_"), F.col(text).alias("text_")).where("text_ <> ''")
+    t = spread(rows.select(F.col(key).alias("key_"), F.col(text).alias("text_")).where("text_ <> ''"))
     at = lambda k, longest: F.when(F.length("text_") >= k, F.transform(F.sequence(F.lit(1), F.length("text_") - (k - 1)), lambda i: F.struct(F.substring("text_", i, F.lit(k)).alias("head_"), F.substring("text_", i, F.lit(longest)).alias("rest_")))).otherwise(F.array().cast("array<struct<head_: string, rest_: string>>"))
     if not sizes:
         return t.select(F.col("key_").alias(key), F.col("text_").alias(name)).where("false")

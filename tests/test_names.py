@@ -25,3 +25,12 @@ def test_only_one_facility_of_a_name_is_accepted(spark):
     names = spark.createDataFrame([("熊本市",), ("宇土市",), ("北区",)], "name string")
     got = sorted(tuple(x) for x in linkage.unique_within(rows, "id", "t", "label", names, "name", ["x"]).collect())
     assert got == [("北区", "gym", 3.0), ("宇土市", "hall", 4.0), ("熊本市", "gym", 3.0)]
+
+
+def test_rows_of_a_small_file_are_dealt_over_all_cores(spark):
+    from reliefgrid.plans import facility_queries
+    from reliefgrid.sources.storage import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() >= cores
+    assert facility_queries.layer_round_trip(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= cores
