@@ -31,7 +31,7 @@ WHOLE, CLOSED = 4, 16
 #: Nodes around one mark, about, and rounds in which marks spread.
 CLUSTER, SPREAD = 512, 64
 #: Edges that are relaxed in one pass.
-PASS = 1 << 21
+PASS = 1 << 18
 
 
 def build_graph(edges: DataFrame, a: str, b: str, *weights: str, closed: DataFrame | None = None, edge_id: str | None = None) -> DataFrame:
@@ -156,12 +156,13 @@ def _search_part(cutoff: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not found.num_rows:
             return pa.table({"part": pa.array([], pa.int32()), "source": pa.array([], pa.int64()), "node": pa.array([], found.schema.field("node").type), "dist": pa.array([], pa.float64())})
         ends = pa.chunked_array([*edges.column("node").chunks, *edges.column("to").chunks, *found.column("node").chunks]).combine_chunks().dictionary_encode()
-        m, code, names = edges.num_rows, ends.indices.to_numpy().astype(np.int64), ends.dictionary
-        tail, head, at = code[:m], code[m : 2 * m], code[2 * m :]
-        order = np.argsort(tail, kind="stable")
-        n = len(names)
-        first = np.concatenate(([0], np.cumsum(np.bincount(tail, minlength=n))))
-        to, w = head[order], edges.column("w").to_numpy()[order]
+        m, n, names = edges.num_rows, len(ends.dictionary), ends.dictionary
+        code = ends.indices.to_numpy()  # 32 bits: a part's edges are the most that a task holds
+        at = code[2 * m :].astype(np.int64)
+        order = np.argsort(code[:m], kind="stable").astype(np.int32)
+        first = np.concatenate(([0], np.cumsum(np.bincount(code[:m], minlength=n))))
+        to, w = code[m : 2 * m][order], edges.column("w").to_numpy()[order]
+        del ends, code, order
         sources, s = np.unique(found.column("source").to_numpy(), return_inverse=True)
         d, old = found.column("dist").to_numpy(), found.column("old").to_numpy()
         by_source = np.argsort(s, kind="stable")

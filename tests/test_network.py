@@ -97,3 +97,20 @@ def test_components_are_parts_of_their_own(spark):
     for g in range(8):
         want |= {(g, n): d for n, d in dijkstra(edges, [(1000 * g + 5, 0.0)] + [(7000, 1.0)] * (g == 0) + [(99_999, 2.0)] * (g == 3), 12.0).items()}
     assert {(x.source, x.node): x.dist for x in found.collect()} == want
+
+
+def test_a_part_is_searched_in_few_bytes_an_edge():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    a, b, w = rng.integers(0, 30000, 1 << 20), rng.integers(30000, 32000, 1 << 20), rng.integers(1, 51, 1 << 20).astype(float)
+    edges = pa.table({"part": np.zeros(2 << 20, np.int32), "node": np.concatenate((a, b)), "to": np.concatenate((b, a)), "w": np.concatenate((w, w))})
+    found = pa.table({"source": np.zeros(5, np.int64), "node": np.arange(30000, 30005), "dist": np.zeros(5), "old": np.zeros(5, bool)})
+    tracemalloc.start()
+    got = N._search_part(float("inf"))(edges, found)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 32000 and most < 32 * edges.num_rows
