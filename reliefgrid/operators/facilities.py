@@ -26,15 +26,23 @@ def resolve_location(rows: DataFrame, facilities: DataFrame, name: str) -> DataF
     return moved.select(*rows.columns, "location_status")
 
 
+def first_edges(edges: DataFrame) -> DataFrame:
+    """nid, edge_id, fraction: the least edge (edge_id, a, b) that ends at each node, 0 at its start, else 1. Both minima are plain
+    columns, so that Spark keeps them in a hash table of nodes and doesn't sort all ends."""
+    end = lambda c, own, other: edges.where(F.col(c).isNotNull()).select(F.col(c).alias("nid"), F.col("edge_id").alias(own), F.lit(None).cast(edges.schema["edge_id"].dataType).alias(other))
+    both = end("a", "s_", "e_").unionByName(end("b", "e_", "s_")).groupBy("nid").agg(F.min("s_").alias("s_"), F.min("e_").alias("e_"))
+    start = F.col("e_").isNull() | (F.col("s_") <= F.col("e_"))
+    return both.select("nid", F.least("s_", "e_").alias("edge_id"), F.when(start, 0.0).when(F.col("e_").isNotNull(), 1.0).alias("fraction"))
+
+
 def snap_to_network(points: DataFrame, nodes: DataFrame, edges: DataFrame, limit: float = SNAP_LIMIT) -> DataFrame:
     """points (pid, x, y) with the nearest node within the limit, and the least edge (edge_id, a, b) that ends there.
 
     fraction is 0 at the edge's start and 1 at its end; a point beyond the limit, or a node without edges, has nulls.
     """
     near = nearest_within(points, nodes, limit)
-    ends = edges.select(F.col("a").alias("nid"), "edge_id", F.lit(0.0).alias("fraction")).union(edges.select("b", "edge_id", F.lit(1.0)))
-    first = ends.groupBy("nid").agg(F.min(F.struct("edge_id", "fraction")).alias("e"))
-    return near.join(first, "nid", "left").select("pid", "nid", "distance", F.col("nid").isNotNull().alias("accepted"), F.col("e.edge_id").alias("edge_id"), F.col("e.fraction").alias("fraction"))
+    first = first_edges(edges)
+    return near.join(first, "nid", "left").select("pid", "nid", "distance", F.col("nid").isNotNull().alias("accepted"), "edge_id", "fraction")
 
 
 def attach_nearest_node(points: DataFrame, nodes: DataFrame, edges: DataFrame, limit: float = SNAP_LIMIT) -> DataFrame:
@@ -42,10 +50,9 @@ def attach_nearest_node(points: DataFrame, nodes: DataFrame, edges: DataFrame, l
     first edge (edges: edge_id, a, b; the least edge_id; fraction 0 at its start, 1 at its end) only if it is. A point without
     coordinates has nulls throughout."""
     near = nearest_node(points, nodes, limit)
-    ends = edges.select(F.col("a").alias("nid"), "edge_id", F.lit(0.0).alias("fraction")).union(edges.select("b", "edge_id", F.lit(1.0)))
-    first = ends.groupBy("nid").agg(F.min(F.struct("edge_id", "fraction")).alias("e"))
+    first = first_edges(edges)
     near = near.withColumn("nid", F.when(F.col("accepted"), F.col("nid")))
-    return near.join(first, "nid", "left").select("pid", "nid", "distance", "accepted", F.col("e.edge_id").alias("edge_id"), F.col("e.fraction").alias("fraction"))
+    return near.join(first, "nid", "left").select("pid", "nid", "distance", "accepted", "edge_id", "fraction")
 
 
 def nearest_end(fraction: Column, a: Column, b: Column, length: Column) -> tuple[Column, Column]:

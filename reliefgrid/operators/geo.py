@@ -1,32 +1,25 @@
-"""Geometry by grid cells: nearest points and points in polygons as equi-joins over cells."""
+"""Geometry by grid cells: nearest points in cells and by a tree of cells, and points in polygons as equi-joins over cells."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reliefgrid.operators.polylines import MOST, BoxTree, box_distance, dealt_cells
 from reliefgrid.sources.storage import stored
 
+#: Times that the radius doubles up to the limit when a point's nearest node is sought, and pairs that a pass looks at.
+RADII, PAIRS = 6, 1 << 22
 #: Nodes of a cell that isn't split, and times that a cell is halved at most.
 LEAF, HALVINGS = 256, 40
 
 
-def nearest_within(points: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
-    """points (pid, x, y) with the nearest node (nid, x, y) within the limit, ties to the smaller nid; else null.
-
-    Cells are as wide as the limit, so that a node within it lies in one of nine cells around the point's.
-    """
-    cell = lambda d: d.withColumn("cx", F.floor(F.col("x") / limit)).withColumn("cy", F.floor(F.col("y") / limit))
-    around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    p = cell(points).withColumn("dx", around).withColumn("dy", around).select("pid", "x", "y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    n = cell(nodes).select("nid", F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy")
-    d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-    best = p.join(n, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= limit).groupBy("pid").agg(F.min(F.struct("d", "nid")).alias("b"))
-    return points.join(best, "pid", "left").select("pid", F.col("b.nid").alias("nid"), F.col("b.d").alias("distance"))
-
-
 class CellTree:
     """Nodes (nid, x, y; of equal places the least nid) in a tree of square cells: cells of `width` and, of those with more than LEAF
     nodes, halves of halves; above them cells twice as wide, up to four that hold all. A cell is (level, cx, cy), widths being
@@ -107,6 +100,50 @@ def nearest_node(points: DataFrame, nodes: DataFrame, limit: float, leaf: int =
     return points.select("pid").join(found, "pid", "left").select("pid", "nid", "distance", (F.col("distance") <= limit).alias("accepted"))
 
 
+def _nearest_in(limit: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        """Of a group's points (a) and nodes (b) each point's nearest node. The radius doubles until a point has a node within it."""
+        place = lambda d: np.stack([d.column(c).to_numpy() for c in "xyxy"], 1)
+        p, n = place(a), place(b)
+        order = pa.compute.sort_indices(b.column("nid")).to_numpy()
+        rank = np.empty(len(n), np.int64)
+        rank[order] = np.arange(len(n))
+        best, who = np.full(len(p), np.inf), np.full(len(p), -1)
+        tree = BoxTree(n) if len(n) else None
+        for k in range(RADII, -1, -1) if tree else ():
+            for at in np.array_split(np.flatnonzero(who < 0), 1 + len(p) * len(n) // PAIRS if k == 0 else 1 + len(p) // 1024):
+                i, j = tree.within(p[at], limit / 2**k)
+                i = at[i]
+                d = box_distance(p[i], n[j])
+                o = np.lexsort((rank[j], d, i))
+                o = o[np.append(True, i[o][1:] != i[o][:-1])] if len(o) else o
+                best[i[o]], who[i[o]] = d[o], j[o]
+        got = np.flatnonzero(who >= 0)
+        return pa.table([a.column("pid").take(pa.array(got)), b.column("nid").take(pa.array(who[got])), pa.array(best[got])], names=["pid", "nid", "distance"])
+
+    return run
+
+
+def nearest_within(points: DataFrame, nodes: DataFrame, limit: float, most: int = MOST) -> DataFrame:
+    """points (pid, x, y) with the nearest node (nid, x, y) within the limit, ties to the smaller nid; else null. Places that aren't finite
+    are none.
+
+    Cells are two limits wide, and a node stands in all that it is within the limit of. A task gives a row for each of its points,
+    not for each pair; a cell of more than `most` points or nodes is dealt in blocks.
+    """
+    w = 2 * limit
+    finite = lambda d, key: d.where(F.abs(F.col("x") + F.col("y")) < math.inf).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = stored(finite(points, "pid").withColumn("cx", F.floor(F.col("x") / w)).withColumn("cy", F.floor(F.col("y") / w)))
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - limit) / w), F.floor((F.col(c) + limit) / w)))
+    n = stored(finite(nodes.where("nid IS NOT NULL"), "nid").withColumn("cx", span("x")).withColumn("cy", span("y")))
+    kind = [d.schema[k].dataType.simpleString() for d, k in ((p, "pid"), (n, "nid"))]
+    by = ["cx", "cy", "lb", "rb"]
+    l, r = dealt_cells(p, n, (["pid"], ["nid"]), most)
+    met = l.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(_nearest_in(limit), f"pid {kind[0]}, nid {kind[1]}, distance double")
+    best = met.groupBy("pid").agg(F.min(F.struct("distance", "nid")).alias("b"))
+    return points.join(best, "pid", "left").select("pid", F.col("b.nid").alias("nid"), F.col("b.distance").alias("distance"))
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting over an array of (x, y), each the edge's start to the next one."""
     n = F.size(ring)
