@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.operators.keys import top_by
-from reliefgrid.sources.storage import checkpoint
+from reliefgrid.sources.storage import stored
 
 
 def feasible_trips(work_hours, base_minutes: Column, leg_minutes: Column, service: float, most: int) -> Column:
@@ -65,26 +67,32 @@ def allocate(arcs: DataFrame, capacity: DataFrame, site: str, unit: str, demand:
     is delivered and min(demand that has an arc, all capacity) is at most 0.2 %. Unserved units have no site (and their
     largest demand).
 
-    Bids are range-split by site and distance, so that a site that many units bid for is dealt over as many tasks.
+    Bids are range-split by site and distance, so that a site that many units bid for is dealt over as many tasks. A round reads and
+    writes the arcs of units that are still unserved and fit, not those before.
     """
     amount = F.col(demand).cast("double").alias(demand)
-    a = checkpoint(arcs.select(site, unit, amount, distance))
-    served, n = checkpoint(a.select(site, unit, demand).where("false")), 0
+    a = stored(arcs.select(site, unit, amount, distance))
+    room = stored(capacity.select(site, F.col("capacity").cast("double").alias("cap_"), F.lit(0.0).alias("used_")))
+    open_, taken_by_round = a, []
     while True:
-        used = served.groupBy(site).agg(F.sum(demand).alias("used_"))
-        room = capacity.join(used, site, "left").select(site, (F.col("capacity").cast("double") - F.coalesce("used_", F.lit(0.0))).alias("room_"))
-        fits = a.join(served.select(unit), unit, "left_anti").join(room, site).where(F.col(demand) <= F.col("room_") + 1e-9)
+        left = room.select(site, (F.col("cap_") - F.col("used_")).alias("room_"))
+        # room only shrinks: an arc that doesn't fit now never will, and goes
+        fits = open_.join(left, site).where(F.col(demand) <= F.col("room_") + 1e-9)
         bids = fits.groupBy(unit).agg(F.min(F.struct(distance, site, demand, "room_")).alias("x")).select(unit, "x.*")
         order = [site, distance, unit]
-        bids = checkpoint(bids.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+        bids = stored(bids.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
         sums = bids.groupBy(site, "part_").agg(F.sum(demand).alias("sum_"))
         before = sums.select(site, "part_", (F.sum("sum_").over(Window.partitionBy(site).orderBy("part_")) - F.col("sum_")).alias("before_"))
         upto = F.sum(demand).over(Window.partitionBy(site, "part_").orderBy(distance, unit).rowsBetween(Window.unboundedPreceding, 0))
         taken = bids.withColumn("upto_", upto).join(before, [site, "part_"]).where(F.col("before_") + F.col("upto_") <= F.col("room_") + 1e-9)
-        served = checkpoint(served.union(taken.select(site, unit, demand)))
-        if (now := served.count()) == n:
+        taken = stored(taken.select(site, unit, demand))
+        if taken.isEmpty():
             break
-        n = now
+        taken_by_round.append(taken)
+        more = taken.groupBy(site).agg(F.sum(demand).alias("more_"))
+        room = stored(room.join(more, site, "left").select(site, "cap_", (F.col("used_") + F.coalesce("more_", F.lit(0.0))).alias("used_")))
+        open_ = stored(fits.join(taken.select(unit), unit, "left_anti").select(site, unit, demand, distance))
+    served = reduce(DataFrame.union, taken_by_round) if taken_by_round else taken
     units = a.groupBy(unit).agg(F.max(demand).alias(demand))
     left = units.join(served.select(unit), unit, "left_anti").select(F.lit(None).cast(a.schema[site].dataType).alias(site), unit, demand, F.lit("unserved").alias("status"))
     got = served.withColumn("status", F.lit("served")).union(left)

@@ -77,3 +77,24 @@ def test_nothing_to_serve(spark):
     plan = A.plan_fleet(a, ro, re, 3, TRIPS, WORK, LOAD)
     assert plan[3].first().asDict() == {"delivered": 0.0, "bound": 0.0, "gap": 0.0, "accepted": True}
     assert [d.count() for d in plan[:3]] == [0, 0, 0]
+
+
+def test_rounds_write_only_what_is_left(spark, monkeypatch):
+    """Arcs of served units, and arcs that no longer fit, are in no later round."""
+    from reliefgrid.operators import tanker
+
+    sizes, write = [], tanker.stored
+
+    def counted(df):
+        out = write(df)
+        if {"unit", "site", "distance"} <= set(out.columns) and "part_" not in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(tanker, "stored", counted)
+    arcs = [(u, s, 1.0, float(abs(u - 10 * s))) for u in range(40) for s in range(4)] + [(50, 3, 99.0, 1.0)]
+    a = spark.createDataFrame(arcs, "unit long, site long, demand double, distance double")
+    cap = spark.createDataFrame([(0, 6.0), (1, 8.0), (2, 9.0), (3, 4.0)], "site long, capacity double")
+    got = tanker.allocate(a, cap, "site", "unit", "demand", "distance").collect()
+    assert sum(x.status == "served" for x in got) == 27 and len(got) == 41
+    assert sizes[0] == 161 and sizes == sorted(sizes, reverse=True) and len(sizes) > 1 and sizes[-1] < 60
