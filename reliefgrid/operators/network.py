@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,9 @@ def node_clusters(both: DataFrame, cluster: int = CLUSTER, spread: int = SPREAD)
     """node, cluster: clusters of neighbouring nodes, each named by one of its nodes. One node in `cluster`, by hash, is a mark;
     marks spread from node to node, the least mark first, for `spread` rounds at most; a node that none reaches is a cluster of
     its own."""
+    # dealt by node once: each round shuffles the new marks, and not the edges
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.select("node", "to").repartition(parts, "node").persist(StorageLevel.DISK_ONLY)
     nodes = both.select("node").distinct()
     mark = F.when(F.pmod(F.xxhash64("node"), F.lit(cluster)) == 0, F.col("node"))
     at = stored(nodes.select("node", mark.alias("mark"), mark.isNotNull().alias("new")))
@@ -73,6 +77,7 @@ def node_clusters(both: DataFrame, cluster: int = CLUSTER, spread: int = SPREAD)
         at = stored(at.drop("new").join(got, "node", "left").select("node", F.coalesce("mark", "got").alias("mark"), took.alias("new")))
         if at.where("new").isEmpty():
             break
+    both.unpersist()
     return at.select("node", F.coalesce("mark", "node").alias("cluster"))
 
 
@@ -102,9 +107,10 @@ def split_graph(graph: DataFrame, weight: str = "w", part_edges: int = PART_EDGE
     hubs = degree.where("hub").select("node")  # marks don't spread over hubs, or all would be one cluster
     plain = both if hubs.isEmpty() else stored(both.join(hubs, "node", "left_anti").join(hubs.withColumnRenamed("node", "to"), "to", "left_anti").select("node", "to"))
     owner = stored(degree.join(node_clusters(plain, cluster), "node", "left").select("node", "hub", F.coalesce("cluster", "node").alias("cluster")))
-    end = lambda c: owner.select(F.col("node").alias(c), F.col("cluster").alias(f"{c}_cluster"), F.col("hub").alias(f"{c}_hub"))
-    edges = stored(both.join(end("node"), "node").join(end("to"), "to"))
-    pairs = stored(edges.groupBy(F.col("node_cluster").alias("c"), F.col("to_cluster").alias("d")).agg(F.count(F.lit(1)).alias("n")))
+    end = lambda c: owner.select(F.col("node").alias(c), F.col("cluster").alias(f"{c}_cluster"))
+    # clusters of a node's neighbours, each once a node, before the node's own cluster is known
+    near = both.select("node", "to").join(end("to"), "to").groupBy("node", "to_cluster").agg(F.count(F.lit(1)).alias("n"))
+    pairs = stored(near.join(end("node"), "node").groupBy(F.col("node_cluster").alias("c"), F.col("to_cluster").alias("d")).agg(F.sum("n").alias("n")))
     own = pairs.groupBy("c").agg(F.sum("n").alias("n"))
     labels, known = _components(pairs.select("c", "d").union(own.select("c", F.col("c").alias("d"))))
     size = own.join(labels, F.col("c") == F.col("cluster")).groupBy("label").agg(F.sum("n").alias("n"))
@@ -115,13 +121,22 @@ def split_graph(graph: DataFrame, weight: str = "w", part_edges: int = PART_EDGE
     dealt = stored(labels.join(size, "label").select("cluster", whole.alias("whole"), F.when(whole, deal("label", small)).otherwise(small + deal("cluster", parts)).alias("part")))
     far = dealt.where("NOT whole").isEmpty()
     if far and dealt.select("part").distinct().count() == 1:
-        return SplitGraph(edges.select(F.lit(0).alias("part"), "node", "to", "w"), None, 1, nodes)
-    place = lambda c: dealt.select(F.col("cluster").alias(f"{c}_cluster"), F.col("whole").alias(f"{c}_whole"), F.col("part").alias(f"{c}_part"))
-    d = edges.join(place("node"), "node_cluster").join(place("to"), "to_cluster")
-    at = F.when(F.col("node_whole") | ~F.col("node_hub"), F.col("node_part")).when(~F.col("to_hub"), F.col("to_part")).otherwise(small + F.pmod(F.xxhash64("node", "to"), F.lit(parts)).cast("int"))
-    edges = stored(d.select(at.alias("part"), "node", "to", "w"))
+        return SplitGraph(both.select(F.lit(0).alias("part"), "node", "to", "w"), None, 1, nodes)
+    # a node's edges lie in its part; only a hub's, if it is of no whole component, ask for their other ends
+    placed = stored(owner.join(dealt, "cluster").select("node", (F.col("hub") & ~F.col("whole")).alias("hub"), "part"))
+    d = both.join(placed, "node")
+    edges = d.where("NOT hub").select("part", "node", "to", "w")
+    spread_ = placed.where("hub").select("node")
+    if not spread_.isEmpty():
+        to = placed.select(F.col("node").alias("to"), F.col("hub").alias("to_hub"), F.col("part").alias("to_part"))
+        at = F.when(~F.col("to_hub"), F.col("to_part")).otherwise(small + F.pmod(F.xxhash64("node", "to"), F.lit(parts)).cast("int"))
+        edges = edges.union(both.join(spread_, "node", "left_semi").join(to, "to").select(at.alias("part"), "node", "to", "w"))
+    edges = stored(edges)
+    if far:  # each node has one home
+        homes = placed.select("node", "part")
+        return SplitGraph(edges, homes, homes.select("part").distinct().count(), nodes, None)
     homes = stored(edges.select("node", "part").distinct())
-    return SplitGraph(edges, homes, homes.select("part").distinct().count(), nodes, None if far else small)
+    return SplitGraph(edges, homes, homes.select("part").distinct().count(), nodes, small)
 
 
 def relax(first: np.ndarray, to: np.ndarray, w: np.ndarray, n: int, dist: np.ndarray, start: np.ndarray, cutoff: float) -> None:

@@ -114,3 +114,14 @@ def test_a_part_is_searched_in_few_bytes_an_edge():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got.num_rows == 32000 and most < 32 * edges.num_rows
+
+
+def test_edges_of_whole_components_are_written_once_by_part(spark, monkeypatch):
+    """The clusters of both ends are no columns of the edges, and a node of a whole component has one home."""
+    written, write = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df: written.append(df.columns) or write(df))
+    edges = [(100 * c + k, 100 * c + k + 1, 1.0) for c in range(12) for k in range(20)]
+    split = N.split_graph(graph(spark, edges), "w", 120, 8)
+    assert split.open is None and split.parts > 1 and split.homes.count() == split.homes.select("node").distinct().count() == 12 * 21
+    assert split.edges.join(split.homes.withColumnRenamed("part", "home"), "node").where("part <> home").isEmpty() and split.edges.count() == 480
+    assert not [c for c in written if "w" in c and any("cluster" in x for x in c)]
