@@ -13,6 +13,8 @@ and how far it is; no ring passes through one task before it is done.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +63,29 @@ def oriented(areas: DataFrame) -> DataFrame:
 
 
 def _steps(areas: DataFrame, key: str) -> DataFrame:
-    ring = oriented(areas.where(F.col("rings").isNotNull())).select(key, F.explode("rings").alias("r"))
+    # outer, so that no filter on what is exploded works it out a second time, before the areas are dealt
+    ring = oriented(areas).select(key, F.explode_outer("rings").alias("r")).where("r IS NOT NULL")
     at = lambda i: F.element_at("r", (F.pmod(i, F.size("r")) + 1).cast("int"))
-    s = ring.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("r") - 1), lambda i: F.struct(at(i).alias("a"), at(i + 1).alias("b")))).alias("s"))
+    s = ring.select(key, F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("r") - 1), lambda i: F.struct(at(i).alias("a"), at(i + 1).alias("b")))).alias("s"))
     return s.select(key, F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
+def _netted(steps: DataFrame, key: str) -> DataFrame:
+    """key, lo, hi, way: how many more times a step goes from lo to hi than back, if not as often. steps have a `way` of their own."""
+    forth = (F.col("ax") < F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") < F.col("by")))
+    a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
+    s = steps.select(key, F.when(forth, a).otherwise(b).alias("lo"), F.when(forth, b).otherwise(a).alias("hi"), F.when(forth, F.col("way")).otherwise(-F.col("way")).alias("way"))
+    return s.groupBy(key, "lo", "hi").agg(F.sum("way").alias("way")).where("way <> 0")
+
+
+def _turned(netted: DataFrame, key: str) -> DataFrame:
+    """Netted steps the way they go, `way` times."""
+    a, b = F.when(F.col("way") > 0, F.col("lo")).otherwise(F.col("hi")), F.when(F.col("way") > 0, F.col("hi")).otherwise(F.col("lo"))
+    return netted.select(key, a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), F.abs("way").alias("way"))
+
+
 def _cut(steps: DataFrame, key: str, cell: float, slack: float) -> DataFrame:
-    """Steps cut at the places of their key that lie on them (within slack, but not at their ends)."""
+    """Steps (each once, with its `way`) cut at the places of their key that lie on them (within slack, but not at their ends)."""
     from reliefgrid.operators.polylines import cells_along
 
     at = lambda c: F.floor(F.col(c) / cell)
@@ -78,31 +95,29 @@ def _cut(steps: DataFrame, key: str, cell: float, slack: float) -> DataFrame:
     off = F.abs((F.col("x") - F.col("ax")) * dy - (F.col("y") - F.col("ay")) * dx) / F.sqrt(dx * dx + dy * dy)
     ends = ((F.col("x") == F.col("ax")) & (F.col("y") == F.col("ay"))) | ((F.col("x") == F.col("bx")) & (F.col("y") == F.col("by")))
     step = [key, "ax", "ay", "bx", "by"]
-    met = cells_along(steps.distinct(), cell, slack).join(places, [key, "cx", "cy"]).where(~ends & (t > 0) & (t < 1) & (off <= slack))
+    met = cells_along(steps.drop("way"), cell, slack).join(places, [key, "cx", "cy"]).where(~ends & (t > 0) & (t < 1) & (off <= slack))
     cuts = met.groupBy(*step).agg(F.array_sort(F.collect_set(F.struct(t.alias("t"), "x", "y"))).alias("cuts"))
     d = steps.join(cuts, step, "left")
     way = F.concat(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"))), F.transform("cuts", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))), F.array(F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))))
     way = F.when(F.col("cuts").isNull(), F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).otherwise(way)
-    d = d.select(key, way.alias("w"))
-    d = d.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))).alias("s"))
-    return d.select(key, F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    d = d.select(key, "way", way.alias("w"))
+    d = d.select(key, "way", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))).alias("s"))
+    return d.select(key, "way", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
 def outline_steps(areas: DataFrame, key: str, cell: float, slack: float = 0.0) -> DataFrame:
     """key, ax, ay, bx, by: the steps of the union's borders, the inside to the left. Areas of a key may touch, but not overlap:
-    a border that two areas have on the same side is an error when it is read."""
-    s = _cut(stored(_steps(areas, key)), key, cell, slack)
-    forth = (F.col("ax") < F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") < F.col("by")))
-    a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
-    s = s.select(key, F.when(forth, a).otherwise(b).alias("lo"), F.when(forth, b).otherwise(a).alias("hi"), F.when(forth, 1).otherwise(-1).alias("way"))
-    s = s.groupBy(key, "lo", "hi").agg(F.sum("way").alias("way")).where("way <> 0")
+    a border that two areas have on the same side is an error when it is read. Steps there and back that are equal cancel before
+    any is cut."""
+    s = _cut(stored(_turned(_netted(_steps(areas, key).withColumn("way", F.lit(1)), key), key)), key, cell, slack)
+    s = _netted(s, key)
     one = F.when(F.abs("way") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("areas overlap in "), F.col(key).cast("string"))).cast("boolean"))
-    a, b = F.when(F.col("way") > 0, F.col("lo")).otherwise(F.col("hi")), F.when(F.col("way") > 0, F.col("hi")).otherwise(F.col("lo"))
-    return s.where(one).select(key, a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+    return _turned(s.where(one), key).drop("way")
 
 
 def ring_order(steps: DataFrame, key: str) -> DataFrame:
-    """steps with `ring` (the least number of its steps) and `place` (0, 1, ... from that step on), by pointer doubling."""
+    """steps with `ring` (the least number of its steps) and `place` (0, 1, ... from that step on), by pointer doubling. A step that
+    has met the same least number twice has been around its ring, and is read no more; nor is one whose next has."""
     s = stored(number_rows(steps, [key, "ax", "ay", "bx", "by"], "id"))
     # how far clockwise from the way back a step from the end leaves
     back = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"))
@@ -110,22 +125,20 @@ def ring_order(steps: DataFrame, key: str) -> DataFrame:
     turn = F.pmod(F.col("back") - F.col("leaves"), F.lit(2 * 3.141592653589793))
     turn = F.when(turn < 1e-12, F.lit(7.0)).otherwise(turn)  # the way back itself comes last
     go = s.withColumn("back", back).join(out, [key, "bx", "by"]).groupBy("id").agg(F.min(F.struct(turn.alias("turn"), "next")).alias("n")).select("id", F.col("n.next").alias("next"))
-    go = stored(go)
-    # the least step of each ring: windows of 2^k steps, until none falls
-    at = go.select("id", "next", F.least("id", "next").alias("least"), F.lit(True).alias("fell"))
-    while True:
-        ahead = at.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("least").alias("far"))
-        at = stored(at.join(ahead, "next").select("id", F.col("then").alias("next"), F.least("least", "far").alias("least"), (F.col("far") < F.col("least")).alias("fell")))
-        if at.where("fell").isEmpty():
-            break
-    ring = at.select("id", F.col("least").alias("ring"))
-    # steps up to the ring's first: jumps double until they have reached it
-    at = stored(go.join(ring, "id").select("id", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("steps")))
-    while not at.where("next IS NOT NULL").isEmpty():
-        ahead = at.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("steps").alias("more"))
-        at = stored(at.join(ahead, "next", "left").select("id", "ring", F.col("then").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-    size = at.where("id = ring").select("ring", F.col("steps").alias("size_"))
-    return s.join(at.join(size, "ring").select("id", "ring", (F.col("size_") - F.col("steps")).alias("place")), "id").select(*steps.columns, "ring", "place")
+    # windows of 2^k steps: the least step in them, and how far it is
+    at = stored(go.select("id", "next", F.col("id").alias("ring"), F.lit(0).cast("long").alias("far")))
+    done, length = [], 1
+    while not at.isEmpty():
+        ahead = at.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("ring").alias("other"), F.col("far").alias("more"))
+        falls = F.col("other") < F.col("ring")
+        around = F.col("then").isNull() | (F.col("other") == F.col("ring"))
+        to = at.join(ahead, "next", "left").select("id", F.when(~around, F.col("then")).alias("next"), F.when(falls, F.col("other")).otherwise(F.col("ring")).alias("ring"), F.when(falls, F.col("more") + length).otherwise(F.col("far")).alias("far"))
+        at = stored(to)
+        done.append(at.where("next IS NULL").select("id", "ring", "far"))
+        at, length = at.where("next IS NOT NULL"), 2 * length
+    ring = reduce(DataFrame.union, done) if done else at.select("id", "ring", "far")
+    size = F.max("far").over(Window.partitionBy("ring")) + 1
+    return s.join(ring, "id").withColumn("place", F.pmod(-F.col("far"), size)).select(*steps.columns, "ring", "place")
 
 
 def dissolve_rings(areas: DataFrame, key: str, cell: float, slack: float = 0.0) -> DataFrame:

@@ -111,3 +111,15 @@ def test_points_lie_inside(spark):
         assert inside(got[str(k)].x, got[str(k)].y, s)
     assert got["none"] is got["empty"] is got["line"] is None
     assert tuple(got["1"]) == (0.5, 5.0)  # the left arm
+
+
+def test_rings_that_are_done_are_read_no_more(spark, monkeypatch):
+    """One ring of 802 places, which takes ten rounds, beside 900 of four: the rounds write the short ones three times at most."""
+    wide = [(k, 0) for k in range(401)] + [(k, 1 + k % 2) for k in range(400, -1, -1)]
+    rows = [("a", [wide])] + [("a", [square(2 * i, 10 + 2 * j)]) for i in range(30) for j in range(30)]
+    written, stored = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df: (lambda out: (written.append(out.count()) if "id" in out.columns else None, out)[1])(stored(df)))
+    rings = P.dissolve_rings(areas(spark, rows), "key", 5.0).collect()
+    assert sorted(len(r.ring) for r in rings) == [4] * 900 + [802]
+    steps = 3600 + 802
+    assert sum(written) < 5 * steps + 12 * 802
