@@ -8,7 +8,8 @@ border is a step there and a step back, and an aggregation cancels both; steps a
 lie on them, so that neighbours need not have the same places. What is left are the union's borders. A step goes on
 with that step from its end which comes first clockwise from where it came: the inside stays on the left, and areas that touch
 in a place stay apart. Rings are then found by pointer doubling: after k rounds a step knows the least step of the next 2^k,
-and how far it is; no ring passes through one task before it is done.
+and how far it is; no ring passes through one task before it is done. A hole belongs to the ring that is met next to its left, or
+to that one's, if it is a hole: rings are not held against each other.
 """
 
 from __future__ import annotations
@@ -141,36 +142,70 @@ def ring_order(steps: DataFrame, key: str) -> DataFrame:
     return s.join(ring, "id").withColumn("place", F.pmod(-F.col("far"), size)).select(*steps.columns, "ring", "place")
 
 
+def _as_rings(placed: DataFrame, key: str) -> DataFrame:
+    """key, id (the number of its least step), ring, area."""
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("ax").alias("x"), F.col("ay").alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return placed.groupBy(key, F.col("ring").alias("id")).agg(ring.alias("ring")).withColumn("area", signed_area(F.col("ring")))
+
+
 def dissolve_rings(areas: DataFrame, key: str, cell: float, slack: float = 0.0) -> DataFrame:
     """key, ring (places in turn; outer ones counterclockwise, holes clockwise), area (holes below zero): the union's rings, one
     row each. cell: width of the grid that finds places on borders, about a border's length."""
-    placed = ring_order(outline_steps(areas, key, cell, slack), key)
-    ring = F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("ax").alias("x"), F.col("ay").alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return placed.groupBy(key, "ring").agg(ring.alias("r")).select(key, F.col("r").alias("ring"), signed_area(F.col("r")).alias("area"))
+    return _as_rings(ring_order(outline_steps(areas, key, cell, slack), key), key).drop("id")
+
+
+def _left_of(holes: DataFrame, placed: DataFrame, key: str, cell: float) -> DataFrame:
+    """hole, up: the ring of the first step to the left of each hole's leftmost place (hole, key, x, y), a hair above it. Between
+    them lies the inside, so `up` is the ring around the hole, or another hole of the same polygon. Cells of a row of cells are
+    numbered from left to right; a hole looks into its own, then into the next 2, 4, ... that hold steps."""
+    from reliefgrid.operators.polylines import cells_along
+
+    in_cells = stored(cells_along(placed.where("ay <> by").select(key, "ax", "ay", "bx", "by", "ring"), cell, 0.0))
+    own = stored(holes.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)))
+    grid = stored(number_rows(in_cells.select(key, "cy", "cx").union(own.select(key, "cy", "cx")).distinct(), [key, "cy", "cx"], "at"))
+    steps = stored(in_cells.join(grid, [key, "cx", "cy"]).select("at", "cx", "ax", "ay", "bx", "by", "ring"))
+    first = grid.groupBy(key, "cy").agg(F.min("at").alias("first"))
+    todo = stored(own.join(grid, [key, "cx", "cy"]).join(first, [key, "cy"]).select("hole", "x", "y", "at", "first"))
+    slope = (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    x = F.when(F.col("ay") == F.col("y"), F.col("ax")).when(F.col("by") == F.col("y"), F.col("bx"))
+    x = x.otherwise(F.least(F.greatest("ax", "bx"), F.greatest(F.least("ax", "bx"), F.col("ax") + (F.col("y") - F.col("ay")) * slope)))
+    meets = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (x < F.col("x")) & (F.floor(x / cell) == F.col("cx"))
+    found, span = [], 1
+    while not todo.isEmpty():
+        look = todo.select("hole", "x", "y", F.explode(F.sequence(F.greatest("first", F.col("at") - span + 1), "at")).alias("at"))
+        hit = stored(look.join(steps, "at").where(meets).groupBy("hole").agg(F.max_by("ring", F.struct(x.alias("x"), slope.alias("slope"))).alias("up")))
+        found.append(hit)
+        todo = stored(todo.join(hit, "hole", "left_anti").withColumn("at", F.col("at") - span).where("at >= first"))
+        span *= 2
+    return reduce(DataFrame.union, found) if found else holes.select("hole", F.col("hole").alias("up"))
+
+
+def dissolve_polygons(areas: DataFrame, key: str, cell: float, slack: float = 0.0) -> DataFrame:
+    """key, rings (the outer one first, then its holes), area: the union's polygons, one row each. A hole belongs to the outer ring
+    next around it."""
+    placed = stored(ring_order(outline_steps(areas, key, cell, slack), key))
+    rings = stored(_as_rings(placed, key))
+    v = F.array_min("ring")
+    at = _left_of(rings.where("area < 0").select(F.col("id").alias("hole"), key, v["x"].alias("x"), v["y"].alias("y")), placed, key, cell)
+    # from hole to hole until a ring that is none
+    at = stored(at)
+    while True:
+        ahead = at.select(F.col("hole").alias("up"), F.col("up").alias("then"))
+        at = stored(at.join(ahead, "up", "left").select("hole", F.coalesce("then", "up").alias("up"), F.col("then").isNotNull().alias("moved")))
+        if at.where("moved").isEmpty():
+            break
+    inner = rings.where("area < 0").select(F.col("id").alias("hole"), "area", "ring").join(at, "hole")
+    inner = inner.groupBy(F.col("up").alias("id")).agg(F.array_sort(F.collect_list(F.struct("area", "ring"))).alias("holes"), F.sum("area").alias("less"))
+    all_ = F.concat(F.array("ring"), F.coalesce(F.transform("holes", lambda x: x["ring"]), F.array().cast(f"array<{POINTS}>")))
+    return rings.where("area > 0").join(inner, "id", "left").select(key, all_.alias("rings"), (F.col("area") + F.coalesce("less", F.lit(0.0))).alias("area"))
 
 
 def dissolve_areas(areas: DataFrame, key: str, cell: float, slack: float = 0.0) -> DataFrame:
-    """key, parts (how many areas it had), polygons (array of arrays of rings, the outer one first, then its holes), area. A hole
-    belongs to the smallest outer ring of its key that holds it."""
-    rings = stored(dissolve_rings(areas, key, cell, slack))
-    bounds = lambda s: [f(F.transform("ring", lambda v: v[c])).alias(f"{s}{n}") for n, f, c in (("x0", F.array_min, "x"), ("y0", F.array_min, "y"), ("x1", F.array_max, "x"), ("y1", F.array_max, "y"))]
-    outer = number_rows(rings.where("area > 0").select(key, "ring", "area"), [key, "area", "ring"], "outer")
-    outer = stored(outer)
-    o = outer.select(key, "outer", F.col("ring").alias("shell"), F.col("area").alias("size_"), *bounds("o"))
-    h = number_rows(rings.where("area < 0").select(key, "ring", "area"), [key, "area", "ring"], "hole").select(key, "hole", "ring", *bounds("h"))
-    inside = (F.col("ox0") <= F.col("hx0")) & (F.col("oy0") <= F.col("hy0")) & (F.col("ox1") >= F.col("hx1")) & (F.col("oy1") >= F.col("hy1"))
-    # a step's middle, a hair to the left, lies in the area around the hole
-    p, q = F.col("ring")[0], F.col("ring")[1]
-    x = (p["x"] + q["x"]) / 2 - (q["y"] - p["y"]) * 1e-9
-    y = (p["y"] + q["y"]) / 2 + (q["x"] - p["x"]) * 1e-9
-    held = h.join(o, key).where(inside).where(in_ring(x, y, F.col("shell")))
-    held = held.groupBy("hole").agg(F.min_by(F.struct("outer", "ring"), "size_").alias("b")).select("hole", "b.outer", "b.ring")
-    holes = held.groupBy("outer").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole", "ring"))), lambda x: x["ring"]).alias("holes"))
-    polygon = F.concat(F.array("ring"), F.coalesce("holes", F.array().cast(f"array<{POINTS}>")))
-    one = outer.join(holes, "outer", "left").select(key, "outer", polygon.alias("rings"))
-    made = one.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("outer", "rings"))), lambda x: x["rings"]).alias("polygons"))
-    total = rings.groupBy(key).agg(F.sum("area").alias("area"))
-    return areas.groupBy(key).agg(F.count(F.lit(1)).alias("parts")).join(made, key, "left").join(total, key, "left").select(key, "parts", "polygons", "area")
+    """key, parts (how many areas it had), polygons (array of arrays of rings, the outer one first, then its holes), area. A key's
+    polygons are one value; `dissolve_polygons` gives a row for each."""
+    one = dissolve_polygons(areas, key, cell, slack).withColumn("outer", signed_area(F.col("rings")[0]))
+    made = one.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("outer", "rings"))), lambda x: x["rings"]).alias("polygons"), F.sum("area").alias("area"))
+    return areas.groupBy(key).agg(F.count(F.lit(1)).alias("parts")).join(made, key, "left").select(key, "parts", "polygons", "area")
 
 
 def point_on_surface(rings: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,16 @@ def test_points_lie_inside(spark):
     assert tuple(got["1"]) == (0.5, 5.0)  # the left arm
 
 
+def frames(n):
+    """n frames in a row, each with a hole of two squares that touch in a corner, and an island in every third frame."""
+    rows = []
+    for k in range(n):
+        own = [(i, j) for i in range(7) for j in range(7) if not (1 <= i <= 4 and 1 <= j <= 4) and (i, j) != (5, 5)]
+        own += [(2, 2)] * (k % 3 == 0)
+        rows += [("g", [square(8 * k + i, j)]) for i, j in own]
+    return rows
+
+
 def test_rings_that_are_done_are_read_no_more(spark, monkeypatch):
     """One ring of 802 places, which takes ten rounds, beside 900 of four: the rounds write the short ones three times at most."""
     wide = [(k, 0) for k in range(401)] + [(k, 1 + k % 2) for k in range(400, -1, -1)]
@@ -123,3 +134,27 @@ def test_rings_that_are_done_are_read_no_more(spark, monkeypatch):
     assert sorted(len(r.ring) for r in rings) == [4] * 900 + [802]
     steps = 3600 + 802
     assert sum(written) < 5 * steps + 12 * 802
+
+
+def test_holes_find_their_polygons_without_meeting_all(spark):
+    got = P.dissolve_polygons(areas(spark, frames(9)), "key", 2.0)
+    assert sorted((len(r.rings), r.area) for r in got.collect()) == [(1, 1.0)] * 3 + [(2, 32.0)] * 9
+    for r in got.collect():
+        out = r.rings[0]
+        for hole in r.rings[1:]:
+            assert min(p.x for p in out) < min(p.x for p in hole) and max(p.x for p in hole) < max(p.x for p in out)
+    d = P.dissolve_areas(areas(spark, frames(9)), "key", 2.0)
+    assert sorted(len(p) for p in d.first().polygons) == [1] * 3 + [2] * 9
+    # rings of a key are not joined with all others of it
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join \[key#\d+\], \[key#\d+\], Inner", plan)
+
+
+def test_a_hole_beside_holes_and_slanted_borders(spark):
+    """Holes in a row, of which only the first has the outer ring to its left, in cells far narrower than the gaps; slanted ones that meet heights of places."""
+    holes = [[(10 + 4 * k, 5), (11 + 4 * k, 6), (10 + 4 * k, 7), (9 + 4 * k, 6)] for k in range(12)] + [[(30, 1), (40, 2), (30, 3)], [(20, 1), (22, 2), (20, 3)]]
+    rows = [("a", [[(0, 0), (60, 0), (70, 6), (60, 9), (0, 9)], *holes]), ("a", [square(30.25, 5.75, 0.5)]), ("b", [square(0, 0, 9), square(1, 1, 7)])]
+    got = P.dissolve_polygons(areas(spark, rows), "key", 0.7)
+    found = sorted((r.key, len(r.rings), round(r.area, 6)) for r in got.collect())
+    outer = 9 * 60 + 9 * 10 / 2
+    assert found == [("a", 1, 0.25), ("a", 15, outer - 12 * 2 - 10 - 2), ("b", 2, 32.0)]
