@@ -18,6 +18,7 @@ is taken whole. An empty table gives an empty table. Other columns are only pass
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from reliefgrid.llm.links import linked_groups, sized_buckets
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
 #: Picks of BANDS * ROWS, by their last byte, in which a pair agrees that is verified.
 AGREE = 11
+#: Longs that hold these bytes.
+WORDS = -(-BANDS * ROWS // 8)
 #: A line's place is its document's number, below 2**36, followed by LINE bits of line number.
 LINE = 27
 #: Lines to fetch that are broadcast, at about 24 bytes each; more are joined by a shuffle.
@@ -43,12 +46,12 @@ def bare(line: Column) -> Column:
 
 
 def _starts(code: Column) -> Column:
-    """Where the shingles of a line start; code is the line in UTF-32, four bytes a character."""
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(code) / 4).cast("int") - SHINGLE))
+    """Bytes (from 1) at which the shingles of a line start; code is the line in UTF-32, four bytes a character."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(code) - (4 * SHINGLE - 1)), F.lit(4))
 
 
 def _shingle_hash(code: Column, start: Column) -> Column:
-    return F.xxhash64(F.substring(code, start * 4 + 1, F.lit(SHINGLE * 4)))
+    return F.xxhash64(F.substring(code, start, F.lit(SHINGLE * 4)))
 
 
 def _hashes(lines: DataFrame, *names: str) -> DataFrame:
@@ -71,17 +74,37 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, at (the first place), bands (a bucket for each band), picks (their last bytes, numbered) of each distinct line. Texts aren't shuffled: each task's
+    """id, at (the first place), bands (a bucket for each band), picks0, ... (their last bytes, eight in a long) of each distinct line. Texts aren't shuffled: each task's
     picks are, and of these the least is taken."""
     n = BANDS * ROWS
     each = _hashes(lines(docs), "id", "at").withColumn("bin", F.shiftrightunsigned("h", 33) % n).withColumn("v", F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))
-    picks = each.groupBy("id").agg(F.expr("min(at) FILTER (WHERE i = 0)").alias("at"), *[F.expr(f"min(v) FILTER (WHERE bin = {k})").alias(f"m{k}") for k in range(n)])
-    # another order of the bins for each: steps that have no factor in common with their number
+    picks = each.groupBy("id").agg(F.expr("min(at) FILTER (WHERE i = 1)").alias("at"), *[F.expr(f"min(v) FILTER (WHERE bin = {k})").alias(f"m{k}") for k in range(n)])
+    # another order of the bins for each: steps that have no factor in common with their number. Only short lines have empty bins;
+    # a chain of conditions for all would be too long a method to be compiled
     steps = [s for s in range(1, n) if math.gcd(s, n) == 1]
-    full = [F.coalesce(*[F.col(f"m{(k + s * steps[k % len(steps)]) % n}") for s in range(n)]) for k in range(n)]
-    picks = picks.select("id", "at", *[x.alias(f"p{k}") for k, x in enumerate(full)])
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"p{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return picks.select("id", "at", F.array(*bands).alias("bands"), F.array(*[(F.col(f"p{k}").bitwiseAND(F.lit(255)) + k * 256).cast("int") for k in range(n)]).alias("picks"))
+    orders = F.array(*[F.array(*[F.lit((k + s * steps[k % len(steps)]) % n) for s in range(n)]) for k in range(n)])
+    every = F.array(*[F.col(f"m{k}") for k in range(n)])
+    filled = F.transform(orders, lambda order: F.get(F.filter(F.transform(order, lambda k: F.get("every", k)), lambda v: v.isNotNull()), F.lit(0)))
+    picks = picks.select("id", "at", every.alias("every")).select("id", "at", F.when(F.forall("every", lambda v: v.isNotNull()), F.col("every")).otherwise(filled).alias("p"))
+    p = [F.get("p", F.lit(k)) for k in range(n)]
+    bands = [F.xxhash64(F.lit(b), *p[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
+    return picks.select("id", "at", F.array(*bands).alias("bands"), *[_packed(p[8 * w : 8 * w + 8]).alias(f"picks{w}") for w in range(WORDS)])
+
+
+def _packed(picks: list[Column]) -> Column:
+    """The last bytes of up to eight picks in one long."""
+    return reduce(Column.bitwiseOR, [F.shiftleft(x.bitwiseAND(F.lit(255)), 8 * i) for i, x in enumerate(picks)])
+
+
+def _agreeing(x: list[Column], y: list[Column]) -> Column:
+    """In how many of BANDS * ROWS bytes the longs x and y are equal: a byte's bits are gathered in its last one."""
+    def unlike(a: Column, b: Column) -> Column:
+        d = a.bitwiseXOR(b)
+        for k in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.lit(BANDS * ROWS) - reduce(Column.__add__, [unlike(a, b) for a, b in zip(x, y, strict=True)])
 
 
 def _fetch(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -97,7 +120,8 @@ def _fetch(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def line_groups(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) for each line hash that is linked with another. signed: signatures, stored."""
-    sized = materialize(sized_buckets(signed.select("id", "picks", F.explode("bands").alias("bucket"))).select("bucket", "id", "picks", "n"))
+    words = [f"picks{w}" for w in range(WORDS)]
+    sized = materialize(sized_buckets(signed.select("id", *words, F.explode("bands").alias("bucket"))).select("bucket", "id", *words, "n"))
 
     def features(ids: DataFrame) -> DataFrame:
         return _fetch(docs, materialize(signed.join(ids, "id", "left_semi").select("id", "at"))).withColumnRenamed("line", "f")
@@ -109,7 +133,7 @@ def line_groups(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARI
         return sizes & (F.size(F.array_intersect(x, y)) * (den + num) >= (F.size(x) + F.size(y)) * num)
 
     def may(l, r) -> Column:
-        return F.size(F.array_intersect(l("picks"), r("picks"))) >= AGREE
+        return _agreeing([l(w) for w in words], [r(w) for w in words]) >= AGREE
 
     return linked_groups(sized, features, same, may, unpack=shingle_set)
 
