@@ -125,3 +125,37 @@ def test_edges_of_whole_components_are_written_once_by_part(spark, monkeypatch):
     assert split.open is None and split.parts > 1 and split.homes.count() == split.homes.select("node").distinct().count() == 12 * 21
     assert split.edges.join(split.homes.withColumnRenamed("part", "home"), "node").where("part <> home").isEmpty() and split.edges.count() == 480
     assert not [c for c in written if "w" in c and any("cluster" in x for x in c)]
+
+
+def test_edges_go_to_as_many_tasks_as_there_are_cores_for(spark, monkeypatch):
+    """And not to more with more sources and nodes; a task goes through its sources in slices."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    groups, deal = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda d, *a: groups.append(a[0]) or deal(d, *a))
+    monkeypatch.setattr(N, "TASK_CELLS", 300)
+    edges = grid(random.Random(7), 12)
+    split = N.split_graph(graph(spark, edges), "w")
+    starts = [(k, k, 0.0) for k in range(144)] + [(144, 999, 1.0)]
+    found = N.search(split, spark.createDataFrame(starts, "source long, node long, dist double"), 4.0, 145)[0]
+    assert {(x.source, x.node): x.dist for x in found.collect()} == {(k, n): d for k in range(144) for n, d in dijkstra(edges, [(k, 0.0)], 4.0).items()} | {(144, 999): 1.0}
+    assert groups and max(groups) <= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("part_edges, whole", [(1 << 19, None), (1200, 0), (300, 0)])
+def test_ends_beyond_nodes(spark, part_edges, whole):
+    """The least over an end's rows of distance and rest, in one part, in components of their own and in parts that share nodes."""
+    r = random.Random(9)
+    edges = [(1000 * g + a, 1000 * g + b, w) for g in range(3) for a, b, w in grid(r, 12)]
+    split = N.split_graph(graph(spark, edges), "w", part_edges, 16, whole)
+    rows = [(1000 * r.randrange(3) + r.randrange(144), f"u{k % 90}", r.choice([0.0, 0.5, 2.0])) for k in range(200)] + [(9999, "u0", 0.25), (9999, "alone", 0.0), (3, None, 0.0), (3, "u1", None)]
+    starts = [("p", 5, 0.0), ("p", 1005, 1.0), ("q", 2100, 0.0), ("far", 9999, 0.5)]
+    got = N.nearest_distance(split, spark.createDataFrame(starts, "site string, node long, offset double"), cutoff=9.0, by=["site"], ends=spark.createDataFrame(rows, "node long, end string, rest double"), most=8.0)
+    want = {}
+    for site in ("p", "q", "far"):
+        found = dijkstra(edges, [(n, d) for s, n, d in starts if s == site], 9.0)
+        for node, end, rest in rows:
+            if end and rest is not None and node in found and found[node] + rest <= 8.0:
+                want[site, end] = min(want.get((site, end), 99.0), found[node] + rest)
+    assert len(want) > 20
+    assert sorted((x.site, x.end, x.dist) for x in got.collect()) == sorted((s, e, d) for (s, e), d in want.items())
