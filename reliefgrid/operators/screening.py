@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.functions.nulls import safe_ratio
 from reliefgrid.operators.keys import top_by
-from reliefgrid.operators.network import along_edge
+from reliefgrid.operators.network import SplitGraph, along_edge, nearest_distance
 from reliefgrid.sources.storage import checkpoint, stored
 
 #: Units of one scenario that are packed by a fold in one row; of more, those that fit by a running sum go first.
@@ -33,16 +33,30 @@ def connector_minutes(metres: Column) -> Column:
     return metres / 1000 / CONNECTOR_SPEED * 60
 
 
+def _access_ends(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """unit, node, rest: both ends of each unit's access edge, and what is left from there."""
+    u = units.select("unit", "edge_id", "fraction", "snap").join(edges.select("edge_id", "a", "b", "length"), "edge_id")
+    return u.select("unit", F.col("a").alias("node"), (F.col("fraction") * F.col("length") + F.col("snap")).alias("rest")).union(u.select("unit", "b", (1 - F.col("fraction")) * F.col("length") + F.col("snap")))
+
+
 def feasible_arcs(matrix: DataFrame, units: DataFrame, edges: DataFrame, sites: DataFrame, limit: float) -> DataFrame:
     """(unit, site, distance) within the limit: the way from the site's node to the nearer end of the unit's access edge, along
     it, and both connectors. matrix: (site, node, dist) within the limit; units: (unit, edge_id, fraction, snap); edges:
     (edge_id, a, b, length); sites: (site, connector). Whether the unit's snap was accepted is not asked."""
-    u = units.select("unit", "edge_id", "fraction", "snap").join(edges.select("edge_id", "a", "b", "length"), "edge_id")
-    ends = u.select("unit", F.col("a").alias("node"), (F.col("fraction") * F.col("length") + F.col("snap")).alias("rest")).union(u.select("unit", "b", (1 - F.col("fraction")) * F.col("length") + F.col("snap")))
-    d = matrix.join(ends, "node").groupBy("unit", "site").agg(F.min(F.col("dist") + F.col("rest")).alias("way")).join(sites.select("site", "connector"), "site")
+    d = matrix.join(_access_ends(units, edges), "node").groupBy("unit", "site").agg(F.min(F.col("dist") + F.col("rest")).alias("way")).join(sites.select("site", "connector"), "site")
     return d.select("unit", "site", (F.col("way") + F.col("connector")).alias("distance")).where(F.col("distance") <= limit)
 
 
+def reachable_arcs(graph: DataFrame | SplitGraph, units: DataFrame, edges: DataFrame, sites: DataFrame, reach: float, limit: float) -> DataFrame:
+    """What `feasible_arcs` gives for the matrix of the sites' nodes (site, node, connector; a node each) within `reach`, without its rows:
+    units are met where distances are found. Units and connectors aren't null."""
+    least = sites.agg(F.least(F.lit(0.0), F.min("connector"))).first()[0]
+    ends = _access_ends(units, edges).select("node", F.col("unit").alias("end"), "rest")
+    d = nearest_distance(graph, sites.select("site", "node", F.lit(0.0).alias("offset")), cutoff=reach, by=["site"], ends=ends, most=limit - least)
+    d = d.join(F.broadcast(sites.select("site", "connector")), "site")
+    return d.select(F.col("end").alias("unit"), "site", (F.col("dist") + F.col("connector")).alias("distance")).where(F.col("distance") <= limit)
+
+
 def base_seeds(bases: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, offset) of each base (base, edge_id, fraction, connector): both ends of its edge, by minutes of the edge and of the
     connector; the least of a node."""

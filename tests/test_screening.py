@@ -155,3 +155,16 @@ def test_pool_of_many_rows_is_not_written(spark, monkeypatch):
     key = lambda x: (x[0], x[1] is not None, x[1] or 0.0, *x[2:])
     assert sorted((tuple(x) for x in got), key=key) == sorted(want, key=key)
     assert wrote and max(wrote) < len(rows) / 4
+
+
+def test_arcs_found_with_the_search_are_those_of_the_matrix(spark):
+    from reliefgrid.operators import network
+
+    graph = network.build_graph(spark.createDataFrame([(k, k + 1, 1.0 + k % 3) for k in range(30)] + [(50, 51, 1.0)], "x long, y long, w double"), "x", "y", "w")
+    sites = spark.createDataFrame([(k, 3 * k, k % 3 / 2.0) for k in range(9)] + [(9, 50, 0.0)], "site long, node long, connector double")
+    edges = spark.createDataFrame([(k, k, k + 1, 1.0 + k % 3) for k in range(30)] + [(40, 29, 51, 20.0)], "edge_id long, a long, b long, length double")
+    units = spark.createDataFrame([(k, k, k % 4 / 4.0, k % 2 * 0.5) for k in range(30)] + [(40, 40, 0.05, 0.0)], "unit long, edge_id long, fraction double, snap double")
+    matrix = network.nearest_distance(graph, sites.selectExpr("site", "node", "0D AS offset"), cutoff=7.0, by=["site"])
+    want = screening.feasible_arcs(matrix, units, edges, sites, 7.5)
+    got = screening.reachable_arcs(graph, units, edges, sites, 7.0, 7.5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 40
