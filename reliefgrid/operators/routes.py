@@ -62,12 +62,13 @@ def route_productivity(graph: DataFrame | SplitGraph, sites: DataFrame, refills:
     # of the bases of a node the first of the nearest
     at_node = bases.groupBy("node").agg(F.min(F.struct("offset", "no", "base")).alias("b"))
     ends = stored(at_node.select("node").union(sites.select("node")).distinct())
-    ways = stored(nearest_distance(graph, open_, cutoff=60.0 * work_hours / 2, by=["refill"]).join(ends, "node"))
+    ways = nearest_distance(graph, open_, cutoff=60.0 * work_hours / 2, by=["refill"], ends=ends.select("node", F.col("node").alias("end"), F.lit(0.0).alias("rest")))
+    ways = stored(ways.withColumnRenamed("end", "node"))
     found = ways.join(at_node, "node").groupBy("refill").agg(F.min(F.struct((F.col("dist") + F.col("b.offset")).alias("way"), F.col("b.no").alias("no"), F.col("b.base").alias("base"))).alias("b"))
     d = refills.join(found, "refill", "left").withColumn("base_minutes", F.col("b.way") + connector_minutes(F.col("snap")))
     near = F.col("base_minutes") * 2 <= 60.0 * work_hours
     points = stored(d.select("refill", "no", "node", "snap", (F.col("accepted") & F.coalesce(near, F.lit(False))).alias("accepted"), F.when(near, F.col("b.base")).alias("base"), F.when(near, F.col("base_minutes")).alias("base_minutes")))
-    legs = ways.join(points.where("accepted").select("refill", "no", "snap", "base", "base_minutes"), "refill").join(sites.select("site", "node", "connector"), "node")
+    legs = ways.join(sites.select("site", "node", "connector"), "node").join(points.where("accepted").select("refill", "no", "snap", "base", "base_minutes"), "refill")
     legs = legs.withColumn("leg_minutes", F.col("dist") + connector_minutes(F.col("connector")) + connector_minutes(F.col("snap")))
     legs = legs.withColumn("trips", feasible_trips(work_hours, F.col("base_minutes"), F.col("leg_minutes"), service, trip_limit)).where("trips >= 1")
     cycle = F.col("leg_minutes") * 2 + service
