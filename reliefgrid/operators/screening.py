@@ -186,14 +186,27 @@ def screen_factorial(arcs: DataFrame, cells: DataFrame, routes: DataFrame, struc
     plan = plan.join(F.broadcast(trips), by, "left").withColumn("capacity", F.col("fleet") * F.coalesce("trips", F.lit(0)) * F.lit(litres))
     # a row a unit, with its arcs and cells as lists: their pairs are made where they are read
     own = nearest_arc(arcs, by).groupBy("unit").agg(F.collect_list(F.struct(*by, "distance", "site")).alias("n_"))
-    asked = cells.where("water > 0").groupBy("unit").agg(F.collect_list(F.struct(*cell, "people", "water")).alias("c_"))
-    near = stored(own.join(asked, "unit")).select("unit", "c_", F.inline("n_")).select("unit", *by, "distance", "site", F.inline("c_"))
-    open_ = near.join(F.broadcast(plan.where("capacity > 0").select(*by, "fleet", "capacity")), by)
+    asked = cells.where("water > 0").groupBy("unit").agg(F.array_sort(F.collect_list(F.struct(*cell, "people", "water"))).alias("c_"))
+    least = F.array_min(F.transform("c_", lambda c: c["water"])).alias("least_")
+    near = stored(own.join(asked.select("unit", "c_", F.md5(F.to_json("c_").cast("binary")).alias("same_"), least), "unit"))
+    lists = stored(near.groupBy("same_").agg(F.first("c_").alias("c_")))
+    # units that ask for the same are taken from a pool in order until one doesn't fit, and none after it: no more than fill the pool
+    same = [*by, "same_", "bin_"]
+    near = near.select("unit", "same_", "least_", F.inline("n_")).withColumn("bin_", _bin(F.col("distance")))
+    ahead = stored(near.groupBy(*same, "least_").agg(F.count(F.lit(1)).alias("n_")))
+    before = F.sum("n_").over(Window.partitionBy(*by, "same_").orderBy("bin_")) - F.col("n_")
+    pools = plan.where("capacity > 0").select(*by, "fleet", "capacity")
+    fits = lambda water: F.col("ahead_") <= F.col("capacity") / F.col(water) + 1
+    most = pools.groupBy(*by).agg(F.max("capacity").alias("capacity"))
+    reached = ahead.withColumn("ahead_", before).join(F.broadcast(most), by).where(fits("least_")).select(*same, "ahead_")
+    open_ = near.join(stored(reached), same).select("unit", *by, "distance", "site", "same_", "ahead_")
+    open_ = open_.join(lists, "same_").select("unit", *by, "distance", "site", "ahead_", F.inline("c_")).join(F.broadcast(pools), by).where(fits("water"))
+    open_ = stored(open_.drop("ahead_"))
     keys = [*by, *cell, "fleet"]
     served = pack_pool(open_.select(*keys, "distance", "water", "unit", "site", "people", "capacity"), keys, ["distance", "water", "unit", "site"], "water", "capacity")
     got = served.groupBy(*keys).agg(F.sum("people").alias("people"), F.sum("water").alias("water"), F.sum(F.col("people") * F.col("distance")).alias("way"), F.count_distinct("site").alias("sites"))
     all_ = cells.groupBy(*cell).agg(F.sum("people").alias("all_people"), F.sum("water").alias("all_water"))
-    feasible = near.select(*by, *cell).distinct().withColumn("units", F.lit(True))
+    feasible = ahead.select(*by, "same_").distinct().join(lists, "same_").select(*by, F.inline("c_")).select(*by, *cell).distinct().withColumn("units", F.lit(True))
     d = plan.join(F.broadcast(all_)).join(F.broadcast(feasible), [*by, *cell], "left").join(got, keys, "left")
     ok = F.coalesce(F.col("units"), F.lit(False)) & (F.col("capacity") > 0)
     some = F.coalesce(F.col("people"), F.lit(0.0))

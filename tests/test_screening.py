@@ -168,3 +168,24 @@ def test_arcs_found_with_the_search_are_those_of_the_matrix(spark):
     want = screening.feasible_arcs(matrix, units, edges, sites, 7.5)
     got = screening.reachable_arcs(graph, units, edges, sites, 7.0, 7.5)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 40
+
+
+def test_no_more_units_go_to_a_pool_than_fill_it(spark, monkeypatch):
+    """400 units that ask for one of three amounts, at many distances: pools of 24 and 96 litres get a few of them, and serve those that a
+    plain pass over all units serves."""
+    r, seen, pack = random.Random(11), [], screening.pack_pool
+    monkeypatch.setattr(screening, "pack_pool", lambda rows, *a: seen.append(rows.count()) or pack(rows, *a))
+    units = [(u, r.randrange(100, 100000), r.choice([1.0, 3.0, 4.0])) for u in range(400)]
+    arcs = spark.createDataFrame([("open", "all", u, u % 5, float(d)) for u, d, _ in units], "road_state string, point_state string, unit long, site long, distance double")
+    cells = spark.createDataFrame([(u, o, "one", p, p * k) for u, _, p in units for o, k in (("low", 2.0), ("high", 7.0))], "unit long, outage_case string, demand_case string, people double, water double")
+    routes = spark.createDataFrame([(s, 2) for s in range(5)], "site long, trips int")
+    got = {(x.outage_case, x.fleet): x for x in screening.screen_factorial(arcs, cells, routes, [("open", "all")], [1, 4], 12.0).collect()}
+    for case, k in (("low", 2.0), ("high", 7.0)):
+        for fleet in (1, 4):
+            room, people, way = fleet * 24.0, 0.0, 0.0
+            for d, w, _, p in sorted((d, p * k, u, p) for u, d, p in units):
+                if w <= room:
+                    room, people, way = room - w, people + p, way + p * d
+            x = got[case, fleet]
+            assert x.share == pytest.approx(people / sum(p for _, _, p in units)) and x.mean_access == pytest.approx(way / people) and x.feasible == "Yes"
+    assert seen[0] < 400
