@@ -396,6 +396,8 @@ def nearest_distance(graph: DataFrame | SplitGraph, seeds: DataFrame, weight: st
     """
     if isinstance(graph, SplitGraph):
         split = graph
+    elif cutoff is None and not by:
+        return _nearest_anywhere(graph, seeds, weight, ends, most)
     elif cutoff is None:
         split = split_graph(graph, weight)
     else:  # no way within the cutoff has an edge beyond it
@@ -412,6 +414,44 @@ def nearest_distance(graph: DataFrame | SplitGraph, seeds: DataFrame, weight: st
     return found.join(names, "source").select(*[F.col(o).alias(c) for c, o in zip(by, own, strict=True)], F.col("node").alias(name), "dist")
 
 
+def _nearest_anywhere(graph: DataFrame, seeds: DataFrame, weight: str, ends: DataFrame | None, most: float, whole: int | None = None) -> DataFrame:
+    """`nearest_distance` without a cutoff, of one search. A graph of at most `whole` edges (both ways; REACH_EDGES unless given) is searched in one
+    task. Of a larger one the shortest edges, `whole` of them, are: no way as long as the longest of these has another edge. What that
+    reaches is final, and the other nodes are searched from there, over edges between them."""
+    whole = REACH_EDGES if whole is None else whole
+    edges = stored(graph.select("a", "b", F.col(weight).cast("double").alias("w")))
+    start = stored(seeds.select("node", F.col("offset").cast("double").alias("dist")).where("node IS NOT NULL AND dist IS NOT NULL"))
+    least = min(start.agg(F.min("dist")).first()[0] or 0.0, 0.0)
+
+    def searched(split: SplitGraph, start: DataFrame, cutoff: float | None = None) -> DataFrame:
+        return search(split, start.select(F.lit(0).cast("long").alias("source"), "node", "dist"), cutoff)[0].select("node", "dist")
+
+    n = edges.count()
+    if 2 * n <= whole:
+        found = searched(split_graph(edges, whole=whole), start)
+    else:
+        upto = edges.agg(F.percentile_approx("w", F.lit(0.9 * whole / (2 * n)), F.lit(10000))).first()[0]
+        if 2 * edges.where(F.col("w") <= upto).count() > whole:  # many edges are equal: those below
+            upto = edges.where(F.col("w") < upto).agg(F.max("w")).first()[0]
+        first = None
+        if upto is not None and 2 * edges.where(F.col("w") <= upto).count() <= whole:
+            first = stored(searched(split_graph(edges.where(F.col("w") <= upto), whole=whole), start, upto + least))
+        if first is None or first.isEmpty():
+            found = searched(split_graph(edges), start)
+        else:
+            known = first.select("node")
+            open_ = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(known, "node", "left_anti"))
+            at = lambda c: open_.select(F.col("node").alias(c), F.lit(True).alias(f"open_{c}"))
+            left = stored(edges.join(at("a"), "a", "left").join(at("b"), "b", "left").where("open_a OR open_b"))
+            side = lambda c, d: left.where(f"open_{c} IS NULL").select(F.col(c).alias("node"), F.col(d).alias("to"), "w")
+            across = side("a", "b").union(side("b", "a")).join(first, "node").select(F.col("to").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+            again = across.union(start.join(known, "node", "left_anti").select("node", "dist"))
+            found = first.union(searched(split_graph(left.where("open_a AND open_b").select("a", "b", "w"), whole=whole), again))
+    if ends is None:
+        return found
+    return _at_ends(found.withColumn("source", F.lit(0)), ends, most).select(F.col("node").alias("end"), "dist")
+
+
 def along_edge(from_dist: Column, to_dist: Column, length: Column, fraction: Column) -> Column:
     """Distance of a point on an edge: over the nearer end; one unreachable end leaves the other."""
     return F.least(from_dist + fraction * length, to_dist + (1 - fraction) * length)

@@ -159,3 +159,14 @@ def test_ends_beyond_nodes(spark, part_edges, whole):
                 want[site, end] = min(want.get((site, end), 99.0), found[node] + rest)
     assert len(want) > 20
     assert sorted((x.site, x.end, x.dist) for x in got.collect()) == sorted((s, e, d) for (s, e), d in want.items())
+
+
+def test_shortest_edges_first(spark):
+    """Of a graph that is too large for a task the shortest edges are searched first, and what they don't reach from there: a grid with long
+    edges to a second grid, which has a seed of its own with an offset, a part that nothing reaches, and an offset below 0."""
+    r = random.Random(13)
+    edges = grid(r, 14) + [(1000 + a, 1000 + b, w + 3) for a, b, w in grid(r, 8)] + [(k, 1000 + k, 20.0) for k in range(5)] + [(5000, 5001, 1.0)]
+    for starts, whole in (([(0, 0.0), (1063, 30.0), (77777, 2.0)], 600), ([(0, -2.0), (100, 1.0)], 1 << 12)):
+        seeds = spark.createDataFrame(starts, "node long, offset double")
+        got = N._nearest_anywhere(graph(spark, edges), seeds, "w", None, 0.0, whole)
+        assert {x.node: x.dist for x in got.collect()} == dijkstra(edges, starts), (starts, whole)
